@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe, token_orc
+from . import jaccard_join, sentencepiece_bpe, token_orc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(table(spark, sf_dir, "documents"), shingle=3, p=90, q=100)
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_path(spark, "tokens")
@@ -32,5 +36,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_token_orc": op5_token_orc, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op5_token_orc": op5_token_orc, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
