@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, sentencepiece_bpe, token_orc
+from . import jaccard_join, sentencepiece_bpe, substring_dedup, token_orc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,11 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.positions(spark, path))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, PIECE_MODEL), PIECE_MODEL)
@@ -36,5 +41,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op5_token_orc": op5_token_orc, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op5_token_orc": op5_token_orc, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
