@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, sentencepiece_bpe, substring_dedup, token_orc
+from . import jaccard_join, lm_score, sentencepiece_bpe, substring_dedup, token_orc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(table(spark, sf_dir, "documents"), shingle=3, p=90, q=100)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), order=2)
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_path(spark, "tokens")
@@ -41,5 +45,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op5_token_orc": op5_token_orc, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
