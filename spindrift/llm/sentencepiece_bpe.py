@@ -56,7 +56,9 @@ class PieceModel:
                 self.control.add(i)
             elif not library.is_unknown(i) and not library.is_unused(i):
                 plain[piece] = i
-        self.byte_of = {int(i): b for b, i in enumerate(self.bytes) if i != self.unknown_id}
+        # a byte below 0x80 is a character whatever stands around it
+        ascii_of = {int(i): chr(b) for b, i in enumerate(self.bytes[:128]) if i != self.unknown_id}
+        self.byte_of = {int(i): b for b, i in enumerate(self.bytes) if b >= 128 and i != self.unknown_id}
         symbols = dict(plain)
         for piece in plain:
             for c in piece:
@@ -87,7 +89,7 @@ class PieceModel:
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain)
         self.cut = re.compile(r"[\s\S]+" if crossing else r" *[^ ]+| +")
         self.fast = not crossing
-        self.text_of = [" ⁇ " if i == self.unknown_id else "" if i in self.control else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.text_of = [ascii_of[i] if i in ascii_of else " ⁇ " if i == self.unknown_id else "" if i in self.control else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
 
     def words(self, text: str) -> list[str]:
         """Segments of a text that no merge can join, white space as U+0020."""
