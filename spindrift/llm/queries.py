@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_score, sentencepiece_bpe, substring_dedup, token_orc
+from . import decontaminate, jaccard_join, lm_score, sentencepiece_bpe, substring_dedup, token_orc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(table(spark, sf_dir, "documents"), shingle=3, p=90, q=100)
 
@@ -45,5 +51,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
