@@ -63,3 +63,9 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
 def joined_if_small(left: DataFrame, right: DataFrame, keys, how: str, rows: int, bound: int) -> DataFrame:
     """A join that broadcasts `right` only when its counted rows are within `bound`, else shuffles."""
     return left.join(F.broadcast(right) if rows <= bound else right, keys, how)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: the usual 10,000 rows of them take much of a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

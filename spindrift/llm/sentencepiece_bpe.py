@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .segments import SegmentIds, with_end
 
 SPACE = "▁"
@@ -233,6 +234,11 @@ def _model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@cache
+def _known(path: str) -> SegmentIds:
+    return SegmentIds(_model(path).encode_words)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -245,8 +251,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
-        known = SegmentIds(model.encode_words)
+        model, known = _model(model_path), _known(model_path)
         for batch in _slices(batches):
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             flat, lengths = known.flat([model.words(t or "") for t in texts])
@@ -255,6 +260,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
             out = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in keep], out], names=[*keep, ids])
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
 
 

@@ -11,10 +11,12 @@ doc_ids are each kept, in the order of their texts.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +26,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .segments import SegmentIds, with_end
 
 ROWS = 512
 #: A space with one of these before it always begins a pre-token.
 _unsafe = re.compile(r"[^!-~\w] ")
 _cut = re.compile(r"(?<=[!-~\w])(?= )")
+LINE_ID = 198
+#: A lone surrogate can't occur in a text.
+AS_IS = "\ud800"
+#: Segments encoded as the lines of one text.
+LINES = 2000
 SCHEMA = "part int, place long, doc_id long, ids array<int>"
 
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -43,22 +52,42 @@ def _tokenizer(path: str):
 
 
 def _chunks(text: str) -> list[str]:
-    """Pieces of a text at whose borders no pre-token can lie across."""
+    """Pieces of a text at whose borders no pre-token can lie across. One space before each is left out, but for
+    those marked AS_IS."""
     if not text:
         return []
     if text[0] == " " or _unsafe.search(text):
-        return [x for x in _cut.split(text) if x]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+        return [AS_IS + x for x in _cut.split(text) if x]
+    return (AS_IS + text).split(" ")
 
 
+#: Segments that can be lines of one text: no white space but for one space at the start.
+_line = re.compile(r" ?\S+\Z")
+
+
+def _ids(encodings: list) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *[np.array(x.ids, np.int32) for x in encodings]])
+
+
+@cache
 def _encoder(path: str) -> SegmentIds:
     tokenizer = _tokenizer(path)
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum())), lengths
+        chunks = [x[1:] if x[:1] == AS_IS else " " + x for x in chunks]
+        # a line end before a word or before a space and a word is an id of its own
+        plain = np.array([_line.match(x) is not None for x in chunks], bool)
+        lines = list(compress(chunks, plain))
+        parts = ["\n".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
+        flat = _ids(tokenizer.encode_batch_fast(parts, add_special_tokens=False))
+        lengths = np.empty(len(chunks), np.int64)
+        lengths[plain] = np.diff(np.flatnonzero(flat == LINE_ID), prepend=-1) - 1
+        odd = tokenizer.encode_batch_fast(list(compress(chunks, ~plain)), add_special_tokens=False)
+        lengths[~plain] = [len(x) for x in odd]
+        out = np.empty(int(lengths.sum()), np.int32)
+        of_plain = np.repeat(plain, lengths)
+        out[of_plain], out[~of_plain] = flat[flat != LINE_ID], _ids(odd)
+        return out, lengths
 
     return SegmentIds(encode)
 
@@ -82,6 +111,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, files: int)
                 )
                 place += int(ends[-1])
 
+    small_batches(docs.sparkSession)
     ranged = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return ranged.mapInArrow(run, schema)
 
