@@ -47,5 +47,25 @@ def runs(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return value
 
 
+_BASE = 0xD6E8FEB86659FD93
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each k consecutive words, as a polynomial of their hashes; for long arrays faster than runs()."""
+    n = len(words)
+    if n < k:
+        return words[:0]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * _powers(_BASE, n), dtype=np.uint64)])
+    # wherever the words stand, their polynomial is brought back to begin with the power 0
+    return mix((sums[k:] - sums[:-k]) * _powers(_BACK, n - k + 1) + np.uint64(k))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -13,7 +13,7 @@ all others. Within one document a repeated window stays.
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,53 +27,60 @@ LAST = np.iinfo(np.int64).max
 _SEEDS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of the values, where new values begin in it, and each value's place among the distinct ones."""
+    order = np.argsort(values, kind="stable")
+    in_order = values[order]
+    new = np.ones(len(order), bool)
+    new[1:] = in_order[1:] != in_order[:-1]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, new, place
+
+
 class _Block:
-    """Windows of a block's documents: one entry for each window and document."""
+    """Windows of a block's documents, in the order of the text."""
 
     def __init__(self, table: pa.Table, k: int):
-        hashes = hashing.WordHashes()
-        ids = table.column("doc_id").to_pylist()
-        self.ids, self.k = ids, k
+        self.ids = table.column("doc_id").to_pylist()
         self.words = [hashing.words_of(t, lower=False) for t in table.column("text").to_pylist()]
-        own, check, doc = [], [], []
-        for i, words in enumerate(self.words):
-            if len(words) >= k:
-                h = hashes.of(words)
-                own.append(hashing.runs(h, k))
-                check.append(hashing.runs(h, k, seed=1) & np.uint64(0xFFFFFFFF))
-                doc.append(np.full(len(own[-1]), i))
-        empty = np.zeros(0, np.uint64)
-        self.window = np.concatenate(own) if own else empty
-        self.check = np.concatenate(check).astype(np.uint32) if own else empty.astype(np.uint32)
-        self.doc = np.concatenate(doc) if own else np.zeros(0, np.int64)
+        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.hashes = hashing.WordHashes().of(list(chain.from_iterable(self.words)))
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        rolled = hashing.rolling(self.hashes, k)
+        #: Where windows begin that lie within one document.
+        self.at = np.flatnonzero(doc[k - 1 :] == doc[: len(rolled)]) if len(rolled) else np.zeros(0, np.int64)
+        self.window, self.doc, self.k = rolled[self.at], doc[self.at], k
 
     def cells(self, depth: int, shift: int) -> np.ndarray:
         return hashing.mix(self.window ^ _SEEDS[depth]) >> np.uint64(shift)
 
-    def once_a_document(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct values, and whether two documents or more have each."""
-        order = np.lexsort((self.doc, values))
-        v, d = values[order], self.doc[order]
-        new = np.diff(v, prepend=~v[:1]) != 0
-        first = np.flatnonzero(new)
-        many = np.zeros(len(v), bool)
+    def counted(self, depth: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct cells, and whether two documents or more hit each."""
+        values = self.cells(depth, shift)
+        order, new, _ = _ranked(values)
+        d, first = self.doc[order], np.flatnonzero(new)
+        many = np.zeros(len(d), bool)
         many[1:] = ~new[1:] & (d[1:] != d[:-1])
-        return v[first], np.logical_or.reduceat(many, first) if len(first) else many[:0]
+        return values[order[first]], np.logical_or.reduceat(many, first) if len(first) else many
 
     def suspects(self, answers: pa.Table, shards: int, shift: int) -> np.ndarray:
         """Which windows hit cells of the merged sketch that were hit twice in all rows of it."""
         found = np.ones(len(self.window), bool)
         for depth in range(DEPTH):
-            cells = self.cells(depth, shift)
-            values = np.unique(cells)
-            at = packets.cuts(values, packets.shard_bounds(shards, shift))
-            hit = _bits(answers, depth, at)
-            found &= hit[np.searchsorted(values, cells)]
+            values = self.cells(depth, shift)
+            order, new, place = _ranked(values)
+            at = packets.cuts(values[order[new]], packets.shard_bounds(shards, shift))
+            found &= _bits(answers, depth, at)[place]
         return found
 
     def groups(self, suspect: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct suspected windows (window, check), sorted, the smallest doc_id of each, and each suspect's place."""
-        window, check = self.window[suspect], self.check[suspect]
+        window, begin = self.window[suspect], self.at[suspect]
+        check = np.zeros(len(begin), np.uint64)
+        for j in range(self.k):
+            check = hashing.mix(check ^ self.hashes[begin + j])
+        check = check.astype(np.uint32)
         ids = np.array([LAST if i is None else i for i in self.ids], np.int64)[self.doc[suspect]]
         order = np.lexsort((check, window))
         new = np.ones(len(order), bool)
@@ -116,7 +123,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         block = table.column("block")[0].as_py()
         bounds = packets.shard_bounds(shards, shift)
         for depth in range(DEPTH if len(own.window) else 0):
-            values, many = own.once_a_document(own.cells(depth, shift))
+            values, many = own.counted(depth, shift)
             at = packets.cuts(values, bounds)
             low = np.concatenate([[0], bounds]).astype(np.uint64)
             for s in np.flatnonzero(np.diff(at)):
