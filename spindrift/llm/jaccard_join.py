@@ -8,6 +8,11 @@ meet on (band, block, content). A set is also put into the band of the largest s
 Candidates whose 1024-bit sketches differ by more than the sizes allow are dropped, the rest are verified on
 the sets. Documents with equal sets are one vertex from the start.
 
+Members of a bucket are compared with a pivot P, not with each other. Of two that are linked, A and B, at least
+one of which isn't linked with P, the differences from P have an element in common: |A-P| + |B-P| is more than
+|A-B| may be. Such pairs meet on (P, element), for the first |A|(q-p)/p + 1 elements of a difference, so a group
+of copies with many different changes stays linear in its size.
+
 Results in odd cases: documents without words have no shingles, are linked with nothing and are their own
 component; a row with a null doc_id belongs to the component of the documents with an equal set, or to none
 (null); rows that repeat a doc_id with different texts are compared as different documents.
@@ -119,22 +124,30 @@ def cluster(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataF
     members = first.select("v", F.explode("keys").alias("key")).distinct()
     sketched = classes.select("v", "n", "sketch")
 
+    sets: DataFrame | None = None
+
+    def ends(pairs: DataFrame, table: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+        own = [table.select(*[F.col(c).alias(f"{c}_{s}") for c in table.columns]) for s in "ab"]
+        return pairs.join(own[0], pairs[a] == F.col("v_a")).join(own[1], pairs[b] == F.col("v_b"))
+
     def check(pairs: DataFrame) -> DataFrame:
-        a, b = (sketched.select(*[F.col(c).alias(f"{c}_{s}") for c in sketched.columns]) for s in "ab")
+        nonlocal sets
+        if sets is None:  # the first pairs hold every v of later ones
+            wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "doc_id"), "v"), "wanted")
+            texts = joined_if_small(docs, wanted, "doc_id", "inner", wanted.count(), BROADCAST_IDS)
+            sets = stored(_sets(texts, shingle).dropDuplicates(["v"]), "sets")
         differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-        near = pairs.join(a, pairs.a == F.col("v_a")).join(b, pairs.b == F.col("v_b"))
-        near = near.where(differ * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p))
-        near = stored(near.select("a", "b", "n_a", "n_b"), "near")
-        wanted = stored(near.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "doc_id"), "v"), "wanted")
-        rows = wanted.count()
-        texts = joined_if_small(docs, wanted, "doc_id", "inner", rows, BROADCAST_IDS)
-        own = stored(_sets(texts, shingle).dropDuplicates(["v"]), "sets")
-        a, b = (own.select(F.col("v").alias(f"v_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
-        both = near.join(a, near.a == F.col("v_a")).join(b, near.b == F.col("v_b"))
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
-
-    labels = link(members, check)
+        near = ends(pairs, sketched).where(differ * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b", "n_a", "n_b")
+        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return ends(near, sets).where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
+
+    def refine(pairs: DataFrame) -> DataFrame:
+        both = ends(pairs, sets, "v", "p")
+        differ = F.array_sort(F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
+        first = F.slice(differ, 1, F.floor(F.size("shingles_a") * F.lit(q - p) / F.lit(p)).cast("int") + 1)
+        return both.select("v", "p", F.explode(first).alias("element")).select(F.xxhash64("p", "element").alias("key"), "v").distinct()
+
+    labels = link(members, check, refine)
     grouped = classes.join(labels, "v", "left").select("v", "doc_id", F.coalesce("label", "v").alias("label"))
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = grouped.join(least, "label").select("v", "component_id")

@@ -4,8 +4,10 @@
 Each round compares the members of every bucket with one pivot of it and joins what the check confirms; pairs
 whose ends are in one group already need no check, so a bucket whose members are all in one group is done. The
 pivot of the first round is the member that shares most with others, so a group of near copies gathers around
-the text they come from. When the pairs still open are few against the rows of the buckets, all are checked.
-No link between different groups is lost: a bucket leaves the rounds only when all its pairs are decided.
+the text they come from. What is left open goes into narrower buckets: `refine` may know, from how two members
+differ from the pivot, when they can be linked with each other. Without it, a bucket goes on without its pivot.
+When the pairs still open are few against the rows of the buckets, all are checked. No link between different
+groups is lost: a bucket is left only when all its pairs are decided or can meet again in narrower ones.
 """
 
 from __future__ import annotations
@@ -42,35 +44,47 @@ def components(edges: DataFrame) -> DataFrame:
     return vertices.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("label")), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
 
 
-def link(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(v, label) of everything in a group of two or more. members: distinct (key, v). check: of pairs (a, b), those
-    that are linked."""
+    that are linked. refine: of (v, p), p being a pivot, distinct (key, v) with a key in common for any two that are
+    linked and were compared with the same pivot, unless both are linked with it."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(sizes, "key"), "buckets")
-    weight = shared.groupBy("v").agg(F.sum("n").alias("w"))
-    rows = stored(shared.join(weight, "v").select("key", "v", "w", F.col("v").alias("label")), "buckets")
     links, labels = None, None
     for turn in range(ROUNDS):
+        weight = shared.groupBy("v").agg(F.sum("n").alias("w"))
+        rows = shared.join(weight, "v")
+        rows = rows.withColumn("label", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        rows = stored(rows.select("key", "v", "n", "w", "label"), "buckets")
         groups = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-        open_ = groups.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("labels")).where("labels > 1")
-        rows = stored(rows.join(open_.select("key"), "key").join(groups, ["key", "label"]), "buckets")
-        total = open_.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not total["rows"]:
+        open_ = groups.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("labels")).where("labels > 1")
+        total = stored(open_.select("key", "size", "own"), "open")
+        rows = stored(rows.join(total.select("key"), "key", "left_semi").join(groups, ["key", "label"]), "buckets")
+        size = total.agg(F.sum("size").alias("rows"), F.sum((F.col("size") * F.col("size") - F.col("own")) / 2).alias("pairs")).first()
+        if not size["rows"]:
             break
-        last = total["pairs"] <= max(PAIRS, PAIRS_A_ROW * total["rows"]) or turn == ROUNDS - 1
+        last = size["pairs"] <= max(PAIRS, PAIRS_A_ROW * size["rows"]) or turn == ROUNDS - 1
         if last:
             other = rows.select("key", F.col("v").alias("u"), F.col("label").alias("other"))
             pairs = rows.join(other, "key").where("v < u and label <> other").select(F.col("v").alias("a"), F.col("u").alias("b"))
         else:
+            # of the smallest group of the bucket, the member that shares most
             pivot = rows.groupBy("key").agg(F.min(F.struct("c", (-F.col("w")).alias("w"), "v", "label")).alias("p"))
-            rows = rows.join(pivot, "key")
-            pairs = rows.where("label <> p.label").select(F.least("v", F.col("p.v")).alias("a"), F.greatest("v", F.col("p.v")).alias("b"))
+            rows = rows.join(pivot, "key").where("v <> p.v").select("key", "v", "n", "label", F.col("p.v").alias("p"), F.col("p.label").alias("other"))
+            to_pivot = stored(rows.select("v", "p", "label", "other").distinct(), "pairs")
+            pairs = to_pivot.where("label <> other").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))
         found = stored(check(stored(pairs.distinct(), "pairs")), "links")
         links = found if links is None else links.union(found)
         labels = stored(components(links), "labels")
         if last:
             break
-        rows = rows.where("v <> p.v").select("key", "v", "w").join(labels, "v", "left").select("key", "v", "w", F.coalesce("label", "v").alias("label"))
-    if labels is None:
-        labels = rows.select("v", "label").where("false")
-    return labels
+        if refine is None:
+            shared = rows.select("key", "v", "n")
+            continue
+        grouped = to_pivot.select("v", "p").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        grouped = grouped.join(labels.select(F.col("v").alias("p"), F.col("label").alias("other")), "p", "left").withColumn("other", F.coalesce("other", "p"))
+        undecided = grouped.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("other")).alias("apart")).where("n > 1 and apart > 0")
+        narrow = stored(refine(grouped.join(undecided, "p", "left_semi").select("v", "p")), "buckets")
+        sizes = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = stored(narrow.join(sizes, "key"), "buckets")
+    return members.select("v", F.col("v").alias("label")).where("false") if labels is None else labels
