@@ -3,8 +3,10 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Every shingle flips one bit of a sketch, so
 the Hamming distance of two sketches is at most the size of the symmetric difference of the sets. Sets are
 put into bands of size; in a band whose largest set is M, a pair at the threshold p/q differs in at most
-D = 2M(q-p)/(q+p) shingles. The band's sketch has D+1 blocks, so such a pair has an equal block: documents
-meet on (band, block, content). A set is also put into the band of the largest set it can be linked with.
+D = 2M(q-p)/(q+p) shingles. The band's sketch has D+1+E blocks, so such a pair has E+1 equal blocks: documents
+meet on (band, block, content). A set of which at most E blocks are empty needs no key for those. A set is also
+put into the bands up to that of the largest set it can be linked with. Most keys occur once; blocks of documents
+send theirs to shards of the key space, sorted and packed, and learn which are shared. Only those become rows.
 Candidates whose 1024-bit sketches differ by more than the sizes allow are dropped, the rest are verified on
 the sets. Documents with equal sets are one vertex from the start.
 
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
+from . import hashing, packets
 from .common import joined_if_small, stored
 from .linking import link
 
 #: Ratio of the largest sizes of neighbouring bands.
-BAND_RATIO = 1.2
+BAND_RATIO = 1.5
 #: Bits of a block and of the sketch by which candidates are dropped.
 BLOCK_BITS, SKETCH_BITS = 256, 1024
 #: Ids of candidates that are broadcast at most (16 bytes each).
@@ -53,13 +55,16 @@ def shingle_set(text: str | None, k: int, words: hashing.WordHashes) -> np.ndarr
 
 
 def block_keys(shingles: np.ndarray, band: int, differ: int) -> np.ndarray:
-    """The keys of the differ + 1 blocks of a band's sketch."""
-    blocks = np.uint64(differ + 1)
+    """The keys of a band's sketch for a set, in a band where linked sets differ in at most `differ` shingles."""
+    spare = (differ + 1) // 8 + 1
+    blocks = np.uint64(differ + 1 + spare)
     bit = ((shingles >> np.uint64(16)) % blocks).astype(np.int64) * BLOCK_BITS + (shingles & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
     flips = (np.bincount(bit, minlength=int(blocks) * BLOCK_BITS) & 1).astype(np.uint8)
     words = np.packbits(flips, bitorder="little").view(np.uint64).reshape(-1, BLOCK_BITS // 64)
     place = np.arange(len(words), dtype=np.uint64) + np.uint64(band << 32)
-    return hashing.mix(hashing.mix((words * _ODD).sum(axis=1, dtype=np.uint64)) ^ hashing.mix(place))
+    keys = hashing.mix(hashing.mix((words * _ODD).sum(axis=1, dtype=np.uint64)) ^ hashing.mix(place))
+    full = words.any(axis=1)
+    return keys[full] if len(keys) - full.sum() <= spare else keys
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -67,36 +72,84 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(doc_id, n_shingles, v, sketch, keys); v is the hash of the whole set, null if it is empty."""
-    limits = band_limits()
+def set_hash(shingles: np.ndarray) -> int | None:
+    return int(hashing.signed(hashing.mix(shingles * _ODD[0]).sum(keepdims=True))[0]) if len(shingles) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = hashing.WordHashes()
-        for batch in batches:
-            n, v, bits, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, k, words)
-                n.append(size := len(own))
-                v.append(set_hash(own))
-                bits.append(sketch(own) if size else None)
-                bands = range(*(np.searchsorted(limits, [size, size * q // p]) + [0, 1])) if size else ()
-                found = []
-                for band in bands:
-                    if differ := 2 * int(limits[band]) * (q - p) // (q + p):
-                        found.append(hashing.signed(block_keys(own, band, differ)))
-                keys.append(np.concatenate(found) if found else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(bits, longs), pa.array(keys, longs)],
-                names=["doc_id", "n_shingles", "v", "sketch", "keys"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, v long, sketch array<long>, keys array<long>")
 
+class _Block:
+    """Sets, sketches and keys of a block's documents."""
+
+    def __init__(self, table: pa.Table, k: int, p: int, q: int):
+        words, limits = hashing.WordHashes(), band_limits()
+        self.sizes, self.hashes, self.sketches, keys = [], [], [], []
+        for text in table.column("text").to_pylist():
+            own = shingle_set(text, k, words)
+            self.sizes.append(size := len(own))
+            self.hashes.append(set_hash(own))
+            self.sketches.append(sketch(own) if size else None)
+            found = [own[:0]]
+            for band in range(*(np.searchsorted(limits, [size, size * q // p]) + [0, 1])) if size else ():
+                if differ := 2 * int(limits[band]) * (q - p) // (q + p):
+                    found.append(block_keys(own, band, differ))
+            keys.append(np.concatenate(found))
+        self.keys = np.concatenate(keys)
+        self.doc = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        order = np.argsort(self.keys, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(self.keys[order]) != 0
+        first = np.flatnonzero(new)
+        self.values = self.keys[order[first]]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        #: Whether documents with different sets of this block have the key.
+        sets = np.array([h or 0 for h in self.hashes], np.int64)[self.doc[order]]
+        apart = np.zeros(len(order), bool)
+        apart[1:] = ~new[1:] & (sets[1:] != sets[:-1])
+        self.many = np.logical_or.reduceat(apart, first) if len(first) else apart
 
-def set_hash(shingles: np.ndarray) -> int | None:
-    return int(hashing.signed(hashing.mix(shingles * _ODD[0]).sum(keepdims=True))[0]) if len(shingles) else None
+
+def sketches(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(doc_id, n_shingles, v, sketch, keys); v is the hash of the whole set, null if it is empty; keys are those that
+    another document has too."""
+    docs = docs.select("doc_id", "text")
+    blocks, shards = packets.extent(docs)
+    by_block = packets.blocked(docs, blocks).groupBy("block")
+
+    def count(table: pa.Table) -> pa.Table:
+        own = _Block(table, k, p, q)
+        at = packets.cuts(own.values, packets.shard_bounds(shards))
+        full = np.flatnonzero(np.diff(at))
+        parts = [(at[s], at[s + 1]) for s in full]
+        return pa.table(
+            [pa.array(full.astype(np.int32)), pa.array([table.column("block")[0].as_py()] * len(full), pa.int64()), pa.array([packets.packed(own.values[a:b]) for a, b in parts], pa.binary()), pa.array([np.packbits(own.many[a:b]).tobytes() for a, b in parts], pa.binary())],
+            names=["shard", "block", "keys", "many"],
+        )
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = [packets.unpacked(x, np.uint64) for x in table.column("keys").to_pylist()]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(own)) for x, own in zip(table.column("many").to_pylist(), keys)]
+        _, which, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = ((n > 1)[which]) | np.concatenate(many).astype(bool)
+        bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(x) for x in keys])[:-1])]
+        return pa.table([table.column("shard"), table.column("block"), pa.array(bits, pa.binary())], names=["shard", "block", "bits"])
+
+    def give(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = _Block(table, k, p, q)
+        at = packets.cuts(own.values, packets.shard_bounds(shards))
+        shared = np.zeros(len(own.values), bool)
+        for s, bits in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist()):
+            shared[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[s + 1] - at[s])
+        kept = shared[own.place]
+        keys = np.split(hashing.signed(own.keys[kept]), np.cumsum(np.bincount(own.doc[kept], minlength=len(own.sizes)))[:-1])
+        longs = pa.list_(pa.int64())
+        return pa.table(
+            [table.column("doc_id"), pa.array(own.sizes, pa.int64()), pa.array(own.hashes, pa.int64()), pa.array(own.sketches, longs), pa.array(keys, longs)],
+            names=["doc_id", "n_shingles", "v", "sketch", "keys"],
+        )
+
+    counted = by_block.applyInArrow(count, "shard int, block long, keys binary, many binary")
+    answers = counted.groupBy("shard").applyInArrow(merge, "shard int, block long, bits binary")
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(give, "doc_id long, n_shingles long, v long, sketch array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -120,7 +173,7 @@ def cluster(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataF
     # one of each set: its smallest doc_id stands for it
     classes = stored(signed.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     # any row of a class has its keys; only the one of the smallest id gives them
-    first = signed.where("keys is not null").join(classes.select("v", "doc_id"), ["v", "doc_id"])
+    first = signed.where("size(keys) > 0").join(classes.select("v", "doc_id"), ["v", "doc_id"])
     members = first.select("v", F.explode("keys").alias("key")).distinct()
     sketched = classes.select("v", "n", "sketch")
 
