@@ -105,14 +105,13 @@ class VoteModel:
         return 0.0 if vote == ABSTAIN else math.log(chance if vote == BAD else 1 - chance)
 
     def posterior(self) -> Column:
-        """The probability that a document with these votes is good."""
+        """The probability that a document with the votes in the array `votes` is good."""
         likely = []
         for k, share in enumerate(self.shares):
-            total = F.lit(math.log(share))
-            for name, rule in votes().items():
-                total = total + F.when(rule == GOOD, self.weight(name, k, GOOD)).when(rule == BAD, self.weight(name, k, BAD)).otherwise(0.0)
+            weights = F.array(*[F.array(*[F.lit(self.weight(x, k, v)) for v in (ABSTAIN, GOOD, BAD)]) for x in self.faults])
+            total = F.aggregate(F.zip_with("votes", weights, lambda v, w: F.get(w, v)), F.lit(math.log(share)), lambda t, x: t + x)
             likely.append(F.exp(total))
-        return likely[0] / sum(likely[1:], likely[0])
+        return F.get(F.array(*likely), F.lit(0)) / F.aggregate(F.array(*likely), F.lit(0.0), lambda t, x: t + x)
 
 
 def estimate(patterns: dict[tuple[int, ...], int], names: list[str]) -> VoteModel:
@@ -145,10 +144,14 @@ def estimate(patterns: dict[tuple[int, ...], int], names: list[str]) -> VoteMode
 
 
 def fit(rows: DataFrame) -> VoteModel:
-    """The model of the votes over rows with figures."""
-    names = list(votes())
-    counted = rows.select(*[v.alias(x) for x, v in votes().items()]).groupBy(*names).count().collect()
-    return estimate({tuple(r[x] for x in names): r["count"] for r in counted}, names)
+    """The model of the votes of rows."""
+    counted = rows.groupBy("votes").count().collect()  # a row for each pattern
+    return estimate({tuple(r["votes"]): r["count"] for r in counted}, list(votes()))
+
+
+def voted(docs: DataFrame, *drop: str) -> DataFrame:
+    """Stored docs with figures and the array of votes."""
+    return stored(figures(docs).withColumn("votes", F.array(*votes().values())).drop(*drop), "figures")
 
 
 def judge(rows: DataFrame, model: VoteModel) -> DataFrame:
@@ -160,7 +163,7 @@ def judge(rows: DataFrame, model: VoteModel) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, the figures, base_failed, posterior, kept) of docs (doc_id, text)."""
-    rows = stored(figures(docs.select("doc_id", "text")).drop("text"), "figures")
+    rows = voted(docs.select("doc_id", "text"), "text")
     return judge(rows, fit(rows))
 
 
@@ -168,5 +171,5 @@ def good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
     columns = docs.columns
     named = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
-    rows = stored(figures(named).drop("text"), "figures")
+    rows = voted(named, "text")
     return judge(rows, fit(rows)).where("kept").select(*[F.col("_row")[c].alias(c) for c in columns])
