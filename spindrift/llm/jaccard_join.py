@@ -1,10 +1,11 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Every shingle flips one bit of a sketch, so
-the Hamming distance of two sketches is at most the size of the symmetric difference of the sets. Sets are
-put into bands of size; in a band whose largest set is M, a pair at the threshold p/q differs in at most
-D = 2M(q-p)/(q+p) shingles. The band's sketch has D+1+E blocks, so such a pair has E+1 equal blocks: documents
-meet on (band, block, content). A set of which at most E blocks are empty needs no key for those. A set is also
+A document's set is its distinct word shingles, as 64-bit hashes. They are XORed into sketches. In a sketch of
+bits every shingle flips one bit, so the Hamming distance of two sketches is at most the size of the symmetric
+difference of the sets. In a sketch of 64-bit blocks every shingle is XORed into one block, so at most as many
+blocks differ. Sets are put into bands of size; in a band whose largest set is M, a pair at the threshold p/q
+differs in at most D = 2M(q-p)/(q+p) shingles. The band's sketch has D+1+E blocks, so such a pair has E+1 equal
+blocks: documents meet on (band, block, content). A set of which at most E blocks are empty needs no key for those. A set is also
 put into the bands up to that of the largest set it can be linked with. Most keys occur once; blocks of documents
 send theirs to shards of the key space, sorted and packed, and learn which are shared. Only those become rows.
 Candidates whose 1024-bit sketches differ by more than the sizes allow are dropped, the rest are verified on
@@ -35,11 +36,11 @@ from .linking import link
 
 #: Ratio of the largest sizes of neighbouring bands.
 BAND_RATIO = 1.5
-#: Bits of a block and of the sketch by which candidates are dropped.
-BLOCK_BITS, SKETCH_BITS = 256, 1024
+#: Bits of the sketch by which candidates are dropped.
+SKETCH_BITS = 1024
 #: Ids of candidates that are broadcast at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def band_limits(over: int = 1 << 31) -> np.ndarray:
@@ -57,14 +58,16 @@ def shingle_set(text: str | None, k: int, words: hashing.WordHashes) -> np.ndarr
 def block_keys(shingles: np.ndarray, band: int, differ: int) -> np.ndarray:
     """The keys of a band's sketch for a set, in a band where linked sets differ in at most `differ` shingles."""
     spare = (differ + 1) // 8 + 1
-    blocks = np.uint64(differ + 1 + spare)
-    bit = ((shingles >> np.uint64(16)) % blocks).astype(np.int64) * BLOCK_BITS + (shingles & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
-    flips = (np.bincount(bit, minlength=int(blocks) * BLOCK_BITS) & 1).astype(np.uint8)
-    words = np.packbits(flips, bitorder="little").view(np.uint64).reshape(-1, BLOCK_BITS // 64)
-    place = np.arange(len(words), dtype=np.uint64) + np.uint64(band << 32)
-    keys = hashing.mix(hashing.mix((words * _ODD).sum(axis=1, dtype=np.uint64)) ^ hashing.mix(place))
-    full = words.any(axis=1)
-    return keys[full] if len(keys) - full.sum() <= spare else keys
+    blocks = differ + 1 + spare
+    block = ((shingles >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block)
+    first = np.flatnonzero(np.diff(block[order], prepend=-1))
+    content = np.bitwise_xor.reduceat(hashing.mix(shingles * _ODD)[order], first)
+    place = block[order[first]].astype(np.uint64)
+    if blocks - len(first) > spare:  # so many are empty that the equal ones may be among those
+        empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), place)
+        content, place = np.concatenate([content, np.zeros(len(empty), np.uint64)]), np.concatenate([place, empty])
+    return hashing.mix(content ^ hashing.mix(place + np.uint64(band << 32)))
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -73,7 +76,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def set_hash(shingles: np.ndarray) -> int | None:
-    return int(hashing.signed(hashing.mix(shingles * _ODD[0]).sum(keepdims=True))[0]) if len(shingles) else None
+    return int(hashing.signed(hashing.mix(shingles * _ODD).sum(keepdims=True))[0]) if len(shingles) else None
 
 
 class _Block:
