@@ -14,7 +14,8 @@ the sets. Documents with equal sets are one vertex from the start.
 Members of a bucket are compared with a pivot P, not with each other. Of two that are linked, A and B, at least
 one of which isn't linked with P, the differences from P have an element in common: |A-P| + |B-P| is more than
 |A-B| may be. Such pairs meet on (P, element), for the first |A|(q-p)/p + 1 elements of a difference, so a group
-of copies with many different changes stays linear in its size.
+of copies with many different changes stays linear in its size. What is too far from P to be linked with anything
+near P (by the triangle inequality) stays behind in the bucket, for another pivot.
 
 Results in odd cases: documents without words have no shingles, are linked with nothing and are their own
 component; a row with a null doc_id belongs to the component of the documents with an equal set, or to none
@@ -198,10 +199,13 @@ def cluster(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataF
         return ends(near, sets).where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
 
     def refine(pairs: DataFrame) -> DataFrame:
-        both = ends(pairs, sets, "v", "p")
+        both = ends(ends(pairs, sets, "v", "p").select("v", "p", "shingles_a", "shingles_b"), sketched.select("v", "n"), "v", "p")
+        allowed = lambda n: F.floor(F.col(n) * F.lit(q - p) / F.lit(p)).cast("int")  # noqa: E731  differences of a linked set
         differ = F.array_sort(F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
-        first = F.slice(differ, 1, F.floor(F.size("shingles_a") * F.lit(q - p) / F.lit(p)).cast("int") + 1)
-        return both.select("v", "p", F.explode(first).alias("element")).select(F.xxhash64("p", "element").alias("key"), "v").distinct()
+        own = both.select("v", "p", allowed("n_a").alias("own"), (2 * allowed("n_b")).alias("reach"), differ.alias("differ"))
+        first = F.when(F.size("differ") <= F.col("reach") + F.col("own"), F.slice("differ", 1, F.col("own") + 1)).otherwise(F.array().cast("array<bigint>"))
+        keys = F.transform(first, lambda e: F.xxhash64(F.col("p"), e))
+        return own.select("v", "p", keys.alias("keys"), (F.size("differ") > F.col("reach")).alias("far"))
 
     labels = link(members, check, refine)
     grouped = classes.join(labels, "v", "left").select("v", "doc_id", F.coalesce("label", "v").alias("label"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Open pairs are checked at once when there are at most so many for a row of the open buckets, or so many in all.
-PAIRS_A_ROW, PAIRS = 3, 100_000
+PAIRS_A_ROW, PAIRS = 3, 300_000
 ROUNDS = 16
 
 
@@ -84,7 +84,9 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], refine: Ca
         grouped = to_pivot.select("v", "p").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
         grouped = grouped.join(labels.select(F.col("v").alias("p"), F.col("label").alias("other")), "p", "left").withColumn("other", F.coalesce("other", "p"))
         undecided = grouped.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("other")).alias("apart")).where("n > 1 and apart > 0")
-        narrow = stored(refine(grouped.join(undecided, "p", "left_semi").select("v", "p")), "buckets")
+        refined = stored(refine(grouped.join(undecided, "p", "left_semi").select("v", "p")), "refined")
+        far = rows.select("key", "v", "p").join(refined.where("far").select("v", "p"), ["v", "p"]).select("key", "v")
+        narrow = stored(refined.select(F.explode("keys").alias("key"), "v").union(far).distinct(), "buckets")
         sizes = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         shared = stored(narrow.join(sizes, "key"), "buckets")
     return members.select("v", F.col("v").alias("label")).where("false") if labels is None else labels
