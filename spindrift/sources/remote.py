@@ -68,15 +68,17 @@ def page_bodies(roots: DataFrame, blocks: DataFrame, depth: int = MAX_DEPTH, lin
 
 def folder_files(roots: DataFrame, entries: DataFrame, depth: int = 10) -> DataFrame:
     """(root, external_id, title, url, modified_at) of files under folders (root): entries (id, parent, is_folder, name, url,
-    modified). Every folder is visited once; a file that is reached twice counts once."""
-    level, files = roots.select("root", F.col("root").alias("at")), None
-    seen = level
-    for _ in range(depth):
-        here = level.join(entries, F.col("at") == F.col("parent")).drop("at")
-        own = here.where("not is_folder").select("root", F.col("id").alias("external_id"), F.col("name").alias("title"), F.coalesce("url", F.lit("")).alias("url"), utc("modified").alias("modified_at"))
-        files = own if files is None else files.union(own)
-        level = here.where("is_folder").select("root", F.col("id").alias("at")).distinct().join(seen, ["root", "at"], "left_anti")
-        seen = seen.union(level)
+    modified). No folder is entered from itself; a file that is reached twice counts once."""
+    walked = roots.sparkSession.sql(
+        """WITH RECURSIVE walk(root, at, way) AS (
+               SELECT root, root, array(root) FROM {roots}
+               UNION ALL SELECT w.root, e.id, array_append(w.way, e.id) FROM walk w JOIN {entries} e ON e.parent = w.at
+               WHERE e.is_folder AND NOT array_contains(w.way, e.id) AND size(w.way) < {depth})
+           SELECT DISTINCT root, at FROM walk""",
+        roots=roots, entries=entries, depth=depth,
+    )
+    own = walked.join(entries.where("not is_folder"), F.col("at") == F.col("parent"))
+    files = own.select("root", F.col("id").alias("external_id"), F.col("name").alias("title"), F.coalesce("url", F.lit("")).alias("url"), utc("modified").alias("modified_at"))
     return files.dropDuplicates(["root", "external_id"])
 
 
