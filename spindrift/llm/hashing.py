@@ -7,7 +7,7 @@ import xxhash
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a task remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -84,6 +84,7 @@ class _Block:
     """Sets, sketches and keys of a block's documents."""
 
     def __init__(self, table: pa.Table, k: int, p: int, q: int):
+        packets.tidy()
         words, limits = hashing.WordHashes(), band_limits()
         self.sizes, self.hashes, self.sketches, keys = [], [], [], []
         for text in table.column("text").to_pylist():

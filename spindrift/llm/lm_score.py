@@ -32,6 +32,7 @@ BACKOFF = 4.0
 
 class _Block:
     def __init__(self, table: pa.Table, order: int):
+        packets.tidy()
         hashes = hashing.WordHashes()
         texts = [[*hashing.words_of(t, lower=True), END] for t in table.column("text").to_pylist()]
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -10,6 +10,7 @@ Spark reuses.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ def extent(docs: DataFrame) -> tuple[int, int]:
     return max(1, -(-n // BLOCK_DOCS), -(-chars // 4_000_000)), max(1, -(-chars // SHARD_CHARS))
 
 
+def tidy() -> None:
+    """Gives back what Arrow holds of earlier blocks: a worker lives on, and its pool keeps what was freed."""
+    pa.default_memory_pool().release_unused()
+
+
 def packed(values: np.ndarray) -> bytes:
     """Unsigned integers by byte planes, which the shuffle compresses well where the numbers are sorted or small."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()

@@ -42,6 +42,7 @@ class _Block:
     """Windows of a block's documents, in the order of the text."""
 
     def __init__(self, table: pa.Table, k: int):
+        packets.tidy()
         self.ids = table.column("doc_id").to_pylist()
         self.words = [hashing.words_of(t, lower=False) for t in table.column("text").to_pylist()]
         lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
