@@ -162,6 +162,6 @@ def weighted(candidates: DataFrame, queries: DataFrame, top_k: int, budget: int)
     asked = queries.select("query_id", F.col("text").alias("query"), T.terms("text").alias("wanted"))
     read = candidates.where(F.col("rank") <= budget).withColumnRenamed("score", "title_score").join(bounded(asked), "query_id")
     body = F.when(F.coalesce("body", F.lit("")) == "", 0.0).otherwise(T.body_score(F.col("query"), F.col("wanted"), F.col("body")))
-    scored = read.withColumn("score", F.round(0.4 * F.col("title_score") + 0.6 * body, 4))
+    scored = read.withColumn("score", F.round(F.round(0.4 * F.col("title_score") + 0.6 * body, 9), 4))
     ordered = W.partitionBy("query_id").orderBy(F.col("score").desc(), "title", "key")
     return scored.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= top_k).select("query_id", "key", "rank", "score")

@@ -251,7 +251,7 @@ def fold_chunks_to_docs(spark, sf_dir):
 
 @query(f"""WITH {_TITLE}, body AS (SELECT page_id AS key, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages),
     j AS (SELECT tr.query_id, tr.key, tr.title, tr.score AS ts, w, cq, {_TERMS.format('body')} AS bt, lower(regexp_replace(body, '\\s+', '', 'g')) AS cb FROM tr JOIN tq USING (query_id) JOIN body USING (key) WHERE rank <= 20),
-    s AS (SELECT *, round(0.4 * ts + 0.6 * greatest(len(list_intersect(w, bt))::DOUBLE / len(w), CASE WHEN cq <> '' AND contains(cb, cq) THEN 1.0::DOUBLE / len(w) ELSE 0 END), 4) AS score FROM j),
+    s AS (SELECT *, round(round(0.4 * ts + 0.6 * greatest(len(list_intersect(w, bt))::DOUBLE / len(w), CASE WHEN cq <> '' AND contains(cb, cq) THEN 1.0::DOUBLE / len(w) ELSE 0 END), 9), 4) AS score FROM j),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, key) AS rank FROM s)
     SELECT query_id, key, rank, score FROM o WHERE rank <= 10""")
 def weighted_title_body(spark, sf_dir):
