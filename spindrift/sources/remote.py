@@ -66,17 +66,15 @@ def page_bodies(roots: DataFrame, blocks: DataFrame, depth: int = MAX_DEPTH, lin
     return found.where("type <> 'child_page'").groupBy("page_id").agg(clean_text(F.array_join(F.transform(text, lambda x: x.line), "\n")).alias("text"))
 
 
-def folder_files(roots: DataFrame, entries: DataFrame, depth: int = 10) -> DataFrame:
-    """(root, external_id, title, url, modified_at) of files under folders (root): entries (id, parent, is_folder, name, url,
-    modified). No folder is entered from itself; a file that is reached twice counts once."""
-    walked = roots.sparkSession.sql(
-        """WITH RECURSIVE walk(root, at, way) AS (
-               SELECT root, root, array(root) FROM {roots}
-               UNION ALL SELECT w.root, e.id, array_append(w.way, e.id) FROM walk w JOIN {entries} e ON e.parent = w.at
-               WHERE e.is_folder AND NOT array_contains(w.way, e.id) AND size(w.way) < {depth})
-           SELECT DISTINCT root, at FROM walk""",
-        roots=roots, entries=entries, depth=depth,
-    )
+def folder_files(roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(root, external_id, title, url, modified_at) of files under folders (root), however deep: entries (id, parent,
+    is_folder, name, url, modified). A folder is entered once for a root; a file that is reached twice counts once."""
+    folders = entries.where("is_folder").select("parent", "id").distinct()
+    level = walked = roots.select("root", F.col("root").alias("at")).distinct().localCheckpoint()
+    while not level.isEmpty():
+        below = level.join(folders, F.col("at") == F.col("parent")).select("root", F.col("id").alias("at")).distinct()
+        level = below.join(walked, ["root", "at"], "left_anti").localCheckpoint()
+        walked = walked.union(level).localCheckpoint()
     own = walked.join(entries.where("not is_folder"), F.col("at") == F.col("parent"))
     files = own.select("root", F.col("id").alias("external_id"), F.col("name").alias("title"), F.coalesce("url", F.lit("")).alias("url"), utc("modified").alias("modified_at"))
     return files.dropDuplicates(["root", "external_id"])
