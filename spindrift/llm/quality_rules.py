@@ -31,6 +31,8 @@ ROUNDS, PRIOR_SHARE = 40, 0.02
 #: with the rule's own fault, one with another fault.
 PRIOR_GOOD, BLAMES_GOOD, FINDS_OWN, FINDS_OTHER = 0.9, 0.002, 0.9, 0.1
 GOOD, BAD, ABSTAIN = 1, 2, 0
+#: Words from which the number of different ones is expected to grow as a power of the words, and that power.
+STEADY, GROWTH = 5000, 0.6
 
 
 def figures(docs: DataFrame, window: int = 5) -> DataFrame:
@@ -79,6 +81,8 @@ def votes() -> dict[str, Column]:
     """The rules, over the columns of figures()."""
     c = {x: F.col(x) for x in FIGURES}
     some = c["n_words"] > 0
+    # different words grow with the words at first, then with a power of them
+    expected = c["n_words"] * F.least(F.lit(1.0), F.pow(STEADY / F.greatest(c["n_words"], F.lit(1)), F.lit(1 - GROWTH)))
     return {
         "words": _vote(c["n_words"] < 10, c["n_words"] >= 20),
         "symbols": _vote(some & (5 * c["n_symbols"] > c["n_words"]), some & (50 * c["n_symbols"] <= c["n_words"])),
@@ -88,7 +92,7 @@ def votes() -> dict[str, Column]:
         "capitals": _vote(some & (2 * c["n_upper"] > c["word_chars"]), some & (6 * c["n_upper"] <= c["word_chars"])),
         "shouts": _vote(some & (10 * c["n_shouts"] > c["n_words"]), some & (50 * c["n_shouts"] <= c["n_words"])),
         "stops": _vote((c["n_words"] >= 60) & (c["n_stops"] == 0), (c["n_words"] >= 20) & (c["n_stops"] >= 3)),
-        "variety": _vote((c["n_words"] >= 50) & (c["n_words"] <= 5000) & (5 * c["n_distinct"] < c["n_words"]), (c["n_words"] >= 20) & (5 * c["n_distinct"] > 2 * c["n_words"])),
+        "variety": _vote((c["n_words"] >= 50) & (5 * c["n_distinct"] < expected), (c["n_words"] >= 20) & (5 * c["n_distinct"] > 2 * expected)),
         "ends": _vote((c["n_lines"] > 3) & (c["n_ended"] == 0), (c["n_lines"] > 0) & (2 * c["n_ended"] >= c["n_lines"])),
     }
 
