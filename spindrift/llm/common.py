@@ -60,6 +60,14 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def freed(*frames: DataFrame) -> None:
+    """Removes what stored() wrote for frames that nothing reads any more."""
+    for frame in frames:
+        for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+            hadoop = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def joined_if_small(left: DataFrame, right: DataFrame, keys, how: str, rows: int, bound: int) -> DataFrame:
     """A join that broadcasts `right` only when its counted rows are within `bound`, else shuffles."""
     return left.join(F.broadcast(right) if rows <= bound else right, keys, how)

@@ -11,15 +11,17 @@ send theirs to shards of the key space, sorted and packed, and learn which are s
 Candidates whose 1024-bit sketches differ by more than the sizes allow are dropped, the rest are verified on
 the sets. Documents with equal sets are one vertex from the start.
 
-Members of a bucket are compared with a pivot P, not with each other. Of two that are linked, A and B, at least
-one of which isn't linked with P, the differences from P have an element in common: |A-P| + |B-P| is more than
-|A-B| may be. Such pairs meet on (P, element), for the first |A|(q-p)/p + 1 elements of a difference, so a group
-of copies with many different changes stays linear in its size. What is too far from P to be linked with anything
-near P (by the triangle inequality) stays behind in the bucket, for another pivot.
+Linked groups are found as linking.link says. Within buckets the sizes and the Hamming distance of the 1024-bit
+sketches decide what is emitted, and the sets verify it. Of a bucket too large for that, members go on by their
+differences from its pivot P: of two that are linked, A and B, at least one of which isn't linked with P, the
+differences have an element in common, since |A-P| + |B-P| is more than |A-B| may be. It is one that P lacks, unless
+one of the two is smaller than P by about what the other is too far from P. So they meet on one of the first
+|A|(q-p)/p + 1 elements of their differences, those that P lacks first.
 
 Results in odd cases: documents without words have no shingles, are linked with nothing and are their own
 component; a row with a null doc_id belongs to the component of the documents with an equal set, or to none
-(null); rows that repeat a doc_id with different texts are compared as different documents.
+(null); rows that repeat a doc_id with different texts are compared as different documents, and one_of_each drops
+or keeps each by its own text.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, packets
@@ -114,9 +116,9 @@ class _Block:
 
 
 def sketches(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(doc_id, n_shingles, v, sketch, keys); v is the hash of the whole set, null if it is empty; keys are those that
-    another document has too."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, own, n_shingles, v, sketch, keys); own is the hash of the text, v that of the whole set, null if it is
+    empty; keys are those that another document has too."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
     blocks, shards = packets.extent(docs)
     by_block = packets.blocked(docs, blocks).groupBy("block")
 
@@ -148,13 +150,13 @@ def sketches(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
         keys = np.split(hashing.signed(own.keys[kept]), np.cumsum(np.bincount(own.doc[kept], minlength=len(own.sizes)))[:-1])
         longs = pa.list_(pa.int64())
         return pa.table(
-            [table.column("doc_id"), pa.array(own.sizes, pa.int64()), pa.array(own.hashes, pa.int64()), pa.array(own.sketches, longs), pa.array(keys, longs)],
-            names=["doc_id", "n_shingles", "v", "sketch", "keys"],
+            [table.column("doc_id"), table.column("own"), pa.array(own.sizes, pa.int64()), pa.array(own.hashes, pa.int64()), pa.array(own.sketches, longs), pa.array(keys, longs)],
+            names=["doc_id", "own", "n_shingles", "v", "sketch", "keys"],
         )
 
     counted = by_block.applyInArrow(count, "shard int, block long, keys binary, many binary")
     answers = counted.groupBy("shard").applyInArrow(merge, "shard int, block long, bits binary")
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(give, "doc_id long, n_shingles long, v long, sketch array<long>, keys array<long>")
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(give, "doc_id long, own long, n_shingles long, v long, sketch array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -173,6 +175,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 def cluster(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): sets of shingles of so many words; documents
     link when q * intersection >= p * union."""
+    return _clustered(docs, shingle, p, q).drop("own")
+
+
+def _clustered(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = stored(sketches(docs, shingle, p, q), "sketches")
     # one of each set: its smallest doc_id stands for it
@@ -180,43 +186,51 @@ def cluster(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataF
     # any row of a class has its keys; only the one of the smallest id gives them
     first = signed.where("size(keys) > 0").join(classes.select("v", "doc_id"), ["v", "doc_id"])
     members = first.select("v", F.explode("keys").alias("key")).distinct()
-    sketched = classes.select("v", "n", "sketch")
-
-    sets: DataFrame | None = None
-
-    def ends(pairs: DataFrame, table: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-        own = [table.select(*[F.col(c).alias(f"{c}_{s}") for c in table.columns]) for s in "ab"]
-        return pairs.join(own[0], pairs[a] == F.col("v_a")).join(own[1], pairs[b] == F.col("v_b"))
+    def with_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """pairs with n_a, n_b, and added: what the set of a has beyond that of b, and gone: the reverse."""
+        wanted = stored(pairs.select(F.explode(F.array(a, b)).alias("v")).distinct().join(classes.select("v", "doc_id"), "v"), "wanted")
+        texts = joined_if_small(docs, wanted, "doc_id", "inner", wanted.count(), BROADCAST_IDS)
+        sets = stored(_sets(texts, shingle).dropDuplicates(["v"]), "sets")
+        own = [sets.select(F.col("v").alias(c), F.col("shingles").alias(f"set_{s}")) for c, s in ((a, "a"), (b, "b"))]
+        both = pairs.join(own[0], a).join(own[1], b)
+        return both.select(a, b, F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.array_except("set_a", "set_b").alias("added"), F.array_except("set_b", "set_a").alias("gone"))
+
+    bounds = classes.select("v", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)])
+
+    def near() -> Column:
+        """Whether the sizes and the Hamming distance of the sketches, a lower bound of the difference, allow a link."""
+        most = (F.col("n_a") + F.col("n_b")) * (q - p)
+        differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_BITS // 64)), F.lit(0).cast("long"))
+        return (F.abs(F.col("n_a") - F.col("n_b")) * (p + q) <= most) & (differ * (p + q) <= most)
 
     def check(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        if sets is None:  # the first pairs hold every v of later ones
-            wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "doc_id"), "v"), "wanted")
-            texts = joined_if_small(docs, wanted, "doc_id", "inner", wanted.count(), BROADCAST_IDS)
-            sets = stored(_sets(texts, shingle).dropDuplicates(["v"]), "sets")
-        differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-        near = ends(pairs, sketched).where(differ * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b", "n_a", "n_b")
-        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        return ends(near, sets).where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
-
-    def refine(pairs: DataFrame) -> DataFrame:
-        both = ends(ends(pairs, sets, "v", "p").select("v", "p", "shingles_a", "shingles_b"), sketched.select("v", "n"), "v", "p")
-        allowed = lambda n: F.floor(F.col(n) * F.lit(q - p) / F.lit(p)).cast("int")  # noqa: E731  differences of a linked set
-        differ = F.array_sort(F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
-        own = both.select("v", "p", allowed("n_a").alias("own"), (2 * allowed("n_b")).alias("reach"), differ.alias("differ"))
-        first = F.when(F.size("differ") <= F.col("reach") + F.col("own"), F.slice("differ", 1, F.col("own") + 1)).otherwise(F.array().cast("array<bigint>"))
-        keys = F.transform(first, lambda e: F.xxhash64(F.col("p"), e))
-        return own.select("v", "p", keys.alias("keys"), (F.size("differ") > F.col("reach")).alias("far"))
-
-    labels = link(members, check, refine)
+        shared = F.col("n_a") - F.size("added")
+        return with_sets(pairs, "a", "b").where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
+
+    def narrow(pairs: DataFrame) -> DataFrame:
+        both = with_sets(pairs, "v", "p")
+        shared = F.col("n_a") - F.size("added")
+        linked = shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p
+        #: by how much, times p + q, the difference from the pivot is more than that of a linked set
+        excess = (F.size("added") + F.size("gone")) * (p + q) - (F.col("n_a") + F.col("n_b")) * (q - p)
+        reach = F.floor(F.col("n_a") * F.lit(q - p) / F.lit(p)).cast("int") + 1
+        both = both.select("v", "p", linked.alias("linked"), excess.alias("excess"), (F.col("n_b") - F.col("n_a")).alias("less"), F.slice(F.array_sort("added"), 1, reach).alias("added"), F.slice(F.array_sort("gone"), 1, F.greatest(reach - F.size("added"), F.lit(0))).alias("gone"))
+        both = stored(both, "differences")
+        small = (F.col("less") > 0) | (~F.col("linked") & (F.col("excess") <= 2 * p * F.col("most")))
+        keys = F.when(small, F.concat("added", "gone")).otherwise(F.col("added"))
+        return both.join(both.groupBy("p").agg(F.max("less").alias("most")), "p").select("v", "p", keys.alias("keys"))
+
+    labels = link(members, bounds, near, check, narrow)
     grouped = classes.join(labels, "v", "left").select("v", "doc_id", F.coalesce("label", "v").alias("label"))
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = grouped.join(least, "label").select("v", "component_id")
-    whole = signed.select("doc_id", "n_shingles", "v").join(component, "v", "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = signed.select("doc_id", "own", "n_shingles", "v").join(component, "v", "left")
+    return whole.select("doc_id", "own", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     """Without the documents that are linked, directly or through others, with one of a smaller id."""
-    dropped = stored(cluster(docs, shingle, p, q).where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return joined_if_small(docs, dropped, "doc_id", "left_anti", dropped.count(), BROADCAST_IDS)
+    dropped = _clustered(docs, shingle, p, q).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).distinct()
+    dropped = stored(dropped, "dropped")
+    same = (docs.doc_id == dropped["_id"]) & (F.xxhash64(docs.text) == dropped["_own"])
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, same, "left_anti")

@@ -1,34 +1,32 @@
 """Connected groups of things that share buckets, without emitting all pairs of a bucket.
 
-`components` is the large-star / small-star method. `link` takes (key, v) rows and a check of candidate pairs.
-Each round compares the members of every bucket with one pivot of it and joins what the check confirms; pairs
-whose ends are in one group already need no check, so a bucket whose members are all in one group is done. The
-pivot of the first round is the member that shares most with others, so a group of near copies gathers around
-the text they come from. What is left open goes into narrower buckets: `refine` may know, from how two members
-differ from the pivot, when they can be linked with each other. Without it, a bucket goes on without its pivot.
-When the pairs still open are few against the rows of the buckets, all are checked. No link between different
-groups is lost: a bucket is left only when all its pairs are decided or can meet again in narrower ones.
+`components` is the large-star / small-star method. `link` takes (key, v) rows and what decides pairs. First every
+bucket's members are compared with one pivot, the member that shares most with others, so a group of near copies
+gathers around the text they come from. Then only buckets whose members are in different groups are open. In those
+of up to LARGE members, members of different groups are held against each other within the join, on bounds that
+cost nothing to read, and only what these leave over is emitted and verified. Members of a larger open bucket go on in
+narrower ones: any two that are linked with each other, though not both with the pivot, have a key in common that
+`narrow` names. The pivots so far are part of the key and none of its members, so every bucket is part of an earlier
+one, and smaller. Buckets with the same members are met once. No link between different groups is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import freed, stored
 
-#: Open pairs are checked at once when there are at most so many for a row of the open buckets, or so many in all.
-PAIRS_A_ROW, PAIRS = 3, 300_000
-ROUNDS = 16
+#: Members of a bucket that are held against each other at most; a larger one is narrowed first.
+LARGE = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for the ends of the edges (a, b); label is the smallest v of the group."""
     least, greatest = F.least("a", "b"), F.greatest("a", "b")
-    pairs = stored(edges.where("a <> b").select(greatest.alias("a"), least.alias("b")).distinct(), "edges")
-    vertices = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    first = pairs = stored(edges.where("a <> b").select(greatest.alias("a"), least.alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
@@ -36,57 +34,66 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = stored(small.select("e.*").where("a <> b").distinct(), "edges")
+        before, pairs = pairs, stored(small.select("e.*").where("a <> b").distinct(), "edges")
+        if before is not first:
+            freed(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    return vertices.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("label")), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+    vertices = first.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    labels = vertices.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("label")), "v", "left")
+    out = stored(labels.select("v", F.coalesce("label", "v").alias("label")), "labels")
+    freed(first, pairs)
+    return out
 
 
-def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(v, label) of everything in a group of two or more. members: distinct (key, v). check: of pairs (a, b), those
-    that are linked. refine: of (v, p), p being a pivot, distinct (key, v) with a key in common for any two that are
-    linked and were compared with the same pivot, unless both are linked with it."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(members.join(sizes, "key"), "buckets")
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (key, v, label, chain) of the buckets that hold several labels, with their size n; of buckets with the
+    same members, one."""
+    groups = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("v")).alias("who"))
+    sizes = groups.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.bit_xor("who").alias("who")).where("labels > 1")
+    return rows.join(sizes.groupBy("n", "who").agg(F.min("key").alias("key")).drop("who"), "key")
+
+
+def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(v, label) of everything in a group of two or more.
+
+    members: distinct (key, v). bounds: for each v, the columns that near() reads with the suffixes _a and _b: whether
+    a pair may be linked. check: of distinct pairs (a, b) for which near() holds, those that are linked. narrow: of
+    distinct (v, p), p being a pivot, (v, p, keys)."""
+    own = [bounds.select(*[F.col(c).alias(f"{c}_{s}") for c in bounds.columns]) for s in "ab"]
+
+    def found(pairs: DataFrame, label: str) -> DataFrame:
+        return stored(check(stored(pairs, label)), "links")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.drop("label").join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"), "chain")
+
+    shared = stored(_open(members.select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("chain"))), "buckets")
     links, labels = None, None
-    for turn in range(ROUNDS):
+    while not shared.isEmpty():
         weight = shared.groupBy("v").agg(F.sum("n").alias("w"))
-        rows = shared.join(weight, "v")
-        rows = rows.withColumn("label", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        rows = stored(rows.select("key", "v", "n", "w", "label"), "buckets")
-        groups = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-        open_ = groups.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("labels")).where("labels > 1")
-        total = stored(open_.select("key", "size", "own"), "open")
-        rows = stored(rows.join(total.select("key"), "key", "left_semi").join(groups, ["key", "label"]), "buckets")
-        size = total.agg(F.sum("size").alias("rows"), F.sum((F.col("size") * F.col("size") - F.col("own")) / 2).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        last = size["pairs"] <= max(PAIRS, PAIRS_A_ROW * size["rows"]) or turn == ROUNDS - 1
-        if last:
-            other = rows.select("key", F.col("v").alias("u"), F.col("label").alias("other"))
-            pairs = rows.join(other, "key").where("v < u and label <> other").select(F.col("v").alias("a"), F.col("u").alias("b"))
-        else:
-            # of the smallest group of the bucket, the member that shares most
-            pivot = rows.groupBy("key").agg(F.min(F.struct("c", (-F.col("w")).alias("w"), "v", "label")).alias("p"))
-            rows = rows.join(pivot, "key").where("v <> p.v").select("key", "v", "n", "label", F.col("p.v").alias("p"), F.col("p.label").alias("other"))
-            to_pivot = stored(rows.select("v", "p", "label", "other").distinct(), "pairs")
-            pairs = to_pivot.where("label <> other").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))
-        found = stored(check(stored(pairs.distinct(), "pairs")), "links")
-        links = found if links is None else links.union(found)
-        labels = stored(components(links), "labels")
-        if last:
+        pivot = shared.join(weight, "v").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "v")).alias("p"))
+        met = stored(shared.join(pivot, "key").where("v <> p.v").select("key", "v", F.col("p.v").alias("p")), "met")
+        pairs = met.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+        pairs = pairs.join(own[0], F.col("a") == F.col("v_a")).join(own[1], F.col("b") == F.col("v_b")).where(near()).select("a", "b")
+        now = found(pairs, "pairs")
+        links = now if links is None else links.union(now)
+        labels = components(links)
+        # what is open in buckets that are not large
+        rest = stored(_open(labelled(shared)), "open")
+        side = [rest.where(F.col("n") <= LARGE).select("key", F.col("v").alias(s), F.col("label").alias(f"label_{s}")).join(own[i], F.col(s) == F.col(f"v_{s}")) for i, s in enumerate("ab")]
+        apart = side[0].join(side[1], (side[0].key == side[1].key) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near())
+        more = found(apart.select("a", "b").distinct(), "pairs")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        large = rest.where(F.col("n") > LARGE).select("key", "v", "chain")
+        if large.isEmpty():
             break
-        if refine is None:
-            shared = rows.select("key", "v", "n")
-            continue
-        grouped = to_pivot.select("v", "p").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        grouped = grouped.join(labels.select(F.col("v").alias("p"), F.col("label").alias("other")), "p", "left").withColumn("other", F.coalesce("other", "p"))
-        undecided = grouped.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("other")).alias("apart")).where("n > 1 and apart > 0")
-        refined = stored(refine(grouped.join(undecided, "p", "left_semi").select("v", "p")), "refined")
-        far = rows.select("key", "v", "p").join(refined.where("far").select("v", "p"), ["v", "p"]).select("key", "v")
-        narrow = stored(refined.select(F.explode("keys").alias("key"), "v").union(far).distinct(), "buckets")
-        sizes = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stored(narrow.join(sizes, "key"), "buckets")
+        met = stored(large.join(met, ["key", "v"]).select("v", "p", F.xxhash64("chain", "p").alias("chain")).distinct(), "met")
+        keys = narrow(met.select("v", "p").distinct())
+        rows = met.join(keys, ["v", "p"]).select("v", "chain", F.explode("keys").alias("e")).select(F.xxhash64("chain", "e").alias("key"), "v", "chain")
+        shared = stored(_open(labelled(rows.withColumn("label", F.col("v")))), "buckets")
     return members.select("v", F.col("v").alias("label")).where("false") if labels is None else labels
