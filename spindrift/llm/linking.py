@@ -3,7 +3,7 @@
 `components` is the large-star / small-star method. `link` takes (key, v) rows and what decides pairs. First every
 bucket's members are compared with one pivot, the member that shares most with others, so a group of near copies
 gathers around the text they come from. Then only buckets whose members are in different groups are open. In those
-of up to LARGE members, members of different groups are held against each other within the join, on bounds that
+that aren't large, members of different groups are held against each other within the join, on bounds that
 cost nothing to read, and only what these leave over is emitted and verified. Members of a larger open bucket go on in
 narrower ones: any two that are linked with each other, though not both with the pivot, have a key in common that
 `narrow` names. The pivots so far are part of the key and none of its members, so every bucket is part of an earlier
@@ -56,11 +56,11 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.groupBy("n", "who").agg(F.min("key").alias("key")).drop("who"), "key")
 
 
-def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame], large_from: int = LARGE) -> DataFrame:
     """(v, label) of everything in a group of two or more.
 
-    members: distinct (key, v). bounds: for each v, the columns that near() reads with the suffixes _a and _b: whether
-    a pair may be linked. check: of distinct pairs (a, b) for which near() holds, those that are linked. narrow: of
+    members: distinct (key, v). bounds: for each v, the columns that near() reads with the suffixes _a and _b, beside
+    `members`, the size of the smallest bucket they met in: whether a pair may be linked. check: of distinct pairs (a, b) for which near() holds, those that are linked. narrow: of
     distinct (v, p), p being a pivot, (v, p, keys)."""
     own = [bounds.select(*[F.col(c).alias(f"{c}_{s}") for c in bounds.columns]) for s in "ab"]
 
@@ -75,21 +75,21 @@ def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], chec
     while not shared.isEmpty():
         weight = shared.groupBy("v").agg(F.sum("n").alias("w"))
         pivot = shared.join(weight, "v").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "v")).alias("p"))
-        met = stored(shared.join(pivot, "key").where("v <> p.v").select("key", "v", F.col("p.v").alias("p")), "met")
-        pairs = met.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+        met = stored(shared.join(pivot, "key").where("v <> p.v").select("key", "v", "n", F.col("p.v").alias("p")), "met")
+        pairs = met.groupBy(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).agg(F.min("n").alias("members"))
         pairs = pairs.join(own[0], F.col("a") == F.col("v_a")).join(own[1], F.col("b") == F.col("v_b")).where(near()).select("a", "b")
         now = found(pairs, "pairs")
         links = now if links is None else links.union(now)
         labels = components(links)
         # what is open in buckets that are not large
         rest = stored(_open(labelled(shared)), "open")
-        side = [rest.where(F.col("n") <= LARGE).select("key", F.col("v").alias(s), F.col("label").alias(f"label_{s}")).join(own[i], F.col(s) == F.col(f"v_{s}")) for i, s in enumerate("ab")]
+        side = [rest.where(F.col("n") <= large_from).select("key", F.col("v").alias(s), F.col("label").alias(f"label_{s}"), *[F.col("n").alias("members")] * (s == "a")).join(own[i], F.col(s) == F.col(f"v_{s}")) for i, s in enumerate("ab")]
         apart = side[0].join(side[1], (side[0].key == side[1].key) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near())
         more = found(apart.select("a", "b").distinct(), "pairs")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        large = rest.where(F.col("n") > LARGE).select("key", "v", "chain")
+        large = rest.where(F.col("n") > large_from).select("key", "v", "chain")
         if large.isEmpty():
             break
         met = stored(large.join(met, ["key", "v"]).select("v", "p", F.xxhash64("chain", "p").alias("chain")).distinct(), "met")
