@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,11 @@ def space_words(text: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; one of our own only where none is set."""
+    """The folder all executors share, as the cluster names it; one of our own only on a local master where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "/tmp/spindrift-shared"
     app = spark.sparkContext.applicationId
     if app not in _opened:

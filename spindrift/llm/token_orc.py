@@ -46,16 +46,23 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's name within a text is ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
-def _chunks(text: str) -> list[str]:
+@cache
+def _special(path: str) -> re.Pattern:
+    """The names of special tokens: within a text they are those tokens, as the library has it."""
+    names = [re.escape(x.content) for x in _tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(names) or r"(?!)")
+
+
+def _chunks(text: str, special: re.Pattern) -> list[str]:
     """Pieces of a text at whose borders no pre-token can lie across. One space before each is left out, but for
     those marked AS_IS."""
     if not text:
         return []
+    if special.search(text):
+        return [AS_IS + text]
     if text[0] == " " or _unsafe.search(text):
         return [AS_IS + x for x in _cut.split(text) if x]
     return (AS_IS + text).split(" ")
@@ -71,12 +78,12 @@ def _ids(encodings: list) -> np.ndarray:
 
 @cache
 def _encoder(path: str) -> SegmentIds:
-    tokenizer = _tokenizer(path)
+    tokenizer, special = _tokenizer(path), _special(path)
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         chunks = [x[1:] if x[:1] == AS_IS else " " + x for x in chunks]
         # a line end before a word or before a space and a word is an id of its own
-        plain = np.array([_line.match(x) is not None for x in chunks], bool)
+        plain = np.array([_line.match(x) is not None and not special.search(x) for x in chunks], bool)
         lines = list(compress(chunks, plain))
         parts = ["\n".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
         flat = _ids(tokenizer.encode_batch_fast(parts, add_special_tokens=False))
@@ -97,11 +104,11 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, files: int)
     schema = T._parse_datatype_string(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, place = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        known, special, part, place = _encoder(tokenizer_path), _special(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 own = batch.slice(at, ROWS)
-                ids, lengths = known.flat([_chunks(t or "") for t in own.column(1).to_pylist()])
+                ids, lengths = known.flat([_chunks(t or "", special) for t in own.column(1).to_pylist()])
                 ids, lengths = with_end(ids, lengths, end_id)
                 ends = np.cumsum(lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32()))
