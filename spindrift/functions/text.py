@@ -52,9 +52,13 @@ def body_score(query: Column, query_terms: Column, body: Column) -> Column:
     return F.greatest(overlap_share(query_terms, terms(body)), collapsed_share(query, query_terms, collapse(body)))
 
 
+#: Fixed value: a version within a title.
+VERSION = r"(?i)(?<![0-9A-Za-z])v[\s_]?(\d+(?:[._]\d+)*)"
+
+
 def version(title: Column | str) -> Column:
     """`v` and the last number after a `v` that no letter or digit precedes, `_` as `.`; else null."""
-    found = F.regexp_extract_all(_text(title), F.lit(r"(?i)(?<![0-9A-Za-z])v[\s_]?(\d+(?:[._]\d+)*)"), F.lit(1))
+    found = F.regexp_extract_all(_text(title), F.lit(VERSION), F.lit(1))
     return F.concat(F.lit("v"), F.replace(F.try_element_at(found, F.lit(-1)), F.lit("_"), F.lit(".")))
 
 

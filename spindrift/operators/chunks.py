@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,7 @@ from ..functions import vectors as V
 from ..sources.openapi import as_map, member
 
 TOKEN_LIMIT = 480
+#: Fixed value: where a sentence may end.
 _BOUNDARY = re.compile(r"(?<=[.!?。])\s+|\n")
 
 
@@ -141,15 +143,16 @@ def build_chunks(endpoints: DataFrame, schemas: DataFrame, sections: DataFrame,
 def hash_embedding(docs: DataFrame, key: str, text: str = "text", dim: int = 256) -> DataFrame:
     """(key, bucket, value), the parts of unit vectors that aren't zero: signed counts of terms by hash bucket. A text
     without terms has one fixed bucket."""
+    if dim <= 0:
+        raise ValueError("dim must be positive")
     rows = docs.select(F.col(key).alias("key"), X.terms(text, X.ASCII_TERM).alias("terms"))
-    empty = F.lit("__empty__")
     some = rows.where(F.size("terms") > 0).select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
     parts = some.groupBy("key", V.hash_bucket(F.col("term"), dim).alias("bucket")).agg(F.sum(F.col("n") * V.hash_sign(F.col("term"))).alias("v")).where("v <> 0")
     length = parts.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     whole = parts.join(length, "key").select("key", "bucket", (F.col("v") / F.col("length")).alias("value"))
-    # the empty text's bucket is that of the whole digest, whose remainder for a power of two is that of its end
-    tail = F.conv(F.substring(F.sha2(empty, 256), -15, 15), 16, 10).cast("long")
-    return whole.union(rows.where(F.size("terms") == 0).select("key", (tail % dim).alias("bucket"), F.lit(1.0).alias("value")))
+    # a text without terms has the remainder of a whole digest, not of its first bytes
+    bucket = int(hashlib.sha256(b"__empty__").hexdigest(), 16) % dim
+    return whole.union(rows.where(F.size("terms") == 0).select("key", F.lit(bucket).cast("long").alias("bucket"), F.lit(1.0).alias("value")))
 
 
 def overflow(sections: DataFrame, by: str, limit: int = TOKEN_LIMIT) -> DataFrame:

@@ -483,11 +483,11 @@ def csv_sections(spark, sf_dir):
     return sections.csv_sections(spark.createDataFrame([(1, 'name,note\nx,"a, b"\n,"two\nlines"\nz\n'), (2, "")], "document_id int, text string"))
 
 
-@query("""SELECT * FROM (VALUES ('p1', '# Head' || chr(10) || '- item' || chr(10) || 'deep' || chr(10) || '[x] done' || chr(10) || 'a | b')) t(page_id, text)""")
+@query("""SELECT * FROM (VALUES ('p1', '# Head' || chr(10) || '- item' || chr(10) || 'deep' || chr(10) || '- [x] done' || chr(10) || 'a | b')) t(page_id, text)""")
 def block_tree(spark, sf_dir):
     rich = lambda s: [{"plain_text": s}]
     rows = [("1", "p1", 0, "heading_1", {"rich_text": rich("Head")}), ("2", "p1", 1, "bulleted_list_item", {"rich_text": rich("item")}), ("3", "2", 0, "paragraph", {"rich_text": rich("deep")}), ("4", "p1", 2, "to_do", {"rich_text": rich("done"), "checked": True}), ("5", "p1", 3, "table_row", {"cells": [rich("a"), rich("b")]}), ("6", "p1", 4, "child_page", {"title": "sub"}), ("7", "6", 0, "paragraph", {"rich_text": rich("not mine")})]
-    blocks = spark.createDataFrame([(i, p, n, k, json.dumps({"payload": x})) for i, p, n, k, x in rows], "block_id string, parent_id string, ordinal int, type string, block string")
+    blocks = spark.createDataFrame([(i, p, n, k, json.dumps({"type": k, k: x})) for i, p, n, k, x in rows], "block_id string, parent_id string, ordinal int, type string, block string")
     return remote.page_bodies(spark.createDataFrame([("p1",)], "page_id string"), blocks)
 
 

@@ -13,7 +13,7 @@ def search_endpoints(queries: DataFrame, endpoints: DataFrame, index: DataFrame,
     """(query_id, key, rank, match_type) for queries (query_id, text[, variants]).
 
     rrf: exact matches, then the fused keyword and vector arms; variants of a query (of: its id) join the vector arm
-    by their best rank. fallback: keyword hits, vector hits only for queries without any. Another name is taken as rrf.
+    by their best rank. fallback: keyword hits, vector hits only for queries without any (a hit by a variant counts, with score 0). Another name is taken as rrf.
     query_vectors: (query_id, of, embedding)."""
     k = R.width(checked_top_k(top_k))
     exact = R.exact_matches(endpoints, queries)
@@ -22,7 +22,7 @@ def search_endpoints(queries: DataFrame, endpoints: DataFrame, index: DataFrame,
     if vectors is not None and query_vectors is not None:
         if strategy == "fallback":
             own = R.vector_topk(vectors, query_vectors.where("query_id = of"), k)
-            rest = R.fallback(keyword.where(F.col("score") > 0).select("query_id", "key", "rank"), own.select("query_id", "key", "rank"))
+            rest = R.fallback(keyword.select("query_id", "key", "rank"), own.select("query_id", "key", "rank"))
             return R.exact_then_rest(exact, rest, top_k)
         ranked = R.vector_topk(vectors, query_vectors, k).join(query_vectors.select("query_id", "of"), "query_id")
         arms["vector"] = R.best_of_variants(ranked, "of")

@@ -43,12 +43,15 @@ def property_text(prop: Column, nested: bool = True) -> Column:
 
 
 def block_text(block: Column, kind: Column) -> Column:
-    """A block with its Markdown prefix; cells of a table row are joined by ` | `."""
-    payload = F.get_json_object(block, "$.payload")
-    own = F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (plain(member(payload, "rich_text")), plain(member(payload, "caption")), F.coalesce(member(payload, "url"), F.lit("")), F.coalesce(member(payload, "expression"), F.lit("")))])
-    cells = F.array_join(F.transform(as_items(member(payload, "cells")), plain), " | ")
-    prefix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv]), kind), F.when(kind == "to_do", F.when(member(payload, "checked") == "true", "[x] ").otherwise("[ ] ")), F.lit(""))
-    text = F.when(kind == "table_row", cells).otherwise(own)
+    """A block, whose content is the member named like its type, with its Markdown prefix; the cells of a table row that
+    aren't empty are joined by ` | `."""
+    content = F.call_function("get_json_object", block, F.concat(F.lit("$['"), kind, F.lit("']")))
+    said = [F.trim(plain(member(content, x))) for x in ("rich_text", "caption")] + [F.trim(F.coalesce(member(content, x), F.lit(""))) for x in ("title", "url", "expression")]
+    cells = F.array_join(F.filter(F.transform(as_items(member(content, "cells")), lambda x: F.trim(plain(x))), lambda x: x != ""), " | ")
+    text = F.concat_ws(" ", F.nullif(said[0], F.lit("")), F.nullif(cells, F.lit("")), *[F.nullif(x, F.lit("")) for x in said[1:]])
+    marks = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])
+    done = F.when(member(content, "checked") == "true", "- [x] ").otherwise("- [ ] ")
+    prefix = F.when(kind == "to_do", done).otherwise(F.coalesce(F.try_element_at(marks, kind), F.lit("")))
     return F.when(text == "", "").otherwise(F.concat(prefix, text))
 
 
