@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, joined_if_small, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No word holds a space.
 END = " end"
 #: Rarest terms of a window whose lists are intersected before the words are compared.
@@ -33,7 +33,7 @@ BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
