@@ -56,12 +56,12 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.groupBy("n", "who").agg(F.min("key").alias("key")).drop("who"), "key")
 
 
-def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame], large_from: int = LARGE) -> DataFrame:
+def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame], large_from: int = LARGE, pivot_from: int = 1) -> DataFrame:
     """(v, label) of everything in a group of two or more.
 
     members: distinct (key, v). bounds: for each v, the columns that near() reads with the suffixes _a and _b, beside
     `members`, the size of the smallest bucket they met in: whether a pair may be linked. check: of distinct pairs (a, b) for which near() holds, those that are linked. narrow: of
-    distinct (v, p), p being a pivot, (v, p, keys)."""
+    distinct (v, p), p being a pivot, (v, p, keys). Buckets of up to pivot_from members have no pivot."""
     own = [bounds.select(*[F.col(c).alias(f"{c}_{s}") for c in bounds.columns]) for s in "ab"]
 
     def found(pairs: DataFrame, label: str) -> DataFrame:
@@ -73,9 +73,10 @@ def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], chec
     shared = stored(_open(members.select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("chain"))), "buckets")
     links, labels = None, None
     while not shared.isEmpty():
+        pivoted = shared.where(F.col("n") > pivot_from)
         weight = shared.groupBy("v").agg(F.sum("n").alias("w"))
-        pivot = shared.join(weight, "v").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "v")).alias("p"))
-        met = stored(shared.join(pivot, "key").where("v <> p.v").select("key", "v", "n", F.col("p.v").alias("p")), "met")
+        pivot = pivoted.join(weight, "v").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "v")).alias("p"))
+        met = stored(pivoted.join(pivot, "key").where("v <> p.v").select("key", "v", "n", F.col("p.v").alias("p")), "met")
         pairs = met.groupBy(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).agg(F.min("n").alias("members"))
         pairs = pairs.join(own[0], F.col("a") == F.col("v_a")).join(own[1], F.col("b") == F.col("v_b")).where(near()).select("a", "b")
         now = found(pairs, "pairs")
