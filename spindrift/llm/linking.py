@@ -56,7 +56,7 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.groupBy("n", "who").agg(F.min("key").alias("key")).drop("who"), "key")
 
 
-def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame], large_from: int = LARGE, pivot_from: int = 1) -> DataFrame:
+def link(members: DataFrame, bounds: DataFrame, near: Callable[[], Column], check: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame], large_from: int = LARGE, *, pivot_from: int = 1) -> DataFrame:
     """(v, label) of everything in a group of two or more.
 
     members: distinct (key, v). bounds: for each v, the columns that near() reads with the suffixes _a and _b, beside
