@@ -73,10 +73,12 @@ def candidates(anchored: DataFrame, index: DataFrame, rows: int) -> DataFrame:
     """(doc_id, item_id, shift): where the item's first word would stand for the anchors of a window to fit."""
     lists = anchored.select("item_id", "place", "term").distinct()
     shifted = joined_if_small(index, lists, "term", "inner", rows, BROADCAST_ROWS)
-    met = shifted.groupBy("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
-    needs = anchored.groupBy("item_id", "start").agg(F.collect_set("place").alias("need")).groupBy("item_id").agg(F.collect_set("need").alias("needs"))
+    # places by their remainder: two that share a bit only let through a candidate that the words then refute
+    bit = F.expr("shiftleft(1L, place % 64)")
+    met = shifted.groupBy("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift")).agg(F.bit_or(bit).alias("places"))
+    needs = anchored.groupBy("item_id", "start").agg(F.bit_or(bit).alias("need")).groupBy("item_id").agg(F.collect_set("need").alias("needs"))
     fits = joined_if_small(met, needs, "item_id", "inner", rows, BROADCAST_ROWS)
-    return fits.where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("places"))) == 0)).select("doc_id", "item_id", "shift")
+    return fits.where(F.exists("needs", lambda need: need.bitwiseAND(F.col("places")) == need)).select("doc_id", "item_id", "shift")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, index: DataFrame, window: int = 10) -> DataFrame:
