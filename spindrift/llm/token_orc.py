@@ -14,9 +14,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import cache
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,17 @@ from .common import small_batches
 from .segments import SegmentIds, with_end
 
 ROWS = 512
-#: A space with one of these before it always begins a pre-token.
-_unsafe = re.compile(r"[^!-~\w] ")
+#: A space begins a pre-token unless one of these is before it.
+_unsafe = re.compile(r" (?<=[^!-~\w] )")
 _cut = re.compile(r"(?<=[!-~\w])(?= )")
-LINE_ID = 198
+#: Commas, full stops and line ends that may belong to the pre-token of what is beside them.
+_joined = [re.compile(x) for x in (r",(?<=[\W_],) ", r"\.(?<=[\W_]\.)[ \n]", r"\n(?<=\s\n)", r"\n\s")]
 #: A lone surrogate can't occur in a text.
 AS_IS = "\ud800"
-#: Segments encoded as the lines of one text.
-LINES = 2000
-SCHEMA = "part int, place long, doc_id long, ids array<int>"
+#: The byte-level alphabet: bytes that print stand for themselves, the others for letters from U+0100 on.
+_printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_others = [b for b in range(256) if b not in _printing]
+BYTES = "".join(chr(b if b in _printing or b == 10 else 256 + _others.index(b)) for b in range(256))
 
 
 @cache
@@ -65,36 +68,28 @@ def _chunks(text: str, special: re.Pattern) -> list[str]:
         return [AS_IS + text]
     if text[0] == " " or _unsafe.search(text):
         return [AS_IS + x for x in _cut.split(text) if x]
-    return (AS_IS + text).split(" ")
-
-
-#: Segments that can be lines of one text: no white space but for one space at the start.
-_line = re.compile(r" ?\S+\Z")
-
-
-def _ids(encodings: list) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int32), *[np.array(x.ids, np.int32) for x in encodings]])
+    text = AS_IS + text
+    if not any(x.search(text, 1) for x in _joined):
+        # words are met again more often without what stands after them
+        text = text.replace(".\n", f" {AS_IS}.\n {AS_IS}").replace(", ", f" {AS_IS}, ").replace(". ", f" {AS_IS}. ")
+    return text.split(" ")
 
 
 @cache
 def _encoder(path: str) -> SegmentIds:
-    tokenizer, special = _tokenizer(path), _special(path)
+    tokenizer = _tokenizer(path)
+    model = tokenizer.model
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         chunks = [x[1:] if x[:1] == AS_IS else " " + x for x in chunks]
-        # a line end before a word or before a space and a word is an id of its own
-        plain = np.array([_line.match(x) is not None and not special.search(x) for x in chunks], bool)
-        lines = list(compress(chunks, plain))
-        parts = ["\n".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
-        flat = _ids(tokenizer.encode_batch_fast(parts, add_special_tokens=False))
-        lengths = np.empty(len(chunks), np.int64)
-        lengths[plain] = np.diff(np.flatnonzero(flat == LINE_ID), prepend=-1) - 1
-        odd = tokenizer.encode_batch_fast(list(compress(chunks, ~plain)), add_special_tokens=False)
-        lengths[~plain] = [len(x) for x in odd]
-        out = np.empty(int(lengths.sum()), np.int32)
-        of_plain = np.repeat(plain, lengths)
-        out[of_plain], out[~of_plain] = flat[flat != LINE_ID], _ids(odd)
-        return out, lengths
+        # a word, with or without a space before it, is one pre-token: its bytes go to the tokenizer's model as they are
+        plain = [x.removeprefix(" ").isalpha() for x in chunks]
+        words = charmap_decode("\n".join(compress(chunks, plain)).encode(), "strict", BYTES)[0].split("\n")
+        own = ([x.id for x in model.tokenize(w)] for w in words)
+        others = iter(tokenizer.encode_batch_fast([x for x, p in zip(chunks, plain) if not p], add_special_tokens=False))
+        ids = [next(own) if p else next(others).ids for p in plain]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
     return SegmentIds(encode)
 
