@@ -4,9 +4,9 @@ Training counts every n-gram of the training documents. The smoothed model is
 P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and Pj(w|h) = (c(hw) + m P(w|h')) / (c(h) + m), h' being h without its
 first word; it sums to one over the V known words and one unknown. As an automaton: a state is a known history,
 it has a weighted arc for every word seen after it, and a failure arc, weight m / (c(h) + m), to the state of
-the shorter history. A text is read from left to right from the empty state; the state carried along is the
-longest known history, and the log10 weights of the arcs add up. For all positions of a block of documents the
-arcs are followed order by order, so one reading costs `order` array passes.
+the shorter history. A text is read once from left to right from the empty state: a word that the state has no arc
+for takes failure arcs until one has; the arc leads to the longest known history, and the log10 weights of all
+arcs taken add up.
 
 No machine holds the automaton. A block of documents states its distinct n-grams with their training counts
 once; shards of the key space add them up and answer each block with the totals, that is with the part of the
@@ -55,6 +55,63 @@ class _Block:
         return values, which
 
 
+class _Automaton:
+    """The part of the automaton that a block can reach. State 0 is the empty history; the known n-grams that are
+    shorter than the order are the others."""
+
+    def __init__(self, own: _Block, totals: list[tuple[np.ndarray, np.ndarray]], n: int, v: int):
+        """totals: for each order, the training counts of the block's distinct n-grams, and which of them ends where."""
+        order, size = len(totals), len(own.training)
+        self.words = totals[0][1]
+        self.n_words = len(totals[0][0])
+        states, ends_before = 1, None
+        keys, weights, targets, fails, fail_weights = [], [], [], [np.zeros(1, np.int64)], [np.zeros(1)]
+        for j, (count, which) in enumerate(totals):
+            end = np.zeros(len(count), np.int64)
+            end[which] = own.at[j]  # a place where the n-gram ends
+            ends_at = np.full(size, -1)
+            ends_at[own.at[j]] = which
+            known = count > 0
+            if j == 0:
+                source = suffix = np.zeros(len(count), np.int64)
+                chance = (count + ADD) / (n + ADD * (v + 1))
+                arcs = np.ones(len(count), bool)  # unknown words have an arc as well
+            else:
+                history, lower = ends_before[end - 1], ends_before[end]
+                source, suffix = own_states[history], own_states[lower]
+                chance = (count + BACKOFF * chances[lower]) / (counts[history] + BACKOFF)
+                arcs = known
+            if j < order - 1:
+                mine = states + np.arange(len(count))
+                states += len(count)
+                fails.append(suffix)
+                fail_weights.append(np.log10(BACKOFF / (count + BACKOFF)))
+                target = np.where(known, mine, 0)
+            else:
+                mine, target = None, suffix
+            keys.append((source * self.n_words + self.words[end])[arcs])
+            weights.append(np.log10(chance[arcs]))
+            targets.append(target[arcs])
+            ends_before = ends_at
+            own_states, chances, counts = mine, chance, count
+        self.arc = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
+        self.weight, self.target = (np.concatenate(x).tolist() for x in (weights, targets))
+        self.fail, self.fail_weight = (np.concatenate(x).tolist() for x in (fails, fail_weights))
+
+    def read(self, words: list[int]) -> float:
+        arc, weight, target, fail, fail_weight, n_words = self.arc.get, self.weight, self.target, self.fail, self.fail_weight, self.n_words
+        state, total = 0, 0.0
+        for word in words:
+            taken = arc(state * n_words + word)
+            while taken is None:
+                total += fail_weight[state]
+                state = fail[state]
+                taken = arc(state * n_words + word)
+            total += weight[taken]
+            state = target[taken]
+        return total
+
+
 _ANSWER = "turn int, shard int, block long, totals binary, n long, v long"
 
 
@@ -98,34 +155,27 @@ def score(docs: DataFrame, order: int = 2, held_out_tenth: int = 0) -> DataFrame
             names=["turn", "shard", "block", "totals", "n", "v"],
         )
 
-    def totals(own: _Block, j: int, answers: dict) -> np.ndarray:
+    def totals(own: _Block, j: int, answers: dict) -> tuple[np.ndarray, np.ndarray]:
         values, which = own.distinct(j)
         at = packets.cuts(values, packets.shard_bounds(shards))
         found = np.zeros(len(values))
         for s in np.flatnonzero(np.diff(at)):
             found[at[s] : at[s + 1]] = packets.unpacked(answers[j, int(s)], np.uint64)
-        return found[which]
+        return found, which
 
     def read(table: pa.Table, answered: pa.Table) -> pa.Table:
         own = _Block(table, order)
         answers = {(j, s): x for j, s, x in zip(*(answered.column(c).to_pylist() for c in ("turn", "shard", "totals")))}
         n, v = answered.column("all_n")[0].as_py(), answered.column("all_v")[0].as_py()
-        seen = totals(own, 0, answers)
-        base = (seen + ADD) / (n + ADD * (v + 1))
-        weight, before = base.copy(), seen
-        for j in range(1, order):
-            at = own.at[j]
-            history = np.zeros(len(weight))
-            history[1:] = before[:-1]  # counts of the history that ends before
-            arc = totals(own, j, answers)
-            known = history[at] > 0
-            weight[at] = np.where(known, (arc + BACKOFF * weight[at]) / (history[at] + BACKOFF), weight[at])
-            before = np.zeros(len(weight))
-            before[at] = arc
+        found = [totals(own, j, answers) for j in range(order)]
+        automaton = _Automaton(own, found, n, v)
+        seen = found[0][0][found[0][1]]
+        base = np.log10((seen + ADD) / (n + ADD * (v + 1)))
         starts = np.cumsum(own.lengths) - own.lengths
-        sums = [np.add.reduceat(x, starts) for x in ((seen > 0).astype(np.int64), np.log10(base), np.log10(weight))]
+        sums = [np.add.reduceat(x, starts) for x in ((seen > 0).astype(np.int64), base)]
+        scores = [automaton.read(automaton.words[a : a + k].tolist()) for a, k in zip(starts, own.lengths)]
         return pa.table(
-            [table.column("doc_id"), table.column("held_out"), pa.array(own.lengths), pa.array(sums[0]), pa.array(np.full(len(starts), n, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+            [table.column("doc_id"), table.column("held_out"), pa.array(own.lengths), pa.array(sums[0]), pa.array(np.full(len(starts), n, np.int64)), pa.array(sums[1]), pa.array(scores, pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

@@ -31,7 +31,7 @@ def test_token_ids_are_the_librarys(spark):
 
 def test_scores_are_those_of_the_model(spark):
     dice = random.Random(5)
-    texts = [" ".join(dice.choices(["a", "b", "c", "Dd", "e\tf"], k=dice.randint(0, 12))) for _ in range(80)]
+    texts = [" ".join(dice.choices(["a", "b", "c", "Dd", "e\tf", f"r{dice.randint(0, 60)}"], k=dice.randint(0, 12))) for _ in range(80)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     split = [[*t.lower().split(), "\n"] for t in texts]
     training = [x for i, x in enumerate(split) if zlib.crc32(str(i).encode()) % 10]
@@ -42,15 +42,22 @@ def test_scores_are_those_of_the_model(spark):
             if i:
                 two[x[i - 1], w] = two.get((x[i - 1], w), 0) + 1
     n, v = sum(one.values()), len(one)
-    for r in lm_score.score(docs, order=2).collect():
-        x, base, score = split[r.doc_id], 0.0, 0.0
-        for i, w in enumerate(x):
-            p1 = p = (one.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
-            if i and one.get(x[i - 1], 0):
-                p = (two.get((x[i - 1], w), 0) + 4.0 * p1) / (one[x[i - 1]] + 4.0)
-            base, score = base + np.log10(p1), score + np.log10(p)
-        assert (r.n_tokens, r.train_tokens, r.n_known) == (len(x), n, sum(w in one for w in x))
-        assert abs(r.base_score - base) < 1e-9 and abs(r.score - score) < 1e-9
+    three = {}
+    for x in training:
+        for gram in zip(x, x[1:], x[2:]):
+            three[gram] = three.get(gram, 0) + 1
+    for order in (1, 2, 3):
+        for r in lm_score.score(docs, order=order).collect():
+            x, base, score = split[r.doc_id], 0.0, 0.0
+            for i, w in enumerate(x):
+                p1 = p = (one.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
+                if order > 1 and i and one.get(x[i - 1], 0):
+                    p = (two.get((x[i - 1], w), 0) + 4.0 * p1) / (one[x[i - 1]] + 4.0)
+                if order > 2 and i > 1 and two.get((x[i - 2], x[i - 1]), 0):
+                    p = (three.get((x[i - 2], x[i - 1], w), 0) + 4.0 * p) / (two[x[i - 2], x[i - 1]] + 4.0)
+                base, score = base + np.log10(p1), score + np.log10(p)
+            assert (r.n_tokens, r.train_tokens, r.n_known) == (len(x), n, sum(w in one for w in x))
+            assert abs(r.base_score - base) < 1e-9 and abs(r.score - score) < 1e-9
 
 
 def test_groups_of_copies_against_all_pairs(spark, monkeypatch):
