@@ -89,13 +89,19 @@ def best_of_variants(ranked: DataFrame, of: str) -> DataFrame:
 def title_topk(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, key, rank, score) of pages (key, title, url) for queries (query_id, text). A page is a candidate if its
     title or url holds a query term, or the query without spaces."""
-    asked = bounded(queries.select("query_id", F.col("text").alias("query"), T.terms("text").alias("wanted")).where(F.size("wanted") > 0))
-    title, link = F.lower("title"), F.lower("url")
-    near = F.exists("wanted", lambda t: F.contains(title, t) | F.contains(link, t))
-    joined = pages.crossJoin(asked)
-    squeezed = F.contains(T.collapse_spaces("title"), T.collapse("query")) | F.contains(T.collapse_spaces("url"), T.collapse("query"))
-    found = joined.where(near | ((T.collapse("query") != "") & squeezed))
-    scored = found.withColumn("score", T.title_score(F.col("query"), F.col("wanted"), F.col("title"), F.col("url")))
+    # what each side has of its own is computed before the sides meet
+    wanted = F.array_distinct(T.terms("text"))
+    asked = bounded(queries.select("query_id", wanted.alias("wanted"), T.collapse("text").alias("squeezed")).where(F.size("wanted") > 0))
+    own = pages.select(
+        "key", F.lower("title").alias("title"), F.lower("url").alias("url"), T.collapse_spaces("title").alias("close_title"), T.collapse_spaces("url").alias("close_url"),
+        F.array_union(T.terms("title"), T.terms("url")).alias("terms"), F.concat(T.collapse("title"), T.collapse("url")).alias("closed"),
+    )
+    near = F.exists("wanted", lambda t: F.contains("title", t) | F.contains("url", t))
+    within = F.contains("close_title", "squeezed") | F.contains("close_url", "squeezed")
+    found = own.crossJoin(asked).where(near | ((F.col("squeezed") != "") & within))
+    shared = F.size(F.array_intersect("wanted", "terms"))
+    whole = ((F.col("squeezed") != "") & F.contains("closed", "squeezed")).cast("int")
+    scored = found.withColumn("score", F.greatest(shared, whole) / F.size("wanted"))
     ordered = W.partitionBy("query_id").orderBy(F.col("score") <= 0, F.round("score", 9).desc(), "key")
     return scored.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "key", "rank", "score")
 
