@@ -62,10 +62,10 @@ class _Automaton:
     def __init__(self, own: _Block, totals: list[tuple[np.ndarray, np.ndarray]], n: int, v: int):
         """totals: for each order, the training counts of the block's distinct n-grams, and which of them ends where."""
         order, size = len(totals), len(own.training)
-        self.words = totals[0][1]
-        self.n_words = len(totals[0][0])
-        states, ends_before = 1, None
-        keys, weights, targets, fails, fail_weights = [], [], [], [np.zeros(1, np.int64)], [np.zeros(1)]
+        states, arcs, ends_before = 1, 0, None
+        #: For each length of a history, the arc that the word at a place has after it; -1 if there is none.
+        self.arc = []
+        weights, targets, fails, fail_weights = [], [], [np.zeros(1, np.int64)], [np.zeros(1)]
         for j, (count, which) in enumerate(totals):
             end = np.zeros(len(count), np.int64)
             end[which] = own.at[j]  # a place where the n-gram ends
@@ -73,42 +73,44 @@ class _Automaton:
             ends_at[own.at[j]] = which
             known = count > 0
             if j == 0:
-                source = suffix = np.zeros(len(count), np.int64)
+                suffix = np.zeros(len(count), np.int64)
                 chance = (count + ADD) / (n + ADD * (v + 1))
-                arcs = np.ones(len(count), bool)  # unknown words have an arc as well
+                number = arcs + np.arange(len(count))  # unknown words have an arc as well
             else:
                 history, lower = ends_before[end - 1], ends_before[end]
-                source, suffix = own_states[history], own_states[lower]
+                suffix = own_states[lower]
                 chance = (count + BACKOFF * chances[lower]) / (counts[history] + BACKOFF)
-                arcs = known
+                number = np.where(known, arcs + np.arange(len(count)), -1)
+            mine = None
             if j < order - 1:
                 mine = states + np.arange(len(count))
                 states += len(count)
                 fails.append(suffix)
                 fail_weights.append(np.log10(BACKOFF / (count + BACKOFF)))
-                target = np.where(known, mine, 0)
-            else:
-                mine, target = None, suffix
-            keys.append((source * self.n_words + self.words[end])[arcs])
-            weights.append(np.log10(chance[arcs]))
-            targets.append(target[arcs])
-            ends_before = ends_at
-            own_states, chances, counts = mine, chance, count
-        self.arc = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
+            at = np.full(size, -1)
+            at[own.at[j]] = number[which]
+            self.arc.append(at.tolist())
+            arcs += len(count)
+            weights.append(np.log10(chance))
+            targets.append(suffix if mine is None else np.where(known, mine, 0))
+            ends_before, own_states, chances, counts = ends_at, mine, chance, count
         self.weight, self.target = (np.concatenate(x).tolist() for x in (weights, targets))
         self.fail, self.fail_weight = (np.concatenate(x).tolist() for x in (fails, fail_weights))
 
-    def read(self, words: list[int]) -> float:
-        arc, weight, target, fail, fail_weight, n_words = self.arc.get, self.weight, self.target, self.fail, self.fail_weight, self.n_words
-        state, total = 0, 0.0
-        for word in words:
-            taken = arc(state * n_words + word)
-            while taken is None:
+    def read(self, start: int, end: int) -> float:
+        """The log10 probability of the words of a text."""
+        arc, weight, target, fail, fail_weight = self.arc, self.weight, self.target, self.fail, self.fail_weight
+        state, length, longest, total = 0, 0, len(arc) - 1, 0.0
+        for at in range(start, end):
+            taken = arc[length][at]
+            while taken < 0:
                 total += fail_weight[state]
                 state = fail[state]
-                taken = arc(state * n_words + word)
+                length -= 1
+                taken = arc[length][at]
             total += weight[taken]
             state = target[taken]
+            length = min(length + 1, longest) if state else 0
         return total
 
 
@@ -173,7 +175,7 @@ def score(docs: DataFrame, order: int = 2, held_out_tenth: int = 0) -> DataFrame
         base = np.log10((seen + ADD) / (n + ADD * (v + 1)))
         starts = np.cumsum(own.lengths) - own.lengths
         sums = [np.add.reduceat(x, starts) for x in ((seen > 0).astype(np.int64), base)]
-        scores = [automaton.read(automaton.words[a : a + k].tolist()) for a, k in zip(starts, own.lengths)]
+        scores = [automaton.read(a, a + k) for a, k in zip(starts.tolist(), own.lengths.tolist())]
         return pa.table(
             [table.column("doc_id"), table.column("held_out"), pa.array(own.lengths), pa.array(sums[0]), pa.array(np.full(len(starts), n, np.int64)), pa.array(sums[1]), pa.array(scores, pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
