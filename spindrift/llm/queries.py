@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, lm_score, quality_rules, sentencepiece_bpe, substring_dedup, token_orc, url_filter, warc
+from . import decontaminate, jaccard_join, line_dedup, lm_score, mixing, quality_rules, sentencepiece_bpe, substring_dedup, token_orc, url_filter, warc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,7 +72,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op6_url_filter": op6_url_filter, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0).drop("source")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op6_url_filter": op6_url_filter, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece, "op11_mix_sources": op11_mix_sources}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH wd AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -113,4 +117,18 @@ ORACLES: dict[str, str] = {
         SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM d""",
+    "op11_mix_sources": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS tie FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, list_extract([3, 1, 2], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT)::DOUBLE AS w FROM d GROUP BY source),
+        -- weights share what is left among the sources that are not at their bounds, until none is above
+        f AS (SELECT 0 AS step, source, w, 2.0::DOUBLE * source_size AS bound, (1.5::DOUBLE * sum(source_size) OVER ())::DOUBLE AS left_over, false AS at_bound FROM s
+              UNION ALL SELECT step + 1, source, w, bound, sum(CASE WHEN full_ AND NOT at_bound THEN -bound ELSE 0 END) OVER () + left_over, full_
+              FROM (SELECT *, at_bound OR left_over / sum(CASE WHEN at_bound THEN 0 ELSE w END) OVER () * w > bound AS full_ FROM f) WHERE step < 60),
+        t AS (SELECT source, CASE WHEN at_bound THEN bound ELSE left_over / sum(CASE WHEN at_bound THEN 0 ELSE w END) OVER () * w END AS target FROM f WHERE step = 60),
+        p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size END AS rate,
+                     ('0x' || substr(md5('1:' || coalesce('s' || source, '')), 1, 6))::BIGINT::DOUBLE / 16777216 AS o, (SELECT ceil(sqrt(max(docs)))::BIGINT FROM s) AS slices,
+                     greatest(length(bin(size)) - 8, 0) AS power FROM d JOIN s USING (source) JOIN t USING (source)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY power * 128 + (size >> power::INT), ('0x' || substr(tie, 1, 8))::BIGINT % slices, size, doc_id, tie) AS i FROM p)
+        SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM (
+            SELECT *, coalesce(least(floor(o + rate * i) - floor(o + rate * (i - 1)), ceil(rate)), 0)::BIGINT AS copies FROM n)""",
 }
