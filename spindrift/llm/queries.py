@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, lm_score, mixing, quality_rules, sentencepiece_bpe, substring_dedup, token_orc, url_filter, warc
+from . import decontaminate, jaccard_join, lexical_search, line_dedup, lm_score, mixing, quality_rules, sentencepiece_bpe, substring_dedup, token_orc, url_filter, warc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,7 +76,11 @@ def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0).drop("source")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op6_url_filter": op6_url_filter, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece, "op11_mix_sources": op11_mix_sources}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op6_url_filter": op6_url_filter, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece, "op11_mix_sources": op11_mix_sources, "op12_lexical_search": op12_lexical_search}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH wd AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -131,4 +135,14 @@ ORACLES: dict[str, str] = {
         n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY power * 128 + (size >> power::INT), ('0x' || substr(tie, 1, 8))::BIGINT % slices, size, doc_id, tie) AS i FROM p)
         SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM (
             SELECT *, coalesce(least(floor(o + rate * i) - floor(o + rate * (i - 1)), ceil(rate)), 0)::BIGINT AS copies FROM n)""",
+    "op12_lexical_search": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        a AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM t WHERE len(w) > 0),
+        p AS (SELECT d, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT d, doc_id, w, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, a GROUP BY term, n_docs),
+        s AS (SELECT item_id, d, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_words))))::BIGINT AS score
+              FROM q JOIN p USING (term) JOIN f USING (term), a GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
