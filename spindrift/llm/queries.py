@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, lexical_search, line_dedup, lm_score, mixing, quality_rules, sentencepiece_bpe, substring_dedup, token_orc, url_filter, warc
+from . import decontaminate, jaccard_join, lexical_search, line_dedup, lm_score, mixing, quality_rules, sentencepiece_bpe, substring_dedup, token_alignment, token_orc, url_filter, warc
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,7 +80,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op6_url_filter": op6_url_filter, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece, "op11_mix_sources": op11_mix_sources, "op12_lexical_search": op12_lexical_search}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_MODEL, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_lm_score": op4_lm_score, "op5_token_orc": op5_token_orc, "op6_url_filter": op6_url_filter, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece, "op11_mix_sources": op11_mix_sources, "op12_lexical_search": op12_lexical_search, "op13_token_alignment": op13_token_alignment}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH wd AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from codecs import charmap_decode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain, compress
 
@@ -46,11 +46,14 @@ SCHEMA = "part int, place long, doc_id long, ids array<int>"
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, plain: bool = False):
+    """plain: the names of special tokens within a text are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = plain
+    return made
 
 
 @cache
@@ -76,9 +79,9 @@ def _chunks(text: str, special: re.Pattern) -> list[str]:
     return text.split(" ")
 
 
-@cache
-def _encoder(path: str) -> SegmentIds:
-    tokenizer = _tokenizer(path)
+def chunk_encoder(path: str, plain: bool = False) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Flat ids of chunks as _chunks() gives them, and how many each has."""
+    tokenizer = _tokenizer(path, plain)
     model = tokenizer.model
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +95,12 @@ def _encoder(path: str) -> SegmentIds:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
-    return SegmentIds(encode)
+    return encode
+
+
+@cache
+def _encoder(path: str) -> SegmentIds:
+    return SegmentIds(chunk_encoder(path))
 
 
 def encode_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, files: int) -> DataFrame:
