@@ -4,15 +4,16 @@ Both encode the same bytes: a byte-level BPE (A) a space and the text, a Sentenc
 puts the space itself. Offsets where tokens of both end cut a text into groups; a token of A and one of B that share
 bytes are a link. The union of both tokenizers' ends cuts the text into pieces, and each piece is one link.
 
-A pair of ids is packed into an int64, B's id above A's. Counting takes one pass: each partition gives its pairs with
-partial counts, which are range-partitioned by B's id, sorted, and summed where equal keys follow each other. A
-partition of that sort writes its pairs to one shard, a numpy file in the shared folder, with a mark on the pairs that have the highest count of
-their B id; the rows that Spark commits name the files, so what a lost attempt wrote is never read. The second pass
-maps the shards into memory and looks up its links by binary search.
+A pair of ids is packed into an int64, B's id above A's. One pass over the texts stores, for each block of documents, its
+segments with their pairs, and for each partition its distinct pairs with partial counts. These are
+range-partitioned by B's id, sorted, and summed where equal keys follow each other. A partition of that sort writes its pairs to one
+shard, a numpy file in the shared folder, with a mark on the pairs that have the highest count of their B id; the rows that
+Spark commits name the files, so what a lost attempt wrote is never read. Then the stored blocks look up their pairs by binary
+search in the shards, mapped into memory.
 
-A text is cut into segments at places where both tokenizers always cut: before a space after a visible character, and
-around a single line end between visible characters. A worker aligns a segment once and remembers it; a
-document is the sum of its segments.
+A text is cut into segments at places where both tokenizers always cut: before a space after a visible character,
+around a single line end between visible characters, and between a letter or digit and a full stop or comma. A worker aligns
+a segment once and remembers it; a document is the sum of its segments.
 
 Results in odd cases: null and empty texts, and texts whose tokens of A or B don't join to the text's bytes, have no tokens: zeros
 and an empty `groups`; null and repeated doc_ids are rows of their own; other columns aren't read; an empty table gives no rows.
@@ -36,27 +37,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches, stored
-from .packets import tidy
+from .packets import packed, tidy, unpacked
 from .segments import _Numbers
 from .sentencepiece_bpe import AS_IS, SPACE, _model
 from .token_orc import BYTES, _tokenizer, chunk_encoder
 
+#: Documents of a block.
 ROWS = 512
-#: A worker forgets its segments beyond so many, or so many characters. Bounds memory, not results.
-SEGMENTS, CHARACTERS = 400_000, 16_000_000
+#: Beyond so many segments, or so many characters, a worker keeps the LEFT it met most. Bounds memory, not results.
+SEGMENTS, CHARACTERS, LEFT = 700_000, 16_000_000, 350_000
+#: A longer segment is not kept then.
+SHORT = 64
 #: A space or line end at which a text can't be cut, or can't be cut on both sides.
 _unsafe = re.compile(r"(?<![!-~\w])[ \n]|\n(?![!-~\w])")
 _cut = re.compile(r"(?<=[!-~\w])(?= )")
+_stops = re.compile(r"(?<![^\W_])[.,]")
 #: B's id above A's.
 SHIFT = 32
 
 
-def segments(text: str, lines: bool) -> list[str]:
-    """A space and the text, in pieces. lines: whether a line end is a token by itself."""
-    if not text:
-        return []
+def segments(text: str, lines: bool, stops: bool) -> list[str]:
+    """A space and the text, in pieces. lines: whether a line end is a token by itself. stops: whether no token joins a
+    letter or digit with a full stop or comma after it."""
     if not lines or _unsafe.search(text):
         return _cut.split(" " + text)
+    if stops and not _stops.search(text):
+        text = text.replace(".", AS_IS + ".").replace(",", AS_IS + ",")
     return (" " + text).replace(" ", AS_IS + " ").replace("\n", f"{AS_IS}\n{AS_IS}").split(AS_IS)[1:]
 
 
@@ -74,6 +80,7 @@ class Aligner:
         piece, entry = _model(b_path), _tokenizer(a_path, True)
         self.encode_a, self.encode_b = chunk_encoder(a_path, True), piece.encode_words
         self.lines = 10 not in piece.chars
+        self.stops = not any(re.search(r"[^\W_][.,]", p) for p in piece.pieces)
         value = {c: b for b, c in enumerate(BYTES)} | {chr(256 + 10): 10}  # the byte-level alphabet; BYTES keeps the line end
         self.bytes_a = [bytes(map(value.get, t)) if t and all(c in value for c in t) else (t or "").encode() for t in map(entry.id_to_token, range(entry.get_vocab_size()))]
         of_byte = {int(i): bytes([b]) for b, i in enumerate(piece.bytes) if i != piece.unknown_id}
@@ -82,18 +89,31 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
+        """Everything."""
         self.index, self.characters, self.groups = _Numbers(), 0, []
         self.figures = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
-        self.bad = np.zeros(0, bool)
+        self.bad, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
         self.pairs, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.shards, self.found = None, np.zeros((2, 0), np.int64)  # best links and counts of each segment, by one set of shards
 
     def full(self) -> bool:
         return len(self.index) > SEGMENTS or self.characters > CHARACTERS
 
+    def thin_out(self) -> None:
+        """Keeps the segments met most."""
+        names = list(self.index)
+        keep = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) <= SHORT)
+        if len(keep) > LEFT:
+            keep = np.sort(keep[np.argpartition(-self.used[keep], LEFT)[:LEFT]])
+        names = [names[i] for i in keep.tolist()]
+        self.index, self.characters = _Numbers(zip(names, range(len(names)))), sum(map(len, names))
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        pairs, self.figures = self.pairs_of(keep), self.figures[:, keep]
+        self.pairs, self.start = pairs, np.cumsum(self.figures[3]) - self.figures[3]
+        self.bad, self.used = self.bad[keep], self.used[keep] // 2
+
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the segments of all texts, and how many each text has."""
-        split = [segments(t, self.lines) if t else [] for t in texts]
+        split = [segments(t, self.lines, self.stops) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         new, self.index.new = self.index.new, []
@@ -103,6 +123,7 @@ class Aligner:
             except BaseException:
                 self.forget()
                 raise
+        self.used += np.bincount(which, minlength=len(self.used))
         return which, counts
 
     def _learn(self, new: list[str]) -> None:
@@ -121,21 +142,27 @@ class Aligner:
             owned.append((ids, np.cumsum(lengths[ids])))
         (a, end_a), (b, end_b) = owned
         edge = np.cumsum(size * good)
-        ends, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
-        pairs = b[np.searchsorted(end_b, ends)] << SHIFT | a[np.searchsorted(end_a, ends)]
-        per = lambda places: np.bincount(np.searchsorted(edge, places), minlength=len(raw))
-        links, groups = per(ends), per(common)
+        # ends of both sides in one order, A's before B's at the same place
+        both = np.sort(np.concatenate([end_a * 2, end_b * 2 + 1]), kind="stable")
+        place, of_b = both >> 1, both & 1
+        last = np.flatnonzero(np.diff(place, append=-1))
+        ends, done_b = place[last], np.cumsum(of_b)[last]
+        done_a = last + 1 - done_b
+        meet = np.diff(last, prepend=-1) == 2
+        pairs = b[done_b - (of_b[last] == 1)] << SHIFT | a[done_a - ((of_b[last] == 0) | meet)]
+        per = lambda places: np.diff(np.searchsorted(places, edge, "right"), prepend=0)
+        links, groups = per(ends), per(ends[meet])
         named = []
-        for ids, end in owned:
-            text, stop = list(map(str, ids.tolist())), np.searchsorted(end, common, "right").tolist()
-            named.append([",".join(text[x:y]) for x, y in zip([0, *stop], stop)])
+        for ids, stop in ((a, done_a[meet].tolist()), (b, done_b[meet].tolist())):
+            text = list(map(str, ids.tolist()))
+            named.append([text[x] if y - x == 1 else ",".join(text[x:y]) for x, y in zip([0, *stop], stop)])
         written = list(map("|".join, zip(*named)))
         stop = np.cumsum(groups).tolist()
         self.groups += [";".join(written[x:y]) for x, y in zip([0, *stop], stop)]
         self.start = np.concatenate([self.start, len(self.pairs) + np.cumsum(links) - links])
         self.pairs = np.concatenate([self.pairs, pairs])
         self.figures = np.concatenate([self.figures, [sides[0][1] * good, sides[1][1] * good, groups, links]], axis=1)
-        self.bad = np.concatenate([self.bad, ~good])
+        self.bad, self.used = np.concatenate([self.bad, ~good]), np.concatenate([self.used, np.zeros(len(raw), np.int64)])
         self.characters += sum(map(len, new))
 
     def pairs_of(self, some: np.ndarray) -> np.ndarray:
@@ -152,18 +179,6 @@ class Aligner:
         keys, first = np.unique(pairs[order], return_index=True)
         return keys, np.add.reduceat(times[order], first) if len(keys) else times
 
-    def look_up(self, shards: Shards) -> np.ndarray:
-        """How many links of each segment are the best of their B id, and the sum of all links' counts."""
-        if self.shards != shards:
-            self.shards, self.found = shards, np.zeros((2, 0), np.int64)
-        fresh = np.arange(self.found.shape[1], len(self.groups))
-        if len(fresh):
-            keys, back = np.unique(self.pairs_of(fresh), return_inverse=True)
-            count, best = shards.of(keys)
-            links = self.figures[3][fresh]
-            self.found = np.concatenate([self.found, [_sums(best[back], links), _sums(count[back], links)]], axis=1)
-        return self.found
-
 
 @cache
 def _aligner(a_path: str, b_path: str) -> Aligner:
@@ -207,33 +222,56 @@ class Shards:
         return value >> 1, value & 1
 
 
-def partial_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """(pair, n) for the distinct pairs of each partition."""
+#: Of a block of documents: its documents, their figures and groups, their segments as numbers within the block, and the
+#: segments' pairs. Of a partition: pairs and counts.
+GATHERED = "doc_id array<long>, figures binary, groups array<string>, counts binary, which binary, links binary, pairs binary, pair long, n long"
+
+
+def gathered(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest: bool = False) -> DataFrame:
+    """Rows of GATHERED, those of blocks with doc_id and those of partitions with pair."""
+    names = [x.split()[0] for x in GATHERED.split(", ")]
+    kinds = {"doc_id": pa.list_(pa.int64()), "groups": pa.list_(pa.string()), "pair": pa.int64(), "n": pa.int64()}
+
+    def batch_of(rows: int, **own: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(rows, kinds.get(c, pa.binary())) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, uses = _aligner(a_path, b_path), np.zeros(0, np.int64)
 
-        def given() -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
             keys, n = known.counted(uses)
             for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], names=["pair", "n"])
+                yield batch_of(len(keys[at : at + (1 << 16)]), pair=pa.array(keys[at : at + (1 << 16)]), n=pa.array(n[at : at + (1 << 16)]))
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                which, counts = known.numbers(batch.slice(at, ROWS).column(0).to_pylist())
+                own = batch.slice(at, ROWS)
+                which, counts = known.numbers(own.column(1).to_pylist())
                 whole = _sums(known.bad[which], counts) == 0
-                now = np.bincount(which[np.repeat(whole, counts)], minlength=len(known.groups))
+                which, counts = which[np.repeat(whole, counts)], counts * whole
+                now = np.bincount(which, minlength=len(known.groups))
+                some = np.flatnonzero(now)
                 now[: len(uses)] += uses
                 uses = now
+                order, ends = which.tolist(), np.cumsum(counts).tolist()
+                groups = [";".join(map(known.groups.__getitem__, order[x:y])) for x, y in zip([0, *ends], ends)]
+                if digest:
+                    groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                figures = np.concatenate([_sums(x[which], counts) for x in known.figures])
+                within = np.zeros(len(known.groups), np.int32)
+                within[some] = np.arange(len(some))
+                blobs = {"figures": figures, "counts": counts, "which": within[which], "links": known.figures[3][some].astype(np.int32), "pairs": known.pairs_of(some)}
+                one = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
+                yield batch_of(1, doc_id=one(own.column(0)), groups=one(pa.array(groups, pa.string())), **{c: pa.array([packed(x)]) for c, x in blobs.items()})
                 if known.full():
-                    yield from given()
-                    known.forget()
+                    yield from counted()
+                    known.thin_out()
                     uses = np.zeros(0, np.int64)
-        yield from given()
+        yield from counted()
         tidy()
 
     small_batches(docs.sparkSession)
-    return docs.select(text).mapInArrow(run, "pair long, n long")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, GATHERED)
 
 
 def summed(partial: DataFrame, label: str = "pairs") -> Shards:
@@ -278,39 +316,35 @@ def summed(partial: DataFrame, label: str = "pairs") -> Shards:
     return Shards(tuple(x for x, _ in made), tuple(x for _, x in made))
 
 
-def aligned(docs: DataFrame, shards: Shards, a_path: str, b_path: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): groups written as `a1,a2|b1;a3|b2,b3`, or its SHA-256."""
+def looked_up(blocks: DataFrame, shards: Shards) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of blocks as gathered() gives them."""
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _aligner(a_path, b_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                own = batch.slice(at, ROWS)
-                which, counts = known.numbers(own.column(1).to_pylist())
-                found = known.look_up(shards)
-                whole = (_sums(known.bad[which], counts) == 0) & (counts > 0)
-                figures = [_sums(x[which], counts) * whole for x in (*known.figures, *found)]
-                ends, order = np.cumsum(counts).tolist(), which.tolist()
-                groups = [";".join(map(known.groups.__getitem__, order[y - n : y])) if w else "" for y, n, w in zip(ends, counts.tolist(), whole)]
-                if digest:
-                    groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-                yield pa.RecordBatch.from_arrays([own.column(0), *map(pa.array, figures), pa.array(groups, pa.string())], names=names)
-                if known.full():
-                    known.forget()
+            for i in range(batch.num_rows):
+                own = {c: batch.column(c)[i] for c in batch.schema.names}
+                blob = lambda c, kind: unpacked(own[c].as_py(), kind)
+                counts, which, links = blob("counts", np.int64), blob("which", np.int32), blob("links", np.int32).astype(np.int64)
+                keys, back = np.unique(blob("pairs", np.int64), return_inverse=True)
+                count, best = shards.of(keys)
+                found = [_sums(_sums(x[back], links)[which], counts) for x in (best, count)]
+                figures = blob("figures", np.int64).reshape(4, -1)
+                yield pa.RecordBatch.from_arrays([own["doc_id"].values, *map(pa.array, [*figures, *found]), own["groups"].values], names=names)
         tidy()
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", groups string")
+    return blocks.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", groups string")
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> DataFrame:
-    """aligned() of docs (doc_id, text), by the counts of docs themselves."""
-    shards = summed(stored(partial_counts(docs, a_path, b_path), "partial"))
-    return aligned(docs, shards, a_path, b_path, digest=digest)
+def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for every row of docs: groups written as
+    `a1,a2|b1;a3|b2,b3`, or with digest the SHA-256 of that; links counted in all texts of docs."""
+    rows = stored(gathered(docs, a_path, b_path, text, digest), "aligned")
+    shards = summed(rows.where("pair is not null").select("pair", "n"))
+    return looked_up(rows.where("pair is null").drop("pair", "n"), shards)
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def pair_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """(a, b, n): how often two ids are linked in all texts of docs."""
-    every = stored(partial_counts(docs, a_path, b_path), "partial").groupBy("pair").agg(F.sum("n").alias("n"))
+    every = gathered(docs, a_path, b_path, text, digest=True).where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
     return every.select(F.col("pair").bitwiseAND((1 << SHIFT) - 1).cast("int").alias("a"), F.shiftright("pair", SHIFT).cast("int").alias("b"), "n")

@@ -64,7 +64,8 @@ def test_same_as_libraries(spark, texts):
 
 def test_forgetting_changes_nothing(texts, monkeypatch):
     """The passes in this process, with a worker that forgets after every batch."""
-    monkeypatch.setattr(token_alignment, "SEGMENTS", 3)
+    monkeypatch.setattr(token_alignment, "SEGMENTS", 30)
+    monkeypatch.setattr(token_alignment, "LEFT", 20)
     known = token_alignment.Aligner(A, B)
     counts = Counter()
     for t in texts:
@@ -77,7 +78,7 @@ def test_forgetting_changes_nothing(texts, monkeypatch):
         keys, times = known.counted(token_alignment.np.array(uses, int))
         counts.update(dict(zip(keys.tolist(), times.tolist())))
         if known.full():
-            known.forget()
+            known.thin_out()
     _, corpus = plain(texts)
     assert counts == {j << 32 | i: n for (i, j), n in corpus.items()}
 
