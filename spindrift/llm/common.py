@@ -59,11 +59,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+def stored(frame: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     """Writes the rows to the shared folder and reads them back. A lost executor costs no recomputation from
-    further back than this."""
+    further back than this. rows_per_file: for rows of megabytes, since readers take thousands of a file at once."""
     path = fresh_path(frame.sparkSession, label)
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

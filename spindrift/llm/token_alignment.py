@@ -45,7 +45,9 @@ from .token_orc import BYTES, _tokenizer, chunk_encoder
 #: Documents of a block.
 ROWS = 512
 #: Beyond so many segments, or so many characters, a worker keeps the LEFT it met most. Bounds memory, not results.
-SEGMENTS, CHARACTERS, LEFT = 700_000, 16_000_000, 350_000
+SEGMENTS, CHARACTERS, LEFT = 500_000, 12_000_000, 250_000
+#: Rows of a stored file; a block is a row of some megabytes.
+FILE_ROWS = 16
 #: A longer segment is not kept then.
 SHORT = 64
 #: A space or line end at which a text can't be cut, or can't be cut on both sides.
@@ -223,14 +225,14 @@ class Shards:
 
 
 #: Of a block of documents: its documents, their figures and groups, their segments as numbers within the block, and the
-#: segments' pairs. Of a partition: pairs and counts.
-GATHERED = "doc_id array<long>, figures binary, groups array<string>, counts binary, which binary, links binary, pairs binary, pair long, n long"
+#: segments' pairs. Of a partition: distinct pairs and their counts.
+GATHERED = "doc_id array<long>, figures binary, groups array<string>, counts binary, which binary, links binary, pairs binary, distinct binary, n binary"
 
 
 def gathered(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """Rows of GATHERED, those of blocks with doc_id and those of partitions with pair."""
+    """Rows of GATHERED, those of blocks with doc_id and those of partitions with distinct pairs."""
     names = [x.split()[0] for x in GATHERED.split(", ")]
-    kinds = {"doc_id": pa.list_(pa.int64()), "groups": pa.list_(pa.string()), "pair": pa.int64(), "n": pa.int64()}
+    kinds = {"doc_id": pa.list_(pa.int64()), "groups": pa.list_(pa.string())}
 
     def batch_of(rows: int, **own: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(rows, kinds.get(c, pa.binary())) for c in names], names=names)
@@ -240,8 +242,8 @@ def gathered(docs: DataFrame, a_path: str, b_path: str, text: str = "text", dige
 
         def counted() -> Iterator[pa.RecordBatch]:
             keys, n = known.counted(uses)
-            for at in range(0, len(keys), 1 << 16):
-                yield batch_of(len(keys[at : at + (1 << 16)]), pair=pa.array(keys[at : at + (1 << 16)]), n=pa.array(n[at : at + (1 << 16)]))
+            for at in range(0, len(keys), 1 << 17):
+                yield batch_of(1, distinct=pa.array([packed(keys[at : at + (1 << 17)])]), n=pa.array([packed(n[at : at + (1 << 17)])]))
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -274,6 +276,17 @@ def gathered(docs: DataFrame, a_path: str, b_path: str, text: str = "text", dige
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, GATHERED)
 
 
+def _partial(rows: DataFrame) -> DataFrame:
+    """(pair, n) of what gathered() gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blobs in zip(*batch.to_pydict().values()):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(x, np.int64)) for x in blobs], names=["pair", "n"])
+
+    return rows.where("distinct is not null").select("distinct", "n").mapInArrow(run, "pair long, n long")
+
+
 def summed(partial: DataFrame, label: str = "pairs") -> Shards:
     """The counts of all pairs as sorted shards in the shared folder. A B id lies within one shard."""
     spark = partial.sparkSession
@@ -321,6 +334,7 @@ def looked_up(blocks: DataFrame, shards: Shards) -> DataFrame:
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _aligner.cache_clear()  # what a worker remembers of segments has no more use
         for batch in batches:
             for i in range(batch.num_rows):
                 own = {c: batch.column(c)[i] for c in batch.schema.names}
@@ -339,12 +353,11 @@ def looked_up(blocks: DataFrame, shards: Shards) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for every row of docs: groups written as
     `a1,a2|b1;a3|b2,b3`, or with digest the SHA-256 of that; links counted in all texts of docs."""
-    rows = stored(gathered(docs, a_path, b_path, text, digest), "aligned")
-    shards = summed(rows.where("pair is not null").select("pair", "n"))
-    return looked_up(rows.where("pair is null").drop("pair", "n"), shards)
+    rows = stored(gathered(docs, a_path, b_path, text, digest), "aligned", FILE_ROWS)
+    return looked_up(rows.where("distinct is null").drop("distinct", "n"), summed(_partial(rows)))
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """(a, b, n): how often two ids are linked in all texts of docs."""
-    every = gathered(docs, a_path, b_path, text, digest=True).where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
+    every = _partial(gathered(docs, a_path, b_path, text, digest=True)).groupBy("pair").agg(F.sum("n").alias("n"))
     return every.select(F.col("pair").bitwiseAND((1 << SHIFT) - 1).cast("int").alias("a"), F.shiftright("pair", SHIFT).cast("int").alias("b"), "n")
