@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..sources.openapi import as_map, member
+from .snippets import SPACE
 
 TOKEN_LIMIT = 480
 #: Fixed value: where a sentence may end.
-_BOUNDARY = re.compile(r"(?<=[.!?。])\s+|\n")
-
-
-def words(text: str) -> int:
-    """The default count of tokens."""
-    return len(text.split())
+BOUNDARY = r"(?U)(?<=[.!?。])[\s\x1C-\x1F]+|\n"
 
 
 def _names(json_schema):
@@ -57,70 +50,55 @@ def section_text():
     return F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("# "), F.col("title"), F.lit("\n"), F.col("content"))).otherwise(F.col("content"))
 
 
-class _Packer:
-    """Fills pieces up to a budget, joined by a separator; a piece over the budget goes to the next finer cut."""
-
-    def __init__(self, count: Callable[[str], int], budget: int):
-        self.count, self.budget = count, budget
-
-    def pack(self, parts: list[str], glue: str, finer: Callable[[str], list[str]]) -> list[str]:
-        done: list[str] = []
-        held = ""
-        empty = True
-        for part in parts:
-            if self.count(part) > self.budget:
-                done += ([] if empty else [held]) + finer(part)
-                held, empty = "", True
-            elif empty:
-                held, empty = part, False
-            elif self.count(joined := held + glue + part) > self.budget:
-                done.append(held)
-                held = part
-            else:
-                held = joined
-        return done if empty else [*done, held]
-
-    def paragraphs(self, text: str) -> list[str]:
-        return self.pack(text.split("\n\n"), "\n\n", self.sentences)
-
-    def sentences(self, text: str) -> list[str]:
-        return self.pack([s for s in _BOUNDARY.split(text) if s], " ", self.cut)
-
-    def cut(self, text: str) -> list[str]:
-        """The longest beginnings within the budget, of at least one character."""
-        out = []
-        while text:
-            low, high = 1, len(text)
-            while low < high:
-                middle = (low + high + 1) // 2
-                low, high = (middle, high) if self.count(text[:middle]) <= self.budget else (low, middle - 1)
-            out.append(text[:low])
-            text = text[low:]
-        return out
-
-
-def split_section(title: str, content: str, limit: int, count: Callable[[str], int] = words) -> list[str]:
-    """Texts of a section that are within the limit; each begins with the title."""
-    head = f"# {title}\n" if title else ""
-    if count(head + content) <= limit:
-        return [head + content]
-    return [head + x for x in _Packer(count, max(1, limit - count(head))).paragraphs(content)]
-
-
-def split_sections(sections: DataFrame, limit: int = TOKEN_LIMIT, count: Callable[[str], int] = words) -> DataFrame:
-    """Sections (..., title, content) with their parts: (..., part, text)."""
-    keep = [c for c in sections.columns if c not in ("title", "content")]
-    schema = T.StructType([*[sections.schema[c] for c in keep], T.StructField("part", T.IntegerType()), T.StructField("text", T.StringType())])
+def word_count(text: Column) -> Column:
+    """The default count of tokens."""
+    return F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""))
+
+
+def _packed(parts: Column, glue: str, budget: Column, finer: Callable[[Column], Column]) -> Column:
+    """Fills pieces up to a budget of words, joined by white space; a part over the budget goes to the next finer cut. One fold over
+    the parts: what is done, what is held and its words, and whether nothing is held."""
+    none = F.array().cast("array<string>")
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), word_count(p).alias("n")))
+
+    def state(done: Column, held: Column, n: Column, empty: bool) -> Column:
+        return F.struct(done.alias("done"), held.alias("held"), n.alias("n"), F.lit(empty).alias("empty"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.Table.from_batches([batch])
-            texts = [split_section(t or "", c or "", limit, count) for t, c in zip(own["title"].to_pylist(), own["content"].to_pylist())]
-            rows = pa.array([i for i, x in enumerate(texts) for _ in x], pa.int64())
-            table = own.select(keep).take(rows).append_column("part", pa.array([n for x in texts for n in range(len(x))], pa.int32())).append_column("text", pa.array([y for x in texts for y in x], pa.string()))
-            yield from table.to_batches()
+    def closed(s: Column) -> Column:
+        return F.when(s["empty"], s["done"]).otherwise(F.concat(s["done"], F.array(s["held"])))
 
-    return sections.select(*keep, "title", "content").mapInArrow(run, schema)
+    def step(s: Column, part: Column) -> Column:
+        return (
+            F.when(part["n"] > budget, state(F.concat(closed(s), finer(part["text"])), F.lit(""), F.lit(0), True))
+            .when(s["empty"] | (s["n"] + part["n"] > budget), state(closed(s), part["text"], part["n"], False))
+            .otherwise(state(s["done"], F.concat(s["held"], F.lit(glue), part["text"]), s["n"] + part["n"], False))
+        )
+
+    return F.aggregate(counted, state(none, F.lit(""), F.lit(0), True), step, closed)
+
+
+def _cut(text: Column, budget: Column) -> Column:
+    """Pieces of so many words, with the white space after each."""
+    own = F.regexp_extract_all(text, F.lit(SPACE + "*+" + SPACE.replace("[", "[^", 1).replace("(?U)", "") + "++" + SPACE.replace("(?U)", "") + "*+"), F.lit(0))
+    starts = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / budget).cast("int"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(own, i * budget + 1, budget), ""))
+
+
+def section_parts(title: Column, content: Column, limit: int) -> Column:
+    """Texts of a section that hold up to `limit` words; each begins with the title. Paragraphs are put together, of a
+    longer paragraph sentences, and a longer sentence is cut between words."""
+    head = F.when(title != "", F.concat(F.lit("# "), title, F.lit("\n"))).otherwise("")
+    budget = F.greatest(F.lit(1), F.lit(limit) - word_count(head))
+    sentences = lambda p: _packed(F.filter(F.split(p, BOUNDARY), lambda x: x != ""), " ", budget, lambda x: _cut(x, budget))
+    parts = _packed(F.split(content, "\n\n"), "\n\n", budget, sentences)
+    return F.when(word_count(head) + word_count(content) <= limit, F.array(F.concat(head, content))).otherwise(F.transform(parts, lambda x: F.concat(head, x)))
+
+
+def split_sections(sections: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
+    """Sections (..., title, content) with their parts: (..., part, text)."""
+    keep = [c for c in sections.columns if c not in ("title", "content")]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return sections.select(*keep, F.posexplode(section_parts(text("title"), text("content"), limit)).alias("part", "text"))
 
 
 def build_chunks(endpoints: DataFrame, schemas: DataFrame, sections: DataFrame, limit: int | None = TOKEN_LIMIT) -> DataFrame:

@@ -16,8 +16,8 @@ from ..functions import vectors as V
 RRF_K = 60
 #: Saturation of a term's count in the keyword score.
 SATURATION = 1.2
-#: Query rows that are broadcast at most. A larger table of queries is shuffled, or scored in blocks.
-BROADCAST_QUERIES = 200_000
+#: Bytes of queries that are broadcast at most. A larger table of queries is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def width(top_k: int) -> int:
@@ -31,8 +31,9 @@ def fetch_budget(top_k: int, n: int) -> int:
 
 
 def bounded(queries: DataFrame) -> DataFrame:
-    """Queries, marked for broadcast if their counted rows are few."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+    """Queries, marked for broadcast if their measured texts and lists are few bytes."""
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in queries.schema.fields), F.lit(16))
+    return F.broadcast(queries) if (queries.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else queries
 
 
 def top(rows: DataFrame, k: int, score: Column, key: str = "key", by: str = "query_id") -> DataFrame:
@@ -56,27 +57,49 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return own.withColumn("n", F.count_if("scored").over(W.partitionBy("query_id")))
 
 
-def keyword_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
+def keyword_hits(index: DataFrame, queries: DataFrame, slices: int = 0) -> DataFrame:
     """(query_id, key, score) of everything that holds a filter term: the sum of tf / (tf + SATURATION) over the scored
-    terms, divided by their number."""
+    terms, divided by their number. slices: those of a stored index, whose rows have the column slice; its side isn't shuffled."""
     part = F.when(F.col("scored"), F.col("tf") / (F.col("tf") + SATURATION)).otherwise(0.0)
-    met = index.join(bounded(query_terms(queries)), "term")
+    asked = query_terms(queries)
+    if slices:
+        met = index.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["term", "slice"])
+    else:
+        met = index.join(bounded(asked), "term")
     return met.groupBy("query_id", "key").agg((F.sum(part) / F.max("n")).alias("score"))
 
 
-def keyword_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    hits = keyword_hits(index, queries)
+def keyword_topk(index: DataFrame, queries: DataFrame, k: int, slices: int = 0) -> DataFrame:
+    hits = keyword_hits(index, queries, slices)
     return top(hits, k, F.col("score")).select("query_id", "key", "rank", "score")
 
 
-def vector_hits(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score): cosine of every query vector with every vector (key, embedding), where it is positive."""
-    units = vectors.where("embedding is not null").select("key", V.unit(F.col("embedding")).alias("u"))
-    asked = bounded(queries.select("query_id", V.unit(F.col("embedding")).alias("q")))
-    return units.crossJoin(asked).select("query_id", "key", V.dot(F.col("u"), F.col("q")).alias("score")).where("round(score, 9) > 0")
+def holding(rows: DataFrame, slices: int, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, key) of docs (key, text) that hold the whole text of a query (query_id, text), by a stored keyword index of them (rows,
+    slices). A text's inner terms stand whole in what holds it; documents that have them all are compared. Texts of
+    fewer than three terms are compared with every document, in the blocks of vector_hits."""
+    terms = T.terms("text")
+    asked = queries.where("text <> ''").select("query_id", "text", F.array_distinct(F.slice(terms, 2, F.greatest(F.size(terms) - 2, F.lit(0)))).alias("inner"))
+    each = asked.select("query_id", F.size("inner").alias("n"), F.explode("inner").alias("term")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    near = rows.join(each, ["term", "slice"]).groupBy("query_id", "key").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n").select("query_id", "key")
+    near = near.join(asked.select("query_id", F.col("text").alias("_text")), "query_id").join(docs, "key")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(32)).cast("int")
+    short = asked.where(F.size("inner") == 0).select("query_id", F.col("text").alias("_text"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_block"))
+    rest = docs.withColumn("_block", block("key")).join(short, "_block")
+    columns = ["query_id", "key", "_text", "text"]
+    return near.select(*columns).union(rest.select(*columns)).where(F.contains("text", "_text")).select("query_id", "key")
+
+
+def vector_hits(vectors: DataFrame, queries: DataFrame, blocks: int = 32) -> DataFrame:
+    """(query_id, key, score): cosine of every query vector with every vector (key, embedding), where it is positive. Vectors are dealt
+    to blocks by key, and each block meets all queries: a stated set of queries against all rows."""
+    units = vectors.where("embedding is not null").select("key", V.unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.where("embedding is not null").select("query_id", V.unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return units.join(asked, "block").select("query_id", "key", V.dot(F.col("u"), F.col("q")).alias("score")).where("round(score, 9) > 0")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact; vector_index has the approximate way."""
     return top(vector_hits(vectors, queries), k, F.col("score")).select("query_id", "key", "rank", "score")
 
 
@@ -86,22 +109,21 @@ def best_of_variants(ranked: DataFrame, of: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("best", "key"))).select("query_id", "key", "rank")
 
 
-def title_topk(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, rank, score) of pages (key, title, url) for queries (query_id, text). A page is a candidate if its
-    title or url holds a query term, or the query without spaces."""
-    # what each side has of its own is computed before the sides meet
-    wanted = F.array_distinct(T.terms("text"))
-    asked = bounded(queries.select("query_id", wanted.alias("wanted"), T.collapse("text").alias("squeezed")).where(F.size("wanted") > 0))
-    own = pages.select(
-        "key", F.lower("title").alias("title"), F.lower("url").alias("url"), T.collapse_spaces("title").alias("close_title"), T.collapse_spaces("url").alias("close_url"),
-        F.array_union(T.terms("title"), T.terms("url")).alias("terms"), F.concat(T.collapse("title"), T.collapse("url")).alias("closed"),
-    )
-    near = F.exists("wanted", lambda t: F.contains("title", t) | F.contains("url", t))
-    within = F.contains("close_title", "squeezed") | F.contains("close_url", "squeezed")
-    found = own.crossJoin(asked).where(near | ((F.col("squeezed") != "") & within))
+def title_topk(index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, rank, score) of the pages of a stored index of titles (indexes.TitleIndex) for queries (query_id, text[, variants]). A
+    page is a candidate if its title or url holds a term of the query or its variants, or one of them without spaces;
+    only the query's own terms score."""
+    variants = F.coalesce(F.col("variants"), F.array().cast("array<string>")) if "variants" in queries.columns else F.array().cast("array<string>")
+    wanted, squeezed = F.array_distinct(T.terms("text")), T.collapse("text")
+    own = queries.select("query_id", wanted.alias("wanted"), squeezed.alias("squeezed"), F.array_distinct(F.concat(wanted, T.terms(F.array_join(variants, " ")))).alias("near"), F.array_union(F.array(squeezed), F.transform(variants, T.collapse)).alias("close"))
+    asked = own.where(F.size("wanted") > 0)
+    each = asked.select("query_id", F.explode(F.concat(F.transform("near", lambda x: F.struct(x.alias("needle"), F.lit(False).alias("close"))), F.transform("close", lambda x: F.struct(x.alias("needle"), F.lit(True).alias("close"))))).alias("x"))
+    each = each.select("query_id", "x.needle", "x.close").where("needle <> ''").distinct()
+    found = index.holding(each.select("needle", "close").distinct()).join(each, ["needle", "close"]).select("query_id", "key").distinct()
+    met = found.join(index.pages, "key").join(asked.select("query_id", "wanted", "squeezed"), "query_id")
     shared = F.size(F.array_intersect("wanted", "terms"))
     whole = ((F.col("squeezed") != "") & F.contains("closed", "squeezed")).cast("int")
-    scored = found.withColumn("score", F.greatest(shared, whole) / F.size("wanted"))
+    scored = met.withColumn("score", F.greatest(shared, whole) / F.size("wanted"))
     ordered = W.partitionBy("query_id").orderBy(F.col("score") <= 0, F.round("score", 9).desc(), "key")
     return scored.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "key", "rank", "score")
 
@@ -113,26 +135,46 @@ def fold(ranked: DataFrame, owner: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("best", "key"))).select("query_id", "key", "rank", "winner")
 
 
-def fuse(arms: dict[str, DataFrame], top_k: int, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of arms (query_id, key, rank): (query_id, key, rank, score, match_type).
+ARMS = ("keyword", "vector", "title")
+
 
-    The first place of a key in an arm counts, places are numbered anew, and the arms' shares are added in the
-    order keyword, vector, title. A key that only the title arm has is labelled vector."""
+def places(arms: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, key, keyword, vector, title): a key's place in each arm (query_id, key, rank). The first place of a key in an arm
+    counts, and places are numbered anew."""
     rows = None
-    for name in ("keyword", "vector", "title"):
+    for name in ARMS:
         if name in arms:
             own = arms[name].select("query_id", "key", "rank", F.lit(name).alias("arm"))
             rows = own if rows is None else rows.union(own)
     first = rows.groupBy("query_id", "arm", "key").agg(F.min("rank").alias("first"))
     again = first.withColumn("place", F.row_number().over(W.partitionBy("query_id", "arm").orderBy("first", "key")))
-    place = {a: F.max(F.when(F.col("arm") == a, F.col("place"))).alias(a) for a in ("keyword", "vector", "title")}
-    wide = again.groupBy("query_id", "key").agg(*place.values())
-    share = lambda a: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(a)), F.lit(0.0))
-    scored = wide.withColumn("score", share("keyword") + share("vector") + share("title"))
+    return again.groupBy("query_id", "key").agg(*[F.max(F.when(F.col("arm") == a, F.col("place"))).alias(a) for a in ARMS])
+
+
+def by_shares(placed: DataFrame, top_k: int, k: Column, *by: str) -> DataFrame:
+    """Places with rank, score and match_type, the top_k of each query and value of `by`. The arms' shares are added in
+    the order of ARMS; a key that only the title arm has is labelled vector."""
+    share = lambda a: F.coalesce(F.lit(1.0) / (k + F.col(a)), F.lit(0.0))
+    scored = placed.withColumn("score", share("keyword") + share("vector") + share("title"))
     label = F.when(F.col("keyword").isNotNull() & F.col("vector").isNotNull(), "both").when(F.col("keyword").isNotNull(), "keyword").otherwise("vector")
-    ordered = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("key"))
+    ordered = W.partitionBy(*by, "query_id").orderBy(F.col("score").desc(), F.col("key"))
     ranked = scored.withColumn("match_type", label).withColumn("rank", F.row_number().over(ordered))
-    return ranked.where(F.col("rank") <= top_k).select("query_id", "key", "rank", "score", "match_type")
+    return ranked.where(F.col("rank") <= top_k).select(*by, "query_id", "key", "rank", "score", "match_type")
+
+
+def fuse(arms: dict[str, DataFrame], top_k: int, k: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of arms: (query_id, key, rank, score, match_type)."""
+    return by_shares(places(arms), top_k, F.lit(k))
+
+
+def winners(arms: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, key, winner): the chunk that brought a document in, from folded arms; the keyword arm's before the vector arm's."""
+    rows = None
+    for n, name in enumerate(ARMS):
+        if name in arms and "winner" in arms[name].columns:
+            own = arms[name].select("query_id", "key", F.lit(n).alias("arm"), "winner")
+            rows = own if rows is None else rows.union(own)
+    return rows.groupBy("query_id", "key").agg(F.min_by("winner", "arm").alias("winner"))
 
 
 def fallback(keyword: DataFrame, vector: DataFrame) -> DataFrame:

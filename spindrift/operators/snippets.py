@@ -1,57 +1,52 @@
-"""Snippets: the stretch of a text that holds most of the query's terms. Meant for the few winners of a ranking."""
+"""Snippets: the stretch of a text that holds most of the query's terms, as Column expressions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 LENGTH, LEAD = 300, 60
+#: White space, also the separators U+001C to U+001F.
+SPACE = r"(?U)[\s\x1C-\x1F]"
+
 
+def dense(text: Column) -> Column:
+    """Lower-cased, without white space."""
+    return F.lower(F.regexp_replace(text, SPACE, ""))
 
-class _Finder:
-    """First places of terms in a text: as they are, else with white space left out of both."""
 
-    def __init__(self, text: str):
-        self.lowered = text.lower()
-        self.places = [i for i, c in enumerate(text) if not c.isspace()]
-        self.dense = "".join(text[i] for i in self.places).lower()
-        self.same = len(self.dense) == len(self.places)
+def _places(text: Column, wanted: Column) -> Column:
+    """Places, from 0, of the terms in the text: as they are, else with white space left out of both."""
+    low, tight = F.lower(text), dense(text)
+    # the place in the text of each character that isn't white space; worked out only where a term needs it
+    solid = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(SPACE), i)), lambda i: i.isNotNull())
 
-    def place(self, term: str) -> int | None:
-        if (at := self.lowered.find(term)) >= 0:
-            return at
-        dense = "".join(term.split())
-        at = self.dense.find(dense) if dense else -1
-        return self.places[min(at, len(self.places) - 1)] if at >= 0 else None
+    def place(term: Column) -> Column:
+        at = F.position(term, low)
+        within = F.position(dense(term), tight)
+        return F.when(at > 0, at - 1).when((dense(term) != "") & (within > 0), F.get(solid, F.least(within, F.size(solid)) - 1))
 
-    def found(self, wanted: list[str]) -> list[int]:
-        return [p for t in wanted if (p := self.place(t)) is not None]
+    return F.filter(F.transform(wanted, place), lambda p: p.isNotNull())
 
 
-def snippet(text: str, wanted: list[str]) -> str:
+def snippet(text: Column, wanted: Column) -> Column:
     """The stretch with most terms, the earliest of equals, from LEAD characters before its term; white space squeezed."""
-    starts = [max(0, p - LEAD) for p in sorted(set(_Finder(text).found(wanted)))]
-    # max() keeps the first of equals
-    best = max(starts, key=lambda s: len(_Finder(text[s : s + LENGTH]).found(wanted)), default=0)
-    return re.sub(r"\s+", " ", text[best : best + LENGTH]).strip()
 
+    def held(start: Column) -> Column:
+        part = F.substr(text, start + 1, F.lit(LENGTH))
+        low, tight = F.lower(part), dense(part)
+        return F.size(F.filter(wanted, lambda t: F.contains(low, t) | ((dense(t) != "") & F.contains(tight, dense(t)))))
 
-def with_snippets(rows: DataFrame) -> DataFrame:
-    """Rows (query, title, text, ...) with the column snippet; an empty text gets a note that names query and title."""
-    asked = rows.withColumn("_wanted", F.array_distinct(T.terms("query")))
-    schema = rows.schema.add("snippet", "string")
+    starts = F.array_distinct(F.transform(_places(text, wanted), lambda p: F.greatest(p - LEAD, F.lit(0))))
+    best = F.array_max(F.transform(starts, lambda s: F.struct(held(s).alias("n"), (-s).alias("before"))))
+    part = F.substr(text, F.coalesce(-best["before"], F.lit(0)) + 1, F.lit(LENGTH))
+    return F.trim(F.regexp_replace(part, SPACE + "+", " "))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = {n: batch.column(n).to_pylist() for n in ("query", "title", "text", "_wanted")}
-            out = [snippet(t, w or []) if t else f"No passage for '{q}' found in the text. Only the title matches: {h}" for q, h, t, w in zip(*own.values())]
-            kept = [batch.column(n) for n in batch.schema.names if n != "_wanted"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.string())], names=[*(n for n in batch.schema.names if n != "_wanted"), "snippet"])
 
-    return asked.mapInArrow(run, schema)
+def with_snippets(rows: DataFrame) -> DataFrame:
+    """Rows (query, title, text, ...) with the column snippet; an empty text gets a note that names query and title."""
+    note = F.concat(F.lit("No passage for '"), F.col("query"), F.lit("' found in the text. Only the title matches: "), F.col("title"))
+    own = rows.withColumn("_wanted", F.array_distinct(T.terms("query")))
+    return own.withColumn("snippet", F.when(F.coalesce("text", F.lit("")) != "", snippet(F.col("text"), F.col("_wanted"))).otherwise(note)).drop("_wanted")

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, chunks, evaluate, snippets, sync
 from ..operators import ranking as R
+from ..operators.indexes import KeywordIndex, TitleIndex, build_keyword_index, build_title_index
+from ..operators.vector_index import VectorIndex, build_vector_index, recall
 from ..sources import office, openapi, remote, sections
-from .search import search_documents, search_endpoints
+from .search import Scope, search_documents, search_endpoints, search_indexed
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,31 @@ def _vectors(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
 
 
+#: Indexes built in this session, by application, tables and what is indexed: queries over the same tables share one.
+_built: dict[tuple, object] = {}
+
+
+def _once(spark, sf_dir, what, build):
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
+def _index(spark, sf_dir) -> KeywordIndex:
+    """documents by doc_id, with source as project and lang as doc_type."""
+    docs = _t(spark, sf_dir, "documents").withColumnsRenamed({"source": "project", "lang": "doc_type"})
+    return _once(spark, sf_dir, "documents", lambda: build_keyword_index(docs, "doc_id", scope=("project", "doc_type")))
+
+
+def _titles(spark, sf_dir) -> TitleIndex:
+    return _once(spark, sf_dir, "titles", lambda: build_title_index(_pages(spark, sf_dir)))
+
+
+def _cells(spark, sf_dir) -> VectorIndex:
+    return _once(spark, sf_dir, "vectors", lambda: build_vector_index(_vectors(spark, sf_dir)))
+
+
 def _pages(spark, sf_dir):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return _t(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), title.alias("title"), "url", F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
@@ -116,25 +143,25 @@ def posting_counts(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS}, {_ASKED}, {_KEYWORD} SELECT query_id, key, rank, round(score, 6) AS score FROM kw WHERE rank <= 10")
 def keyword_topk(spark, sf_dir):
-    return _r(R.keyword_topk(R.postings(_t(spark, sf_dir, "documents"), "doc_id"), _queries(spark, sf_dir), 10))
+    return _r(_index(spark, sf_dir).topk(_queries(spark, sf_dir), 10))
 
 
-@query(f"""WITH {_POSTINGS}, t AS (SELECT item_id, {_TERMS.format('text')} AS t FROM benchmark),
+@query(f"""WITH {_POSTINGS}, t AS (SELECT a.item_id, {_TERMS.format('a.text')} AS t, {_TERMS.format('b.text')} AS v FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1),
     asked AS (SELECT query_id, term, bool_or(scored) AS scored FROM (
-        SELECT item_id AS query_id, unnest(t[4:5]) AS term, true AS scored FROM t UNION ALL SELECT item_id, unnest(t[6:12]), false FROM t) GROUP BY ALL),
+        SELECT item_id AS query_id, unnest(t) AS term, true AS scored FROM t UNION ALL SELECT item_id, unnest(v), false FROM t) GROUP BY ALL),
     {_KEYWORD} SELECT query_id, key, rank, round(score, 6) AS score FROM kw WHERE rank <= 50""")
 def keyword_variants_zero_score(spark, sf_dir):
-    t = T.terms("text")
-    asked = _queries(spark, sf_dir).select("query_id", F.array_join(F.slice(t, 4, 2), " ").alias("text"), F.array(F.array_join(F.slice(t, 6, 7), " ")).alias("variants"))
-    return _r(R.keyword_topk(R.postings(_t(spark, sf_dir, "documents"), "doc_id"), asked, 50))
+    queries = _queries(spark, sf_dir)
+    other = queries.select((F.col("query_id") - 1).alias("query_id"), F.array("text").alias("variants"))
+    return _r(_index(spark, sf_dir).topk(queries.join(other, "query_id", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<string>"))), 50))
 
 
 @query(f"""WITH postings AS (SELECT doc_id AS key, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents
         WHERE source IN ('src0', 'src1') AND lang IN ('en', 'fr')) GROUP BY ALL), {_ASKED}, {_KEYWORD}
     SELECT query_id, key, rank, round(score, 6) AS score FROM kw WHERE rank <= 5""")
 def keyword_scoped(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1") & F.col("lang").isin("en", "fr"))
-    return _r(R.keyword_topk(R.postings(docs, "doc_id"), _queries(spark, sf_dir), 5))
+    scope = F.col("project").isin("src0", "src1") & F.col("doc_type").isin("en", "fr")
+    return _r(_index(spark, sf_dir).scoped(scope).topk(_queries(spark, sf_dir), 5))
 
 
 @query(f"WITH {_VECTOR.format(on='q.key % 100 = 0')} SELECT query_id, key, rank, round(score, 6) AS score FROM vec WHERE rank <= 10")
@@ -144,16 +171,26 @@ def vector_topk(spark, sf_dir):
     return _r(R.vector_topk(vectors, asked, 10))
 
 
-@query(f"""WITH {_VECTOR.format(on='q.key % 100 < 3')},
-    best AS (SELECT query_id - query_id % 100 AS query_id, key, min(rank) AS best FROM vec WHERE rank <= 50 GROUP BY ALL)
+@query(f"""WITH {_VECTOR.format(on='q.key % 100 = 0')},
+    best AS (SELECT query_id - query_id % 300 AS query_id, key, min(rank) AS best FROM vec WHERE rank <= 50 GROUP BY ALL)
     SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY best, key) AS rank FROM best""")
 def vector_variants_min_rank(spark, sf_dir):
+    """Vectors whose ids are divisible by 100, three of them variants of one query."""
     vectors = _vectors(spark, sf_dir)
-    asked = vectors.where("key % 100 < 3").withColumnRenamed("key", "query_id")
-    ranked = R.vector_topk(vectors, asked, R.width(10)).withColumn("of", F.col("query_id") - F.col("query_id") % 100)
+    asked = vectors.where("key % 100 = 0").withColumnRenamed("key", "query_id")
+    ranked = R.vector_topk(vectors, asked, R.width(10)).withColumn("of", F.col("query_id") - F.col("query_id") % 300)
     return R.best_of_variants(ranked, "of")
 
 
+@query("SELECT count(DISTINCT q.vec_id) AS n_queries, true AS recalled FROM embeddings q WHERE q.vec_id % 100 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether the index of cells finds nine in ten of the exact ten neighbours of all vectors whose ids are divisible by 100."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.where("key % 100 = 0").withColumnRenamed("key", "query_id")
+    rows = recall(R.vector_topk(vectors, asked, 10), _cells(spark, sf_dir).topk(asked, 10))
+    return rows.select("n_queries", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 _FUSED = """wide AS (SELECT query_id, key, max(kr) AS kr, max(vr) AS vr, max(tr) AS tr FROM ({arms}) GROUP BY ALL),
     fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + kr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + tr), 0) AS score FROM wide),
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM fused)"""
@@ -167,7 +204,7 @@ def _arms(spark, sf_dir) -> dict[str, DataFrame]:
     queries = _queries(spark, sf_dir)
     vectors = _vectors(spark, sf_dir)
     asked = vectors.withColumnRenamed("key", "query_id").join(queries.select("query_id"), "query_id", "left_semi")
-    return {"keyword": R.keyword_topk(R.postings(_t(spark, sf_dir, "documents"), "doc_id"), queries, 50), "vector": R.vector_topk(vectors, asked, 50)}
+    return {"keyword": _index(spark, sf_dir).topk(queries, 50), "vector": R.vector_topk(vectors, asked, 50)}
 
 
 @query(f"WITH {_POSTINGS}, {_ASKED}, {_KEYWORD}, {_ASKED_VEC}, {_FUSED.format(arms=_TWO)} SELECT query_id, key, rank, score, {_LABEL} FROM best WHERE rank <= 10")
@@ -186,24 +223,32 @@ _TITLE = f"""{_TITLE_PAGES},
 
 @query(f"WITH {_TITLE} SELECT query_id, key, rank, round(score, 6) AS score FROM tr WHERE rank <= 50")
 def title_arm(spark, sf_dir):
-    return _r(R.title_topk(_pages(spark, sf_dir), _queries(spark, sf_dir), 50))
+    return _r(_titles(spark, sf_dir).topk(_queries(spark, sf_dir), 50))
 
 
 @query(f"""WITH {_POSTINGS}, {_ASKED}, {_KEYWORD}, {_ASKED_VEC}, {_TITLE},
     {_FUSED.format(arms=_TWO + " UNION ALL SELECT query_id, key, NULL, NULL, rank FROM tr WHERE rank <= 50")} SELECT query_id, key, rank, score, {_LABEL} FROM best WHERE rank <= 10""")
 def rrf_three_arm(spark, sf_dir):
-    return R.fuse({**_arms(spark, sf_dir), "title": R.title_topk(_pages(spark, sf_dir), _queries(spark, sf_dir), 50)}, 10)
+    return R.fuse({**_arms(spark, sf_dir), "title": _titles(spark, sf_dir).topk(_queries(spark, sf_dir), 50)}, 10)
 
 
 @query(f"""WITH {_POSTINGS}, asked AS (SELECT item_id AS query_id, unnest(CASE WHEN item_id % 4 = 0 THEN ['zzzzqq'] ELSE list_distinct({_TERMS.format('text')}) END) AS term, true AS scored FROM benchmark),
-    {_KEYWORD}, {_ASKED_VEC}
-    SELECT query_id, key, rank, 'keyword' AS match_type FROM kw WHERE rank <= 10
-    UNION ALL SELECT query_id, key, rank, 'vector' FROM vec WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM kw)""")
+    {_KEYWORD}, {_ASKED_VEC},
+    -- rows cut to ten, then those whose document is gone are dropped, the rest numbered anew
+    either AS (SELECT query_id, key, rank, 'keyword' AS match_type FROM kw WHERE rank <= 10
+    UNION ALL SELECT query_id, key, rank, 'vector' FROM vec WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM kw))
+    SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, match_type FROM either JOIN documents ON doc_id = key""")
 def fallback_strategy(spark, sf_dir):
     queries = _queries(spark, sf_dir).withColumn("text", F.when(F.col("query_id") % 4 == 0, "zzzzqq").otherwise(F.col("text")))
-    arms = _arms(spark, sf_dir)
-    keyword = R.keyword_topk(R.postings(_t(spark, sf_dir, "documents"), "doc_id"), queries, 10)
-    return R.fallback(keyword.select("query_id", "key", "rank"), arms["vector"].where("rank <= 10").select("query_id", "key", "rank"))
+    endpoints = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit("-").alias("method"), F.lit("-").alias("path"), F.lit("-").alias("operation_id"))
+    asked = _query_vectors(spark, sf_dir)
+    return search_endpoints(queries, endpoints, _index(spark, sf_dir), _vectors(spark, sf_dir), asked, top_k=10, strategy="fallback").select("query_id", "key", "rank", "match_type")
+
+
+def _query_vectors(spark, sf_dir):
+    queries = _queries(spark, sf_dir).select("query_id")
+    rows = _vectors(spark, sf_dir).withColumnRenamed("key", "query_id").join(queries, "query_id", "left_semi")
+    return rows.select("query_id", F.col("query_id").alias("of"), "embedding")
 
 
 _VERBS = "CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'DELETE' END"
@@ -217,26 +262,34 @@ def _endpoints(spark, sf_dir):
 
 
 @query(f"""WITH ep AS (SELECT page_id AS key, {_VERBS} AS method, {_PATH} AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
-    q AS (SELECT key AS query_id, CASE WHEN key % 20 = 0 THEN lower(method) || ' ' || path WHEN key % 20 = 10 THEN 'op_' || key ELSE title END AS text, method, path FROM ep WHERE key % 5 = 0),
+    q AS (SELECT key * 3 AS query_id, lower(method) || ' ' || path AS text FROM ep UNION ALL SELECT key * 3 + 1, 'op_' || key FROM ep UNION ALL SELECT item_id * 3 + 2, text FROM benchmark),
     exact AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY key) AS rank FROM (
-        SELECT q.query_id, ep.key FROM q JOIN ep ON q.query_id % 20 = 0 AND ep.method = q.method AND ep.path = q.path AND regexp_full_match(q.path, '/\\S+')
-        UNION ALL SELECT query_id, query_id FROM q WHERE query_id % 20 = 10)),
+        SELECT a.key * 3 AS query_id, ep.key FROM ep a JOIN ep ON ep.method = a.method AND ep.path = a.path AND regexp_full_match(a.path, '/\\S+')
+        UNION ALL SELECT key * 3 + 1, key FROM ep)),
     postings AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({_TERMS.format('title')}) AS term FROM ep) GROUP BY ALL),
     asked AS (SELECT query_id, unnest(list_distinct({_TERMS.format('text')})) AS term, true AS scored FROM q),
-    {_KEYWORD},
-    fused AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (60 + rank) DESC, key) AS rank FROM kw WHERE rank <= 50),
+    {_KEYWORD}, {_ASKED_VEC},
+    wide AS (SELECT query_id, key, max(kr) AS kr, max(vr) AS vr FROM (SELECT query_id, key, rank AS kr, NULL::BIGINT AS vr FROM kw WHERE rank <= 50
+             UNION ALL SELECT query_id * 3 + 2, key, NULL, rank FROM vec WHERE rank <= 50) GROUP BY ALL),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (60 + kr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0) DESC, key) AS rank FROM wide),
     taken AS (SELECT query_id, key, rank, 'exact' AS match_type, 0 AS stage FROM exact WHERE rank <= 10),
     used AS (SELECT query_id, count(*) AS used FROM taken GROUP BY 1),
-    rest AS (SELECT f.query_id, f.key, f.rank, 'keyword' AS match_type, 1 AS stage FROM fused f LEFT JOIN used u USING (query_id)
+    rest AS (SELECT f.query_id, f.key, f.rank, CASE WHEN kr IS NOT NULL AND vr IS NOT NULL THEN 'both' WHEN kr IS NOT NULL THEN 'keyword' ELSE 'vector' END AS match_type, 1 AS stage FROM fused f LEFT JOIN used u USING (query_id)
              WHERE f.rank <= 10 - coalesce(used, 0) AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.query_id = f.query_id AND t.key = f.key))
-    SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank) AS rank, match_type FROM (SELECT * FROM taken UNION ALL SELECT * FROM rest)""")
+    SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY stage, x.rank) AS rank, match_type, method, path FROM (SELECT * FROM taken UNION ALL SELECT * FROM rest) x JOIN ep USING (key)""")
 def exact_then_rrf(spark, sf_dir):
+    """Every page's verb and path, every operation id, and every benchmark text as a query, these also by vector. Vectors without a
+    page are dangling."""
     ends = _endpoints(spark, sf_dir)
     pages = _pages(spark, sf_dir).select("key", "title")
-    both = ends.join(pages, "key").where("key % 5 = 0")
-    text = F.when(F.col("key") % 20 == 0, F.concat(F.lower("method"), F.lit(" "), "path")).when(F.col("key") % 20 == 10, F.col("operation_id")).otherwise(F.col("title"))
-    queries = both.select(F.col("key").alias("query_id"), text.alias("text"))
-    return search_endpoints(queries, ends, R.postings(pages, "key", "title"), None, None, top_k=10)
+    queries = (
+        ends.select((F.col("key") * 3).alias("query_id"), F.concat(F.lower("method"), F.lit(" "), "path").alias("text"))
+        .union(ends.select(F.col("key") * 3 + 1, "operation_id"))
+        .union(_queries(spark, sf_dir).select(F.col("query_id") * 3 + 2, "text"))
+    )
+    asked = _query_vectors(spark, sf_dir).select((F.col("query_id") * 3 + 2).alias("query_id"), (F.col("of") * 3 + 2).alias("of"), "embedding")
+    index = _once(spark, sf_dir, "endpoints", lambda: build_keyword_index(pages, "key", "title"))
+    return search_endpoints(queries, ends, index, _vectors(spark, sf_dir), asked, top_k=10).select("query_id", "key", "rank", "match_type", "method", "path")
 
 
 @query(f"""WITH ch AS (SELECT conv_id, conv_id * 1000 + turn AS chunk, text FROM conversations),
@@ -255,7 +308,7 @@ def fold_chunks_to_docs(spark, sf_dir):
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, key) AS rank FROM s)
     SELECT query_id, key, rank, score FROM o WHERE rank <= 10""")
 def weighted_title_body(spark, sf_dir):
-    return search_documents(_queries(spark, sf_dir), _pages(spark, sf_dir), _pages(spark, sf_dir), top_k=10, strategy="fetch")
+    return search_documents(_queries(spark, sf_dir), _titles(spark, sf_dir), _pages(spark, sf_dir), top_k=10)
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.org') OR contains(lower(url), '_x%') OR contains(lower(url), '/fr/')")
@@ -279,7 +332,26 @@ def chunk_text_build(spark, sf_dir):
     return rows.select("conv_id", "turn", chunks.section_text().alias("text"))
 
 
-@query()
+_N = "len(regexp_extract_all({0}, '\\S+'))"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, text, {_N.format('text')} AS n FROM documents),
+    p AS (SELECT *, {_N.format('para')} AS n, {_N.format('para')} > 58 AS big FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM d WHERE n > 58)),
+    cutup AS (SELECT doc_id, i, list_filter(string_split(replace(regexp_replace(para, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: x <> '') AS l FROM p WHERE big),
+    s AS (SELECT *, {_N.format('sent')} AS n, {_N.format('sent')} > 58 AS big FROM (SELECT doc_id, i, unnest(l) AS sent, generate_subscripts(l, 1) AS j FROM cutup)),
+    ps AS (SELECT doc_id, i, j, n, big, 1 AS chunk, n AS held FROM s WHERE j = 1
+           UNION ALL SELECT s.doc_id, s.i, s.j, s.n, s.big, CASE WHEN ps.big OR s.big OR held + s.n > 58 THEN chunk + 1 ELSE chunk END, CASE WHEN ps.big OR s.big OR held + s.n > 58 THEN s.n ELSE held + s.n END
+           FROM ps JOIN s ON s.doc_id = ps.doc_id AND s.i = ps.i AND s.j = ps.j + 1),
+    fine AS (SELECT doc_id, i, chunk, bool_or(ps.big) AS big, string_agg(sent, ' ' ORDER BY j) AS t FROM ps JOIN s USING (doc_id, i, j) GROUP BY ALL),
+    pieces AS (SELECT doc_id, i, chunk, CASE WHEN big THEN list_transform(range(0, ((len(w) + 57) // 58)::BIGINT), lambda k: array_to_string(w[k * 58 + 1:k * 58 + 58], '')) ELSE [t] END AS l
+               FROM (SELECT *, regexp_extract_all(t, '\s*\S+\s*') AS w FROM fine)),
+    pp AS (SELECT doc_id, i, n, big, 1 AS chunk, n AS held FROM p WHERE i = 1
+           UNION ALL SELECT p.doc_id, p.i, p.n, p.big, CASE WHEN pp.big OR p.big OR held + p.n > 58 THEN chunk + 1 ELSE chunk END, CASE WHEN pp.big OR p.big OR held + p.n > 58 THEN p.n ELSE held + p.n END
+           FROM pp JOIN p ON p.doc_id = pp.doc_id AND p.i = pp.i + 1),
+    done AS (SELECT doc_id, chunk, 0 AS sub, 1 AS spot, string_agg(para, chr(10) || chr(10) ORDER BY i) AS t FROM pp JOIN p USING (doc_id, i) WHERE NOT pp.big GROUP BY doc_id, chunk
+            UNION ALL SELECT doc_id, pp.chunk, pieces.chunk, unnest(range(1, len(l) + 1)), unnest(l) FROM pp JOIN pieces USING (doc_id, i) WHERE pp.big
+            UNION ALL SELECT doc_id, 1, 0, 1, text FROM d WHERE n <= 58)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, sub, spot) - 1)::INT AS part, '# t' || chr(10) || t AS text FROM done""")
 def section_split(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.lit("t").alias("title"), F.col("text").alias("content"))
     return chunks.split_sections(docs, 60)
@@ -294,10 +366,21 @@ def hash_embed(spark, sf_dir):
     return chunks.hash_embedding(_t(spark, sf_dir, "documents"), "doc_id").withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(rf"""WITH {_POSTINGS}, {_ASKED}, {_KEYWORD},
+    r AS (SELECT query_id, key, d.text, list_distinct({_TERMS.format('b.text')}) AS w, lower(d.text) AS low, lower(regexp_replace(d.text, '\s', '', 'g')) AS tight
+          FROM kw JOIN documents d ON d.doc_id = key JOIN benchmark b ON b.item_id = query_id WHERE rank <= 3),
+    t AS (SELECT query_id, key, unnest(w) AS term FROM r),
+    spot AS (SELECT query_id, key, CASE WHEN strpos(low, term) > 0 THEN strpos(low, term) - 1 WHEN strpos(tight, term) > 0 THEN
+              list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN regexp_matches(c, '\s') THEN NULL ELSE i END), lambda x: x IS NOT NULL)[strpos(tight, term)] - 1 END AS place
+           FROM t JOIN r USING (query_id, key)),
+    st AS (SELECT DISTINCT query_id, key, greatest(place - 60, 0) AS start FROM spot WHERE place IS NOT NULL),
+    n AS (SELECT query_id, key, start, (SELECT count(*) FROM t WHERE t.query_id = r.query_id AND t.key = r.key AND (contains(lower(substr(text, start + 1, 300)), term) OR contains(lower(regexp_replace(substr(text, start + 1, 300), '\s', '', 'g')), term))) AS n
+          FROM st JOIN r USING (query_id, key)),
+    b AS (SELECT query_id, key, start FROM n QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY n DESC, start) = 1)
+    SELECT query_id, key, trim(regexp_replace(substr(text, coalesce(start, 0) + 1, 300), '\s+', ' ', 'g')) AS snippet FROM r LEFT JOIN b USING (query_id, key)""")
 def snippet(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    best = R.keyword_topk(R.postings(docs, "key"), _queries(spark, sf_dir), 3)
+    best = _index(spark, sf_dir).topk(_queries(spark, sf_dir), 3)
     asked = _queries(spark, sf_dir).withColumnRenamed("text", "query")
     rows = best.join(docs, "key").join(asked, "query_id").withColumn("title", F.lit(""))
     return snippets.with_snippets(rows.select("query_id", "key", "query", "title", "text")).select("query_id", "key", "snippet")
@@ -342,29 +425,29 @@ def related_items(spark, sf_dir):
 def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, sf_dir, "documents")
     day = F.lit("2024-01-01").cast("timestamp")
-    old = docs.where("doc_id % 11 <> 3").select(F.col("source").alias("project"), F.lit("drive").alias("source"), F.col("doc_id").alias("external_id"), F.substring("text", 1, 30).alias("title"), F.lit("u").alias("url"), day.alias("modified_at"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id").cast("string")).alias("document_id"), day.alias("last_synced_at"))
-    title = F.when(F.col("doc_id") % 13 == 1, "renamed").otherwise(F.substring("text", 1, 30))
+    old = docs.where("doc_id % 11 <> 3").select(F.col("source").alias("project"), F.lit("drive").alias("source"), F.col("doc_id").alias("external_id"), T.content_hash("text").alias("title"), F.lit("u").alias("url"), day.alias("modified_at"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id").cast("string")).alias("document_id"), day.alias("last_synced_at"))
+    title = F.when(F.col("doc_id") % 13 == 1, "renamed").otherwise(T.content_hash("text"))
     new = docs.where("doc_id % 7 <> 2 and source <> 'src1'").select(F.col("source").alias("project"), F.lit("drive").alias("source"), F.col("doc_id").alias("external_id"), title.alias("title"), F.lit("u").alias("url"), day.alias("modified_at"))
     return old, new
 
 
-@query("""WITH o AS (SELECT source AS project, doc_id AS external_id, substr(text, 1, 30) AS title FROM documents WHERE doc_id % 11 <> 3),
-    n AS (SELECT source AS project, doc_id AS external_id, CASE WHEN doc_id % 13 = 1 THEN 'renamed' ELSE substr(text, 1, 30) END AS title FROM documents WHERE doc_id % 7 <> 2 AND source <> 'src1')
+@query("""WITH o AS (SELECT source AS project, doc_id AS external_id, sha256(text) AS title FROM documents WHERE doc_id % 11 <> 3),
+    n AS (SELECT source AS project, doc_id AS external_id, CASE WHEN doc_id % 13 = 1 THEN 'renamed' ELSE sha256(text) END AS title FROM documents WHERE doc_id % 7 <> 2 AND source <> 'src1')
     SELECT project, 'drive' AS source, external_id, CASE WHEN o.title IS NULL THEN 'added' WHEN n.title IS NULL THEN 'removed' WHEN o.title = n.title THEN 'unchanged' ELSE 'updated' END AS change
     FROM o FULL JOIN n USING (project, external_id) WHERE project <> 'src1'""")
 def refresh_diff(spark, sf_dir):
     return sync.diff(*_snapshots(spark, sf_dir))
 
 
-@query("""WITH o AS (SELECT source AS project, doc_id AS i, substr(text, 1, 30) AS title FROM documents WHERE doc_id % 11 <> 3),
-    n AS (SELECT source AS project, doc_id AS i, CASE WHEN doc_id % 13 = 1 THEN 'renamed' ELSE substr(text, 1, 30) END AS title FROM documents WHERE doc_id % 7 <> 2 AND source <> 'src1')
+@query("""WITH o AS (SELECT source AS project, doc_id AS i, sha256(text) AS title FROM documents WHERE doc_id % 11 <> 3),
+    n AS (SELECT source AS project, doc_id AS i, CASE WHEN doc_id % 13 = 1 THEN 'renamed' ELSE sha256(text) END AS title FROM documents WHERE doc_id % 7 <> 2 AND source <> 'src1')
     SELECT project, 'drive' AS source, count(*) FILTER (o.title IS NULL) AS added, count(*) FILTER (o.title <> n.title) AS updated, count(*) FILTER (n.title IS NULL) AS removed, count(*) FILTER (o.title = n.title) AS unchanged
     FROM o FULL JOIN n USING (project, i) WHERE project <> 'src1' GROUP BY ALL""")
 def refresh_counters(spark, sf_dir):
     return sync.counters(sync.diff(*_snapshots(spark, sf_dir)))
 
 
-@query("SELECT project, external_id, title, CASE WHEN external_id % 11 <> 3 AND external_id % 5 > 0 THEN external_id::VARCHAR END AS document_id FROM (SELECT source AS project, doc_id AS external_id, CASE WHEN doc_id % 13 = 1 AND source <> 'src1' THEN 'renamed' ELSE substr(text, 1, 30) END AS title FROM documents WHERE (source <> 'src1' AND doc_id % 7 <> 2) OR (source = 'src1' AND doc_id % 11 <> 3))")
+@query("SELECT project, external_id, title, CASE WHEN external_id % 11 <> 3 AND external_id % 5 > 0 THEN external_id::VARCHAR END AS document_id FROM (SELECT source AS project, doc_id AS external_id, CASE WHEN doc_id % 13 = 1 AND source <> 'src1' THEN 'renamed' ELSE sha256(text) END AS title FROM documents WHERE (source <> 'src1' AND doc_id % 7 <> 2) OR (source = 'src1' AND doc_id % 11 <> 3))")
 def refresh_merged(spark, sf_dir):
     return sync.merged(*_snapshots(spark, sf_dir), F.lit("2024-02-02").cast("timestamp")).select("project", "external_id", "title", "document_id")
 
@@ -391,16 +474,29 @@ _MEANS = ", ".join(f"round(avg(CASE WHEN first <= {c} THEN 1.0::DOUBLE ELSE 0 EN
 
 def _accepted(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    asked = R.bounded(_queries(spark, sf_dir).withColumnRenamed("text", "passage"))
-    return docs.join(asked, F.contains("text", F.col("passage"))).select("query_id", "key")
+    index = _index(spark, sf_dir)
+    return R.holding(index.rows, index.slices, docs, _queries(spark, sf_dir))
 
 
 @query(f"WITH {_POSTINGS}, {_ASKED}, {_KEYWORD}, top AS (SELECT * FROM kw WHERE rank <= 50), " + _METRICS.format(by="", ranked="top", base="ng", using="", means=_MEANS, group=""))
 def eval_metrics(spark, sf_dir):
-    ranked = R.keyword_topk(R.postings(_t(spark, sf_dir, "documents"), "doc_id"), _queries(spark, sf_dir), 50)
+    ranked = _index(spark, sf_dir).topk(_queries(spark, sf_dir), 50)
     return evaluate.summary(evaluate.per_query(ranked, _accepted(spark, sf_dir)))
 
 
+@query(f"WITH {_POSTINGS}, {_ASKED}, {_KEYWORD}, top AS (SELECT * FROM kw WHERE rank <= 50), " + _METRICS.format(by="", ranked="top", base="ng", using="", means="NULL", group="").rpartition("SELECT")[0].rpartition(")")[0] + f"""),
+    cat AS (SELECT query_id, 'c' || query_id % 3 AS category FROM pq WHERE query_id % 4 > 0 UNION ALL SELECT query_id, 'even' FROM pq WHERE query_id % 2 = 0),
+    every AS (SELECT pq.*, category FROM pq JOIN cat USING (query_id) UNION ALL SELECT *, 'all' FROM pq)
+    SELECT category, count(*) AS n_queries, {_MEANS}, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM every GROUP BY 1""")
+def eval_by_category(spark, sf_dir):
+    """Queries of no, one or two categories, and a row for all of them."""
+    queries = _queries(spark, sf_dir)
+    id_ = F.col("query_id")
+    own = queries.where(id_ % 4 > 0).select("query_id", F.concat(F.lit("c"), (id_ % 3).cast("string")).alias("category")).union(queries.where(id_ % 2 == 0).select("query_id", F.lit("even")))
+    ranked = _index(spark, sf_dir).topk(queries, 50)
+    return evaluate.by_category(evaluate.per_query(ranked, _accepted(spark, sf_dir)), own)
+
+
 @query(f"""WITH {_POSTINGS}, {_ASKED}, {_KEYWORD}, {_ASKED_VEC}, ks AS (SELECT unnest([10, 30, 60, 120]) AS k),
     wide AS (SELECT query_id, key, max(kr) AS kr, max(vr) AS vr FROM ({_TWO}) GROUP BY ALL),
     best AS (SELECT k, query_id, key, row_number() OVER (PARTITION BY k, query_id ORDER BY coalesce(1.0::DOUBLE / (k + kr), 0) + coalesce(1.0::DOUBLE / (k + vr), 0) DESC, key) AS rank FROM wide, ks),
@@ -532,16 +628,29 @@ def office_texts(spark, sf_dir):
     return office.texts(files).select(F.substring_index("path", ".", 1).alias("path"), "text")
 
 
-@query("SELECT o_custkey AS document_id, max_by(o_orderpriority, o_orderdate) IS NOT NULL AS known FROM orders GROUP BY 1")
+@query("""SELECT o_custkey AS document_id, o_orderpriority AS title, 'u' || o_orderkey AS url, o_orderstatus AS project FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""")
 def document_meta(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
-    meta = orders.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("meta_id"), F.col("o_orderstatus").alias("project"), F.col("o_orderpriority").alias("title"), F.lit("u").alias("url"), F.col("o_orderdate").alias("last_synced_at"))
+    meta = orders.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("meta_id"), F.col("o_orderstatus").alias("project"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderdate").alias("last_synced_at"))
     documents = orders.select(F.col("o_custkey").alias("document_id")).distinct().withColumn("text", F.lit("t"))
-    return catalog.get_documents(documents, documents, meta).select("document_id", (F.col("title") != "").alias("known"))
+    return catalog.get_documents(documents, documents, meta).select("document_id", "title", "url", "project")
 
 
-@query()
+@query(f"""WITH {_TITLE}, body AS (SELECT page_id AS key, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages),
+    postings AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({_TERMS.format('text')}) AS term FROM body) GROUP BY ALL), {_ASKED}, {_KEYWORD}, {_ASKED_VEC},
+    kf AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS rank FROM kw WHERE rank <= 50),
+    vf AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS rank FROM vec WHERE rank <= 50 AND key IN (SELECT key FROM body)),
+    {_FUSED.format(arms="SELECT query_id, key, rank AS kr, NULL::BIGINT AS vr, NULL::BIGINT AS tr FROM kf UNION ALL SELECT query_id, key, NULL, rank, NULL FROM vf UNION ALL SELECT query_id, key, NULL, NULL, rank FROM tr WHERE rank <= 50")},
+    there AS (SELECT b.query_id, b.key, score, kr, vr, title, url, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) AS rank FROM best b JOIN tp USING (key) WHERE b.rank <= 50 AND b.key % 7 <> 0)
+    SELECT query_id, key, rank, score, title, url, CASE WHEN key % 2 = 0 THEN 'drive' ELSE 'notion' END AS source, CASE WHEN kr IS NOT NULL OR vr IS NOT NULL THEN key * 10 END AS winner FROM there WHERE rank <= 10""")
 def indexed_search(spark, sf_dir):
+    """All three arms over pages, one chunk a page. A seventh of the pages has no row in the metadata: dropped, and the next ones move up."""
     pages = _pages(spark, sf_dir)
-    rows = pages.select((F.col("key") * 10).alias("chunk"), "key", F.col("body").alias("text"))
-    return search_documents(_queries(spark, sf_dir), pages, rows, top_k=10, strategy="indexed")
+    owner = pages.select((F.col("key") * 10).alias("chunk"), "key", F.col("body").alias("text"))
+    source = F.when(F.col("key") % 2 == 0, "drive").otherwise("notion")
+    meta = pages.where("key % 7 <> 0").select("key", "title", "url", source.alias("source"), F.lit("p").alias("project"), F.lit("2024-01-01").cast("timestamp").alias("last_synced_at"))
+    chunked = _once(spark, sf_dir, "page bodies", lambda: build_keyword_index(owner.withColumn("doc_type", source), "chunk", scope=("doc_type",)))
+    vectors = _vectors(spark, sf_dir).withColumn("key", F.col("key") * 10)
+    rows = search_indexed(_queries(spark, sf_dir), _titles(spark, sf_dir), meta, chunked, owner, vectors, _query_vectors(spark, sf_dir), top_k=10)
+    return rows.select("query_id", "key", "rank", "score", "title", "url", "source", "winner")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,27 +9,71 @@ from spindrift.operators import chunks, ranking, snippets, sync
 from spindrift.streaming import refresh
 
 
-def test_split_section():
-    text = "a b c\n\nd e f\n\ng h i"
-    assert chunks.split_section("t", text, 8) == ["# t\na b c\n\nd e f", "# t\ng h i"]
-    assert [len(x) for x in chunks.split_section("", "x" * 50, 10, len)] == [10] * 5
-    assert chunks.split_section("", "One two. Three four! Five", 2) == ["One two.", "Three four!", "Five"]
-    assert chunks.split_section("t", "short", 8) == ["# t\nshort"]
+BOUNDARY = re.compile(r"(?<=[.!?。])\s+|\n")
 
 
-def test_split_section_keeps_all_words():
-    draw = random.Random(5)
-    for _ in range(50):
-        text = "".join(draw.choice(["w ", "word. ", "\n", "\n\n", "longer "]) for _ in range(60))
-        parts = chunks.split_section("", text, 5)
-        assert " ".join(parts).split() == text.split()
-        assert all(chunks.words(p) <= 5 for p in parts)
+def packed(parts, glue, budget, finer):
+    """A plain packer of words."""
+    out, held = [], None
+    for part in parts:
+        if len(part.split()) > budget:
+            out += ([] if held is None else [held]) + finer(part)
+            held = None
+        elif held is not None and len((held + glue + part).split()) <= budget:
+            held += glue + part
+        else:
+            out += [] if held is None else [held]
+            held = part
+    return out if held is None else [*out, held]
+
+
+def plain_parts(title, content, limit):
+    head = f"# {title}\n" if title else ""
+    if len((head + content).split()) <= limit:
+        return [head + content]
+    budget = max(1, limit - len(head.split()))
 
+    def cut(text):
+        words = re.findall(r"\s*\S+\s*", text)
+        return ["".join(words[i : i + budget]) for i in range(0, len(words), budget)]
 
-def test_snippet():
+    sentences = lambda p: packed([x for x in BOUNDARY.split(p) if x], " ", budget, cut)
+    return [head + x for x in packed(content.split("\n\n"), "\n\n", budget, sentences)]
+
+
+def test_split_sections(spark):
+    draw = random.Random(5)
+    made = ["".join(draw.choice(["w ", "word. ", "\n", "\n\n", "longer ", "\t", "끝。 ", " ", "x"]) for _ in range(draw.randint(0, 120))) for _ in range(150)]
+    fixed = ["a b c\n\nd e f\n\ng h i", "One two. Three four! Five", "short", "", "\n\n\n\n", " " + "long " * 5000, "x" * 3000]
+    rows = [(i, draw.choice(["t", "", None, "two words"]), t) for i, t in enumerate(fixed + made)]
+    for limit in (1, 5, 8):
+        got = {}
+        for r in chunks.split_sections(spark.createDataFrame(rows, "id int, title string, content string"), limit).orderBy("id", "part").collect():
+            got.setdefault(r.id, []).append(r.text)
+        assert got == {i: plain_parts(title, content, limit) for i, title, content in rows}
+    assert chunks.split_sections(spark.createDataFrame([(1, None, None)], "id int, title string, content string")).collect()[0].text == ""
+
+
+def plain_snippet(text, wanted):
+    def places(part):
+        dense, at = "".join(part.split()).lower(), [i for i, c in enumerate(part) if not c.isspace()]
+        found = [part.lower().find(w) if w in part.lower() else at[dense.find(w)] if w in dense else None for w in wanted]
+        return [f for f in found if f is not None]
+
+    starts = sorted({max(0, p - 60) for p in places(text)})
+    best = max(starts, key=lambda s: len(places(text[s : s + 300])), default=0)
+    return " ".join(text[best : best + 300].split())
+
+
+def test_snippets(spark):
+    draw = random.Random(9)
     body = "api " + "x " * 100 + "order list api " + "y " * 100
-    assert "order list" in snippets.snippet(body, ["api", "orderlist"])
-    assert snippets.snippet("no  match\nhere", ["zzz"]) == "no match here"
+    rows = [("api orderlist", body), ("zzz", "no  match\nhere"), ("end", "e\tn d" * 9), ("q", None), ("q", "")]
+    rows += [(" ".join(draw.choices(["api", "orderlist", "cat", "é", "결제", "list2"], k=draw.randint(1, 4))), "".join(draw.choice(["api ", "order", " list", "cat\n", "é", "결 제", "filler words here ", "\t\t"]) for _ in range(draw.randint(1, 200)))) for _ in range(120)]
+    got = snippets.with_snippets(spark.createDataFrame([(i, q, "T", t) for i, (q, t) in enumerate(rows)], "id int, query string, title string, text string")).collect()
+    for r in got:
+        wanted = list(dict.fromkeys(w.lower() for w in re.findall("[0-9A-Za-z_]+|[가-힣]+", r.query)))
+        assert r.snippet == (plain_snippet(r.text, wanted) if r.text else f"No passage for '{r.query}' found in the text. Only the title matches: T")
 
 
 def test_fusion_against_the_formula(spark):
