@@ -19,6 +19,10 @@ class DocumentNotFound(SearchError):
     code = "DOCUMENT_NOT_FOUND"
 
 
+class Conflict(SearchError):
+    code = "CONFLICT"
+
+
 def checked_top_k(top_k: int) -> int:
     if not 1 <= top_k <= 50:
         raise ValidationError("top_k must be from 1 to 50")

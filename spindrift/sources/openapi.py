@@ -58,11 +58,15 @@ def yaml_as_json(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, text string")
 
 
+def flavour(text: Column) -> Column:
+    """openapi3 or swagger2, by the version a document states; else null."""
+    return F.when(member(text, "openapi").startswith("3."), "openapi3").when(member(text, "swagger").startswith("2."), "swagger2")
+
+
 def headers(docs: DataFrame) -> DataFrame:
     """(document_id, flavour, title, version, text) of the documents that are OpenAPI 3 or Swagger 2."""
-    flavour = F.when(member(F.col("text"), "openapi").startswith("3."), "openapi3").when(member(F.col("text"), "swagger").startswith("2."), "swagger2")
     named = lambda x, default: F.coalesce(F.nullif(member(F.col("text"), "info", x), F.lit("")), F.lit(default))
-    rows = docs.select("document_id", flavour.alias("flavour"), named("title", "Untitled API").alias("title"), named("version", "unknown").alias("version"), "text")
+    rows = docs.select("document_id", flavour(F.col("text")).alias("flavour"), named("title", "Untitled API").alias("title"), named("version", "unknown").alias("version"), "text")
     return rows.where("flavour is not null")
 
 

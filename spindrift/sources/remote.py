@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, utc
+from ..storage import kept
 from .openapi import as_items, member
 
-UNTITLED = "(untitled)"
+#: Fixed value: the title of a page without one.
+UNTITLED = "(제목 없음)"
 #: Bounds of a walk: levels of folders or blocks, and lines of a page.
 MAX_DEPTH, MAX_LINES = 4, 2000
 #: What Markdown writes before a block of a type.
@@ -73,14 +75,39 @@ def folder_files(roots: DataFrame, entries: DataFrame) -> DataFrame:
     """(root, external_id, title, url, modified_at) of files under folders (root), however deep: entries (id, parent,
     is_folder, name, url, modified). A folder is entered once for a root; a file that is reached twice counts once."""
     folders = entries.where("is_folder").select("parent", "id").distinct()
-    level = walked = roots.select("root", F.col("root").alias("at")).distinct().localCheckpoint()
+    level = walked = kept(roots.select("root", F.col("root").alias("at")).distinct(), "folders")
     while not level.isEmpty():
         below = level.join(folders, F.col("at") == F.col("parent")).select("root", F.col("id").alias("at")).distinct()
-        level = below.join(walked, ["root", "at"], "left_anti").localCheckpoint()
-        walked = walked.union(level).localCheckpoint()
+        level = kept(below.join(walked, ["root", "at"], "left_anti"), "folders")
+        walked = walked.union(level)
     own = walked.join(entries.where("not is_folder"), F.col("at") == F.col("parent"))
-    files = own.select("root", F.col("id").alias("external_id"), F.col("name").alias("title"), F.coalesce("url", F.lit("")).alias("url"), utc("modified").alias("modified_at"))
-    return files.dropDuplicates(["root", "external_id"])
+    files = own.groupBy("root", F.col("id").alias("external_id")).agg(F.min(F.struct("parent", "name", "url", "modified")).alias("x"))
+    return files.select("root", "external_id", F.col("x.name").alias("title"), F.coalesce("x.url", F.lit("")).alias("url"), utc("x.modified").alias("modified_at"))
+
+
+def page_tree(roots: DataFrame, blocks: DataFrame, rows: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, external_id, title, depth) of the pages under roots (root), to a bounded depth of pages: child pages, and the rows
+    (database_id, external_id, title) of child databases, each with its own children. Blocks: (block_id, parent_id, type, block). Blocks
+    that hold others, but are no pages, are passed through without counting as a level. A page reached twice has its
+    smallest depth."""
+    held = blocks.select(F.col("block_id").alias("id"), F.col("parent_id").alias("parent"), "type", member(F.col("block"), "child_page", "title").alias("title"))
+    level = found = kept(roots.select("root", F.col("root").alias("at"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("depth")).distinct(), "tree")
+    for n in range(1, depth + 2):
+        # through what isn't a page, level by level
+        inside = within = kept(level.select("root", "at"), "tree")
+        while not inside.isEmpty():
+            inner = inside.join(held.where(~F.col("type").isin("child_page", "child_database")), F.col("at") == F.col("parent")).select("root", F.col("id").alias("at")).distinct()
+            inside = kept(inner.join(within, ["root", "at"], "left_anti"), "tree")
+            within = within.union(inside)
+        below = within.join(held.where(F.col("type").isin("child_page", "child_database")), F.col("at") == F.col("parent"))
+        pages = below.where("type = 'child_page'").select("root", F.col("id").alias("at"), "title")
+        listed = below.where("type = 'child_database'").join(rows, F.col("id") == F.col("database_id")).select("root", F.col("external_id").alias("at"), rows["title"])
+        fresh = pages.union(listed).join(found.select("root", "at"), ["root", "at"], "left_anti")
+        level = kept(fresh.groupBy("root", "at").agg(F.min("title").alias("title"), F.lit(n).alias("depth")), "tree")
+        if level.isEmpty():
+            break
+        found = found.union(level)
+    return found.where("depth > 0").select("root", F.col("at").alias("external_id"), F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)).alias("title"), "depth")
 
 
 def page_listing(pages: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_type
+from . import openapi
 
 #: Fixed value: the title of what stands before the first heading.
 PREAMBLE = "개요"
+#: Where a line ends, and what begins a heading.
 _LINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 _HEADING = r"^(#{1,6})(?U:\s+)(.*)$"
 
@@ -65,7 +67,31 @@ def csv_sections(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, order_index int, title string, content string")
 
 
+#: The types of documents that can be parsed.
+TYPES = ("openapi", "markdown", "csv")
+
+
+def routed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) of docs (document_id, text, source_url[, doc_type]): those a parser takes, with doc_type, given or found
+    by the text; and (document_id, code, message) of the others."""
+    given = F.col("doc_type") if "doc_type" in docs.columns else F.lit(None).cast("string")
+    typed = docs.withColumn("doc_type", F.coalesce(F.nullif(given, F.lit("")), doc_type(F.col("text"), F.col("source_url"))))
+    text = F.coalesce("text", F.lit(""))
+    empty = _trim(text) == ""
+    own = typed.withColumn("flavour", openapi.flavour(text)).withColumn("paths", openapi.member(text, "paths").startswith("{"))
+    message = (
+        F.when(~F.col("doc_type").isin(*TYPES), F.concat(F.lit("unsupported doc_type: "), "doc_type"))
+        .when(empty, "empty document")
+        .when((F.col("doc_type") == "csv") & (_trim(F.substring_index(text, "\n", 1)) == ""), "csv document has no header row")
+        .when((F.col("doc_type") == "openapi") & ~text.rlike(r"^\s*\{"), "document must be a mapping at top level")
+        .when((F.col("doc_type") == "openapi") & F.col("flavour").isNull(), "unsupported OpenAPI/Swagger version")
+        .when((F.col("doc_type") == "openapi") & ~F.coalesce("paths", F.lit(False)), "document is missing `paths`")
+    )
+    marked = own.withColumn("message", message).drop("flavour", "paths")
+    return marked.where("message is null").drop("message"), marked.where("message is not null").select("document_id", F.lit("PARSER_ERROR").alias("code"), "message")
+
+
 def sections(docs: DataFrame) -> DataFrame:
-    """Sections of documents of any text type, by their type; docs: (document_id, text, source_url, title_hint)."""
-    typed = docs.withColumn("doc_type", doc_type(F.col("text"), F.col("source_url")))
+    """Sections of documents of the text types; docs: (document_id, text, source_url[, doc_type])."""
+    typed = docs if "doc_type" in docs.columns else docs.withColumn("doc_type", doc_type(F.col("text"), F.col("source_url")))
     return markdown_sections(typed.where("doc_type = 'markdown'")).unionByName(csv_sections(typed.where("doc_type = 'csv'")))

@@ -105,3 +105,10 @@ def open_bucketed(spark: SparkSession, path: str) -> DataFrame:
     columns = ", ".join(f"`{c}` {kind}" for c, kind in layout["columns"])
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({quoted(layout['by'])}) SORTED BY ({quoted(layout['sort'])}) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
     return spark.table(name)
+
+
+def kept(frame: DataFrame, label: str) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: a loop's next round starts from here, also on another executor."""
+    path = fresh(frame.sparkSession, label)
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
