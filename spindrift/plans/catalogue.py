@@ -7,9 +7,7 @@ assumption of these queries, not of the data.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -317,13 +315,16 @@ def page_url_ilike(spark, sf_dir):
     return _t(spark, sf_dir, "pages").where(F.exists(wanted, lambda t: F.contains(F.lower("url"), t))).select("page_id", "url")
 
 
-_MARKDOWN = [(1, "intro line\n\n# One\nalpha\nbeta\n## Two\n\ngamma\n###### Deep \nx\n# Empty\n# Last\nend"), (2, "#no heading\ntext"), (3, "# A\r\nwin\r\n#\tB\r\ndows"), (4, ""), (5, "## 결제\n주문 목록")]
-
-
-@query("""SELECT * FROM (VALUES (1, 0, '개요', 'intro line'), (1, 1, 'One', 'alpha' || chr(10) || 'beta'), (1, 2, 'Two', 'gamma'), (1, 3, 'Deep', 'x'), (1, 4, 'Last', 'end'),
-    (2, 0, '개요', '#no heading' || chr(10) || 'text'), (3, 0, 'A', 'win'), (3, 1, 'B', 'dows'), (5, 0, '결제', '주문 목록')) t(document_id, order_index, title, content)""")
+@query(r"""WITH t AS (SELECT conv_id, turn, role, trim(replace(text, chr(13), chr(10)), ' ' || chr(9) || chr(10)) AS body FROM conversations)
+    SELECT conv_id AS document_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS order_index, title, content FROM (
+        SELECT conv_id, -1 AS turn, '개요' AS title, 'talk ' || conv_id AS content FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL SELECT conv_id, turn, role || ' ' || turn, body FROM t WHERE body <> '')""")
 def markdown_sections(spark, sf_dir):
-    return sections.markdown_sections(spark.createDataFrame(_MARKDOWN, "document_id int, text string"))
+    """Every conversation as a Markdown document: a line, then a heading a turn."""
+    part = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 6 + 1).cast("int")), F.lit(" "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", part.alias("part"))))
+    rows = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.concat(F.lit("talk "), F.first("conv_id").cast("string"), F.lit("\n"), F.array_join(F.transform(turns, lambda x: x["part"]), "\n")).alias("text"))
+    return sections.markdown_sections(rows)
 
 
 @query("SELECT conv_id, turn, '# ' || role || chr(10) || text AS text FROM conversations")
@@ -505,37 +506,54 @@ def rrf_k_sweep(spark, sf_dir):
     return evaluate.sweep(_arms(spark, sf_dir), _accepted(spark, sf_dir), [10, 30, 60, 120])
 
 
-# inline documents, in the shapes the fixtures lack
-_API = json.dumps({
-    "openapi": "3.0.3", "info": {"title": "Shop", "version": "2"},
-    "paths": {
-        "/carts": {
-            "parameters": [{"name": "X-Shop", "in": "header", "required": True, "schema": {"type": "string"}}],
-            "post": {"operationId": "openCart", "summary": "Open a cart", "tags": ["cart", "write"], "requestBody": {"required": True, "content": {"application/json": {"schema": {"$ref": "#/components/schemas/Cart"}, "examples": {"one": {"value": {"id": 7}}}}}}, "responses": {"409": {"description": "taken"}, "201": {"description": "made", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/Cart"}}}}}},
-        },
-        "/carts/{cartId}": {
-            "get": {"operationId": "readCart", "summary": "Read a cart", "tags": ["cart"], "parameters": [{"name": "cartId", "in": "path", "required": True, "schema": {"type": "integer"}}, {"name": "fields", "in": "query", "required": True, "schema": {"type": "array", "example": "id"}}], "responses": {"200": {"description": "ok"}}},
-            "x-note": {}, "summary": "no verb",
-        },
-    },
-    "components": {"schemas": {"Cart": {"type": "object", "description": "What is bought", "required": ["id"], "properties": {"id": {"type": "integer"}, "lines": {"type": "array", "items": {"$ref": "#/components/schemas/Line"}}, "note": {"type": ["string", "null"], "description": "free text"}, "mix": {"oneOf": [{"type": "string"}, {"$ref": "#/components/schemas/Line"}]}}}, "Line": {"type": "object"}}},
-})
-_OLD_API = json.dumps({
-    "swagger": "2.0", "info": {"title": "Old"}, "consumes": ["application/xml"],
-    "paths": {"/items": {"parameters": [{"name": "skipped", "in": "query"}], "put": {"operationId": "putItem", "parameters": [{"name": "b", "in": "body", "required": True, "schema": {"$ref": "#/definitions/Item"}}, {"name": "n", "in": "query", "type": "integer"}], "responses": {"200": {"description": "ok", "schema": {"$ref": "#/definitions/Item"}}}}}},
-    "definitions": {"Item": {"type": "object", "properties": {"sku": {"type": "string"}}}, "Cart": {"type": "object", "properties": {"old": {"type": "string"}}}},
-})
-
-
-def _specs(spark):
-    return spark.createDataFrame([("a", _API), ("b", _OLD_API), ("c", "{}"), ("d", "no json")], "document_id string, text string")
-
-
-@query("""SELECT * FROM (VALUES ('a', 0, 'POST', '/carts', 'openCart', 'X-Shop(header)', 'application/json', '#/components/schemas/Cart', '201,409'),
-    ('a', 1, 'GET', '/carts/{cartId}', 'readCart', 'cartId(path);fields(query)', NULL, NULL, '200'),
-    ('b', 0, 'PUT', '/items', 'putItem', 'n(query)', 'application/xml', '#/components/schemas/Item', '200')) t(document_id, idx, method, path, operation_id, parameters, body_type, body_ref, responses)""")
+# API documents made of the pages: one a host, an operation a path and verb
+_OPS = f"""op AS (SELECT host, path, method, min(page_id) AS id FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, {_PATH} AS path, {_VERBS} AS method FROM pages) WHERE path <> '' GROUP BY ALL),
+    opn AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY path, lower(method)) - 1)::INT AS idx FROM op)"""
+
+
+def _operations(spark, sf_dir) -> DataFrame:
+    rows = _endpoints(spark, sf_dir).join(_pages(spark, sf_dir).select("key", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")), "key")
+    return rows.where("path <> ''").groupBy("host", "path", "method").agg(F.min("key").alias("id"))
+
+
+def _said(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _in_order(by, text) -> Column:
+    """Texts of a group in the order of a column, joined by commas."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("by"), text.alias("text")))), lambda x: x["text"]), ",")
+
+
+def _schema_text(n: int) -> Column:
+    properties = f'"id":{{"type":"integer"}},"list{n}":{{"type":"array","items":{{"$ref":"#/components/schemas/S0"}}}},"mix":{{"oneOf":[{{"type":"string"}},{{"$ref":"#/definitions/S1"}}]}},"opt":{{"type":["string","null"],"description":"free"}}'
+    return _said(f'"S{n}":{{"type":"object","description":"S{n} of ', F.col("host"), f'","required":["id"],"properties":{{{properties}}}}}')
+
+
+def _specs(spark, sf_dir) -> DataFrame:
+    """(document_id, text): hosts of an even length as OpenAPI 3, the others as Swagger 2."""
+    id_, new, posts = F.col("id"), F.length("host") % 2 == 0, F.col("method") == "POST"
+    needs = F.when(id_ % 2 == 0, "true").otherwise("false")
+    lang = F.when(new, _said('{"name":"lang","in":"query","required":', needs, ',"schema":{"type":"string"}}')).otherwise(_said('{"name":"lang","in":"query","required":', needs, ',"type":"string"}'))
+    header = F.when(id_ % 3 == 0, ',{"name":"X-Id","in":"header","required":true,"schema":{"type":"integer"}}').otherwise("")
+    shape = F.when(id_ % 2 == 0, _said('{"$ref":"#/components/schemas/S', (id_ % 7).cast("string"), '"}')).otherwise(F.lit('{"type":"object","properties":{"tag":{"example":"a: b, c"},"id":{"type":"integer"},"inner":{"type":"object","properties":{"on":{"type":"boolean"},"any":{}}}}}'))
+    body = F.when(posts & new, _said(',"requestBody":{"required":true,"content":{"application/json":{"schema":', shape, "}}}")).otherwise("")
+    old_body = F.when(posts & ~new, _said(',{"name":"b","in":"body","schema":', shape, "}")).otherwise("")
+    also = F.when(id_ % 5 == 0, ',"404":{"description":"none"}').otherwise("")
+    name = id_.cast("string")
+    op = _said('"', F.lower("method"), '":{"operationId":"op_', name, '","summary":"Page ', name, '","tags":["t', (id_ % 4).cast("string"), '"],"parameters":[', lang, header, old_body, "]", body, ',"responses":{"200":{"description":"ok"}', also, "}}")
+    verbs = _operations(spark, sf_dir).groupBy("host", "path").agg(_in_order(F.lower("method"), op).alias("verbs"))
+    path = _said(F.regexp_replace(F.to_json(F.array("path")), r"^\[|\]$", ""), ':{"x-note":{},', F.col("verbs"), "}")
+    hosts = verbs.groupBy("host").agg(_in_order(F.col("path"), path).alias("paths"))
+    schemas = F.concat_ws(",", *map(_schema_text, range(5)))
+    head = F.when(new, _said('{"openapi":"3.0.3","components":{"schemas":{', schemas, "}}")).otherwise(_said('{"swagger":"2.0","definitions":{', schemas, "}"))
+    return hosts.select(F.col("host").alias("document_id"), _said(head, ',"info":{"title":"', F.col("host"), '","version":"2"},"paths":{', F.col("paths"), "}}").alias("text"))
+
+
+@query(f"""WITH {_OPS} SELECT host AS document_id, idx, method, path, 'op_' || id AS operation_id, 'lang(query)' || CASE WHEN id % 3 = 0 THEN ';X-Id(header)' ELSE '' END AS parameters,
+    CASE WHEN method = 'POST' THEN 'application/json' END AS body_type, CASE WHEN method = 'POST' AND id % 2 = 0 THEN '#/components/schemas/S' || id % 7 END AS body_ref, CASE WHEN id % 5 = 0 THEN '200,404' ELSE '200' END AS responses FROM opn""")
 def openapi_flatten(spark, sf_dir):
-    rows = openapi.endpoints(_specs(spark))
+    rows = openapi.endpoints(_specs(spark, sf_dir))
     return rows.select(
         "document_id", "idx", "method", "path", "operation_id",
         F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit("("), p["location"], F.lit(")"))), ";").alias("parameters"),
@@ -544,61 +562,108 @@ def openapi_flatten(spark, sf_dir):
     )
 
 
-@query("""SELECT * FROM (VALUES ('#/components/schemas/Cart', 'a', 0, 'id', 'integer', true, ''), ('#/components/schemas/Cart', 'a', 1, 'lines', 'array<Line>', false, ''),
-    ('#/components/schemas/Cart', 'a', 2, 'note', 'string | null', false, 'free text'), ('#/components/schemas/Cart', 'a', 3, 'mix', 'oneOf<string, Line>', false, ''),
-    ('#/definitions/Item', 'b', 0, 'sku', 'string', false, '')) t(ref, document_id, idx, field, type, required, description)""")
+@query(f"""WITH {_OPS}, host AS (SELECT host, row_number() OVER (ORDER BY length(host) DESC, host) AS n FROM op GROUP BY host),
+    f AS (SELECT unnest([0, 1, 2, 3]) AS idx)
+    SELECT '#/definitions/S' || k AS ref, host AS document_id, idx::INT AS idx, CASE idx WHEN 0 THEN 'id' WHEN 1 THEN 'list' || k WHEN 2 THEN 'mix' ELSE 'opt' END AS field,
+        CASE idx WHEN 0 THEN 'integer' WHEN 1 THEN 'array<S0>' WHEN 2 THEN 'oneOf<string, S1>' ELSE 'string | null' END AS type, idx = 0 AS required, CASE idx WHEN 3 THEN 'free' ELSE '' END AS description
+    FROM (SELECT DISTINCT id % 7 AS k FROM op), host, f WHERE n = 1 AND k < 5""")
 def resolve_ref(spark, sf_dir):
-    specs = _specs(spark)
-    documents = specs.select("document_id", F.when(F.col("document_id") == "a", "2024-02-01").otherwise("2024-01-01").cast("timestamp").alias("indexed_at"))
-    refs = spark.createDataFrame([("#/components/schemas/Cart",), ("#/definitions/Item",), ("#/nowhere/X",), ("#/components/schemas/None",)], "ref string")
+    """A schema of that name in the newest document, of equally new ones that of the smallest id."""
+    specs = _specs(spark, sf_dir)
+    documents = specs.select("document_id", F.date_add(F.lit("2024-01-01").cast("date"), F.length("document_id")).cast("timestamp").alias("indexed_at"))
+    refs = _operations(spark, sf_dir).select(F.concat(F.lit("#/definitions/S"), (F.col("id") % 7).cast("string")).alias("ref")).distinct()
     return catalog.resolve_refs(refs, openapi.schemas(specs), documents).select("ref", "document_id", "idx", "field", "type", "required", "description")
 
 
-@query(r"""SELECT * FROM (VALUES ('openCart', '#/components/schemas/Cart', 'curl -X POST ''https://api.example.com/carts'' \' || chr(10) || '  -H ''X-Shop: string'' \' || chr(10) || '  -H ''Content-Type: application/json'' \' || chr(10) || '  -d ''{"id": 7}'''),
-    ('readCart', '', 'curl -X GET ''https://api.example.com/carts/0?fields=id'''),
-    ('putItem', '#/components/schemas/Item', 'curl -X PUT ''https://api.example.com/items'' \' || chr(10) || '  -H ''Content-Type: application/json'' \' || chr(10) || '  -d ''"<body>"''')) t(operation_id, refs, code)""")
+_NEXT = "' ' || chr(92) || chr(10) || '  -'"
+
+
+@query(f"""WITH {_OPS} SELECT 'op_' || id AS operation_id, CASE WHEN method = 'POST' AND id % 2 = 0 THEN '#/components/schemas/S' || id % 7 ELSE '' END AS refs,
+    replace('curl -X ' || method || ' "https://api.example.com' || path || CASE WHEN id % 2 = 0 THEN '?lang=string' ELSE '' END || '"' || CASE WHEN id % 3 = 0 THEN {_NEXT} || 'H "X-Id: 0"' ELSE '' END
+        || CASE WHEN method = 'POST' THEN {_NEXT} || 'H "Content-Type: application/json"' || {_NEXT} || 'd "' ELSE '' END, '"', chr(39))
+    || CASE WHEN method = 'POST' THEN CASE WHEN id % 2 = 0 THEN '"<body>"' ELSE '{{"tag": "a: b, c", "id": 0, "inner": {{"on": true, "any": "<any>"}}}}' END || chr(39) ELSE '' END AS code FROM opn""")
 def endpoint_details(spark, sf_dir):
-    rows = openapi.endpoints(_specs(spark))
+    rows = openapi.endpoints(_specs(spark, sf_dir))
     details = catalog.endpoint_details(rows).select("endpoint_id", "operation_id", F.array_join("schema_refs", ",").alias("refs"))
     return details.join(catalog.curl_examples(rows), "endpoint_id").drop("endpoint_id")
 
 
-@query("""SELECT * FROM (VALUES ('a:chunk:0', 'endpoint', '[POST] /carts — Open a cart' || chr(10) || 'OperationId: openCart' || chr(10) || 'Params: X-Shop(header,required)' || chr(10) || 'Tags: cart, write' || chr(10) || 'Responses: 201, 409'),
-    ('a:chunk:1', 'endpoint', '[GET] /carts/{cartId} — Read a cart' || chr(10) || 'OperationId: readCart' || chr(10) || 'Params: cartId(path,required), fields(query,required)' || chr(10) || 'Tags: cart' || chr(10) || 'Responses: 200'),
-    ('a:chunk:2', 'schema', 'Schema: Cart' || chr(10) || 'What is bought' || chr(10) || 'Properties: id, lines, mix, note'), ('a:chunk:3', 'schema', 'Schema: Line'),
-    ('a:chunk:4', 'section', '# T' || chr(10) || 'one two'), ('a:chunk:5', 'section', '# T' || chr(10) || 'three four'),
-    ('b:chunk:0', 'endpoint', '[PUT] /items' || chr(10) || 'OperationId: putItem' || chr(10) || 'Params: n(query,optional)' || chr(10) || 'Responses: 200'), ('b:chunk:1', 'schema', 'Schema: Item' || chr(10) || 'Properties: sku'), ('b:chunk:2', 'schema', 'Schema: Cart' || chr(10) || 'Properties: old')) t(chunk_id, chunk_type, text)""")
+@query(f"""WITH {_OPS}, hosts AS (SELECT DISTINCT host FROM op),
+    rows AS (SELECT host, 0 AS kind, idx AS spot, 'endpoint' AS chunk_type, '[' || method || '] ' || path || ' — Page ' || id || chr(10) || 'OperationId: op_' || id || chr(10) || 'Params: lang(query,' || CASE WHEN id % 2 = 0 THEN 'required' ELSE 'optional' END || ')'
+            || CASE WHEN id % 3 = 0 THEN ', X-Id(header,required)' ELSE '' END || CASE WHEN method = 'POST' AND id % 2 = 1 THEN chr(10) || 'Body: id, inner, tag' ELSE '' END || chr(10) || 'Tags: t' || id % 4 || chr(10) || 'Responses: ' || CASE WHEN id % 5 = 0 THEN '200, 404' ELSE '200' END AS text FROM opn
+        UNION ALL SELECT host, 1, n, 'schema', 'Schema: S' || n || chr(10) || 'S' || n || ' of ' || host || chr(10) || 'Properties: id, list' || n || ', mix, opt' FROM hosts, (SELECT unnest(range(5)) AS n)
+        UNION ALL SELECT regexp_extract(url, '://([^/?#]*)', 1), 2, page_id, 'section', '# page ' || page_id || chr(10) || url FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) IN (SELECT host FROM hosts))
+    SELECT host || ':chunk:' || (row_number() OVER (PARTITION BY host ORDER BY kind, spot) - 1) AS chunk_id, chunk_type, text FROM rows""")
 def build_chunks(spark, sf_dir):
-    specs = _specs(spark)
-    own = spark.createDataFrame([("a", 0, "T", "one two\n\nthree four")], "document_id string, order_index int, title string, content string")
-    return chunks.build_chunks(openapi.endpoints(specs), openapi.schemas(specs), own, limit=4).select("chunk_id", "chunk_type", "text")
+    specs = _specs(spark, sf_dir)
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    own = _t(spark, sf_dir, "pages").select(host.alias("document_id"), F.col("page_id").cast("int").alias("order_index"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.col("url").alias("content"))
+    return chunks.build_chunks(openapi.endpoints(specs), openapi.schemas(specs), own.join(specs.select("document_id"), "document_id", "left_semi")).select("chunk_id", "chunk_type", "text")
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'x', 'name: x' || chr(10) || 'note: a, b'), (1, 1, 'Row 2', 'name: ' || chr(10) || 'note: two' || chr(10) || 'lines'), (1, 2, 'z', 'name: z' || chr(10) || 'note: None')) t(document_id, order_index, title, content)""")
+@query("""SELECT c_nationkey AS document_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS order_index, c_name AS title,
+    'name: ' || c_name || chr(10) || 'segment, kind: ' || c_mktsegment || ', "' || c_custkey % 3 || '"' || CASE WHEN c_custkey % 4 = 0 THEN chr(10) || 'more' ELSE '' END || chr(10) || 'key: ' || CASE WHEN c_custkey % 5 = 0 THEN 'None' ELSE c_custkey::VARCHAR END AS content FROM customer""")
 def csv_sections(spark, sf_dir):
-    return sections.csv_sections(spark.createDataFrame([(1, 'name,note\nx,"a, b"\n,"two\nlines"\nz\n'), (2, "")], "document_id int, text string"))
-
-
-@query("""SELECT * FROM (VALUES ('p1', '# Head' || chr(10) || '- item' || chr(10) || 'deep' || chr(10) || '- [x] done' || chr(10) || 'a | b')) t(page_id, text)""")
+    """The customers of each nation as a CSV document; fields with commas, quotes and line ends, and short rows."""
+    key = F.col("c_custkey")
+    field = F.concat(F.lit('"'), "c_mktsegment", F.lit(', ""'), (key % 3).cast("string"), F.lit('""'), F.when(key % 4 == 0, "\nmore").otherwise(""), F.lit('"'))
+    line = F.concat("c_name", F.lit(","), field, F.when(key % 5 == 0, "").otherwise(F.concat(F.lit(","), key.cast("string"))))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    docs = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("document_id")).agg(F.concat(F.lit('name,"segment, kind",key\n'), rows).alias("text"))
+    return sections.csv_sections(docs)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '# ' WHEN 1 THEN '- ' WHEN 2 THEN '- [x] ' ELSE '' END || o_orderpriority AS line FROM orders WHERE o_orderkey % 10 < 9),
+    l AS (SELECT l_orderkey, l_linenumber, l_returnflag || ' | ' || l_linestatus AS line FROM lineitem),
+    every AS (SELECT o_custkey, o_orderkey, -1 AS n, line FROM o UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, l.line FROM o JOIN l ON l_orderkey = o_orderkey)
+    SELECT o_custkey AS page_id, sha256(string_agg(line, chr(10) ORDER BY o_orderkey, n, line)) AS text_sha256 FROM every GROUP BY 1""")
 def block_tree(spark, sf_dir):
-    rich = lambda s: [{"plain_text": s}]
-    rows = [("1", "p1", 0, "heading_1", {"rich_text": rich("Head")}), ("2", "p1", 1, "bulleted_list_item", {"rich_text": rich("item")}), ("3", "2", 0, "paragraph", {"rich_text": rich("deep")}), ("4", "p1", 2, "to_do", {"rich_text": rich("done"), "checked": True}), ("5", "p1", 3, "table_row", {"cells": [rich("a"), rich("b")]}), ("6", "p1", 4, "child_page", {"title": "sub"}), ("7", "6", 0, "paragraph", {"rich_text": rich("not mine")})]
-    blocks = spark.createDataFrame([(i, p, n, k, json.dumps({"type": k, k: x})) for i, p, n, k, x in rows], "block_id string, parent_id string, ordinal int, type string, block string")
-    return remote.page_bodies(spark.createDataFrame([("p1",)], "page_id string"), blocks)
+    """Customers as pages, their orders as blocks, line items as rows within; a tenth of the orders are child pages, which aren't entered."""
+    rich = lambda c: F.array(F.struct(c.alias("plain_text")))
+    kind = F.when(F.col("o_orderkey") % 10 == 9, "child_page").otherwise(F.element_at(F.array(*map(F.lit, ("heading_1", "bulleted_list_item", "to_do", "paragraph"))), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    orders = _t(spark, sf_dir, "orders").withColumn("kind", kind)
+    body = F.to_json(F.create_map("kind", F.struct(rich(F.col("o_orderpriority")).alias("rich_text"), F.lit(True).alias("checked"))))
+    outer = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("block_id"), F.col("o_custkey").cast("string").alias("parent_id"), F.col("o_orderkey").cast("int").alias("ordinal"), F.col("kind").alias("type"), body.alias("block"))
+    cells = F.to_json(F.struct(F.struct(F.array(rich(F.col("l_returnflag")), rich(F.lit(" ")), rich(F.col("l_linestatus"))).alias("cells")).alias("table_row")))
+    inner = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), "l_linenumber", F.lit("table_row"), cells)
+    pages = orders.select(F.col("o_custkey").cast("string").alias("page_id")).distinct()
+    rows = remote.page_bodies(pages, outer.union(inner)).where("text <> ''")
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'Title'), (1, 'open'), (2, 'a, b'), (3, '2024-01-01 ~ 2024-01-05'), (4, 'false'), (5, '3.5'), (6, ''), (7, 'u@x')) t(id, text)""")
-def property_texts(spark, sf_dir):
-    props = [{"type": "title", "title": [{"plain_text": "Title"}]}, {"type": "status", "status": {"name": "open"}}, {"type": "multi_select", "multi_select": [{"name": "a"}, {"name": "b"}]}, {"type": "date", "date": {"start": "2024-01-01", "end": "2024-01-05"}}, {"type": "checkbox", "checkbox": False}, {"type": "formula", "formula": {"type": "number", "number": 3.5}}, {"type": "relation", "relation": [{"id": "x"}]}, {"type": "email", "email": "u@x"}]
-    rows = spark.createDataFrame(list(enumerate(map(json.dumps, props))), "id int, prop string")
-    return rows.select("id", remote.property_text(F.col("prop")).alias("text"))
+_KINDS = ("title", "status", "multi_select", "date", "checkbox", "formula", "relation", "email")
 
 
-@query("SELECT * FROM (VALUES ('r', 'f1', 'one'), ('r', 'f2', 'two'), ('r', 'f3', 'three')) t(root, external_id, title)")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment WHEN 2 THEN c_mktsegment || ', ' || c_name WHEN 3 THEN '2024-01-01 ~ 2024-02-' || (10 + c_custkey % 10) WHEN 4 THEN CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END
+    WHEN 5 THEN c_nationkey::VARCHAR WHEN 6 THEN '' ELSE c_name || '@x' END AS text FROM customer""")
+def property_texts(spark, sf_dir):
+    """A property of a type of its own for every customer."""
+    key, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    date = F.struct(F.lit("2024-01-01").alias("start"), F.concat(F.lit("2024-02-"), (key % 10 + 10).cast("string")).alias("end"))
+    formula = F.struct(F.lit("number").alias("type"), F.col("c_nationkey").alias("number"))
+    named = [F.struct(segment.alias("name")), F.struct(name.alias("name"))]
+    values = [F.array(F.struct(name.alias("plain_text"))), named[0], F.array(*named), date, key % 3 == 0, formula, F.array(F.struct(name.alias("id"))), F.concat(name, F.lit("@x"))]
+    prop = F.lit(None).cast("string")
+    for n, (kind, value) in enumerate(zip(_KINDS, values)):
+        prop = F.when(key % 8 == n, F.to_json(F.struct(F.lit(kind).alias("type"), value.alias(kind)))).otherwise(prop)
+    return _t(spark, sf_dir, "customer").select(key.alias("id"), remote.property_text(prop).alias("text"))
+
+
+@query("SELECT 'r' || n_regionkey AS root, 'o' || o_orderkey AS external_id, o_orderpriority AS title FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def folder_walk(spark, sf_dir):
-    rows = [("r", None, True, "root"), ("d1", "r", True, "sub"), ("d2", "d1", True, "subsub"), ("d1", "d2", True, "loop"), ("f1", "r", False, "one"), ("f2", "d1", False, "two"), ("f3", "d2", False, "three"), ("f2", "d2", False, "two")]
-    entries = spark.createDataFrame([(*r, "u", "2024-01-01T00:00:00Z") for r in rows], "id string, parent string, is_folder boolean, name string, url string, modified string")
-    return remote.folder_files(spark.createDataFrame([("r",)], "root string"), entries).select("root", "external_id", "title")
+    """Regions hold nations, these customers, these their orders as files; every nation also holds its region again, and an order lies in two folders."""
+    entry = lambda i, parent, folder, name: [i.alias("id"), parent.alias("parent"), F.lit(folder).alias("is_folder"), name.alias("name")]
+    id_ = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    nation, customer, orders = (_t(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    placed = orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
+    entries = (
+        nation.select(*entry(id_("n", "n_nationkey"), id_("r", "n_regionkey"), True, F.col("n_name")))
+        .union(nation.select(*entry(id_("r", "n_regionkey"), id_("n", "n_nationkey"), True, F.lit("back"))))
+        .union(customer.select(*entry(id_("c", "c_custkey"), id_("n", "c_nationkey"), True, F.col("c_name"))))
+        .union(placed.select(*entry(id_("o", "o_orderkey"), id_("c", "o_custkey"), False, F.col("o_orderpriority"))))
+        .union(placed.select(*entry(id_("o", "o_orderkey"), id_("n", "c_nationkey"), False, F.col("o_orderpriority"))))
+    ).withColumns({"url": F.lit("u"), "modified": F.lit("2024-01-01T00:00:00Z")})
+    return remote.folder_files(_t(spark, sf_dir, "region").select(id_("r", "r_regionkey").alias("root")), entries).select("root", "external_id", "title")
 
 
 @query("SELECT doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 9 = 0 THEN 'failed' WHEN doc_id % 7 = 0 THEN 'clear' WHEN doc_id % 2 = 0 THEN 'skip' ELSE 'index' END AS action FROM documents")
@@ -609,23 +674,15 @@ def body_actions(spark, sf_dir):
     return sync.body_actions(bodies, known).select("document_id", "action")
 
 
-@query("SELECT 'doc' AS path, 'First' || chr(10) || chr(10) || 'Second' AS text UNION ALL SELECT 'sheet', 'a 1' || chr(10) || 'b' UNION ALL SELECT 'slides', 'Hi' || chr(10) || chr(10) || 'Bye' UNION ALL SELECT 'broken', NULL")
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS p FROM documents)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' WHEN 2 THEN 'xlsx' ELSE 'zip' END AS doc_type,
+        CASE doc_id % 4 WHEN 0 THEN sha256(array_to_string(p, chr(10) || chr(10))) WHEN 1 THEN sha256(array_to_string(p, chr(10))) WHEN 2 THEN sha256(array_to_string(p, chr(10))) END AS text_sha256 FROM p""")
 def office_texts(spark, sf_dir):
-    import io
-    import zipfile
-
-    def packed(**files: str) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name, text in files.items():
-                z.writestr(name.replace("__", "/") + ".xml", text)
-        return out.getvalue()
-
-    p = lambda *texts: "<d>" + "".join(f"<p><r><t>{x}</t></r></p>" for x in texts) + "</d>"
-    sheet = '<s><row><c t="s"><v>0</v></c><c><v>1</v></c></row><row><c t="inlineStr"><is><t>b</t></is></c></row></s>'
-    rows = [("doc.docx", packed(word__document=p("First", " ", "Second"))), ("sheet.xlsx", packed(xl__worksheets__sheet1=sheet, xl__sharedStrings="<x><si><t>a</t></si></x>")), ("slides.pptx", packed(ppt__slides__slide10=p("Bye"), ppt__slides__slide2=p("Hi"))), ("broken.docx", b"no archive")]
-    files = spark.createDataFrame([(n, bytearray(x)) for n, x in rows], "path string, content binary")
-    return office.texts(files).select(F.substring_index("path", ".", 1).alias("path"), "text")
+    """Every document's lines as the paragraphs of an office file, and read back; a fourth are files of another kind."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
+    kind = F.element_at(F.array(*map(F.lit, ("docx", "pptx", "xlsx", "zip"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = office.packed(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), kind).alias("path"), "lines"))
+    return office.texts(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "doc_type", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("""SELECT o_custkey AS document_id, o_orderpriority AS title, 'u' || o_orderkey AS url, o_orderstatus AS project FROM orders
