@@ -7,15 +7,21 @@ assumption of these queries, not of the data.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 from ..operators import catalog, chunks, evaluate, snippets, sync
 from ..operators import ranking as R
 from ..operators.indexes import KeywordIndex, TitleIndex, build_keyword_index, build_title_index
 from ..operators.vector_index import VectorIndex, build_vector_index, recall
-from ..sources import office, openapi, remote, sections
+from ..sources import office, openapi, paged, remote, sections
+from ..sources.store import Store
+from . import ingest
 from .search import Scope, search_documents, search_endpoints, search_indexed
 
 
@@ -711,3 +717,112 @@ def indexed_search(spark, sf_dir):
     vectors = _vectors(spark, sf_dir).withColumn("key", F.col("key") * 10)
     rows = search_indexed(_queries(spark, sf_dir), _titles(spark, sf_dir), meta, chunked, owner, vectors, _query_vectors(spark, sf_dir), top_k=10)
     return rows.select("query_id", "key", "rank", "score", "title", "url", "source", "winner")
+
+
+def _store(spark) -> Store:
+    return Store(spark, storage.fresh(spark, "store"))
+
+
+_DAY = datetime(2024, 2, 2)
+
+
+@query("""WITH o AS (SELECT source AS project, doc_id AS i FROM documents WHERE doc_id % 11 <> 3),
+    n AS (SELECT source AS project, doc_id AS i, doc_id % 13 = 1 AS renamed FROM documents WHERE doc_id % 7 <> 2 AND source <> 'src1'),
+    c AS (SELECT CASE WHEN o.i IS NULL THEN 'added' WHEN n.i IS NULL THEN 'removed' WHEN renamed THEN 'updated' ELSE 'unchanged' END AS counter FROM o FULL JOIN n USING (project, i) WHERE project <> 'src1'),
+    rows AS (SELECT counter, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'synced', count(*) FROM n
+             UNION ALL SELECT 'rows', count(*) FROM (SELECT i FROM n UNION ALL SELECT i FROM o WHERE project = 'src1') UNION ALL SELECT 'renamed', count(*) FROM n WHERE renamed)
+    SELECT counter, n::BIGINT AS n FROM rows WHERE n > 0 OR counter = 'synced'""")
+def refresh_batches(spark, sf_dir):
+    """A listing of the documents after another, in batches that commit each. The second run is stopped in its middle and started again; what it
+    counted is what one run would have counted."""
+    old, new = _snapshots(spark, sf_dir)
+    listed = lambda rows: rows.select("project", "source", F.col("external_id").cast("string").alias("external_id"), F.lit(0).alias("ordinal"), "title", "url", "modified_at")
+    store = _store(spark)
+    rows = max(1, old.count() // 3)
+    ingest.refresh(store, listed(old), "first", _DAY)
+    try:
+        ingest.refresh(store, listed(new), "second", _DAY, batch_rows=rows, fail_at=1)
+    except RuntimeError:
+        pass
+    counted = ingest.refresh(store, listed(new), "second", _DAY, batch_rows=rows)
+    meta = store.snapshot().table("meta")
+    own = meta.agg(F.count("*").alias("rows"), F.count_if(F.col("title") == "renamed").alias("renamed")).select(F.explode(F.array(F.struct(F.lit("rows").alias("counter"), F.col("rows").alias("n")), F.struct(F.lit("renamed").alias("counter"), F.col("renamed").alias("n")))).alias("x")).select("x.*")
+    return spark.createDataFrame(list(counted.items()), "counter string, n long").union(own).where("n > 0 or counter = 'synced'")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, doc_id % 3 = 0 AS changed, doc_id % 17 = 5 AS bad FROM documents)
+    SELECT 'first' AS run, CASE WHEN bad THEN 'failed' ELSE 'registered' END AS status, count(*) AS n, 0::BIGINT AS sections FROM d GROUP BY ALL
+    UNION ALL SELECT 'second', CASE WHEN bad THEN 'failed' WHEN changed THEN 'reindexed' ELSE 'skipped' END, count(*), 0 FROM d GROUP BY ALL
+    UNION ALL SELECT 'live', 'documents', count(*), count(*) FILTER (changed) FROM d WHERE NOT bad""")
+def ingest_documents(spark, sf_dir):
+    """All documents as Markdown registered, then synced with a third of them changed; some are of a type without a parser."""
+    docs = _t(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 17 == 5, "xml").otherwise("markdown")
+    raw = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("project"), F.lit(None).cast("string").alias("source_url"), "text", kind.alias("doc_type"), "doc_id")
+    changed = raw.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n# More\nadded"))).otherwise(F.col("text")))
+    store = _store(spark)
+    ingest.ingest(store, raw.drop("doc_id"), "first", _DAY)
+    ingest.ingest(store, changed.drop("doc_id"), "second", _DAY)
+    now = store.snapshot()
+    history = now.table("history").groupBy("run", "status").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("sections"))
+    more = now.table("sections").where("title = 'More' and content = 'added'").select("document_id").distinct().withColumn("more", F.lit(1))
+    live = now.table("documents").join(more, "document_id", "left").agg(F.count("*").alias("n"), F.count("more").alias("sections"))
+    return history.unionByName(live.withColumns({"run": F.lit("live"), "status": F.lit("documents")}))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+    SELECT 'first' AS run, sum(n)::BIGINT AS embedded, 0::BIGINT AS kept FROM c UNION ALL SELECT 'changed', sum(n) FILTER (conv_id % 10 = 0)::BIGINT, sum(n) FILTER (conv_id % 10 > 0)::BIGINT FROM c
+    UNION ALL SELECT 'again', 0, sum(n)::BIGINT FROM c UNION ALL SELECT 'model', sum(n)::BIGINT, 0 FROM c""")
+def reembed_changed(spark, sf_dir):
+    """Turns of conversations embedded; again after a tenth of the conversations changed; again without a change; and with another model."""
+    own = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    rows = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), own.alias("chunk_id"), F.col("text"), "conv_id")
+    tenth = rows.where("conv_id % 10 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" changed")))
+
+    def embed(todo: DataFrame) -> DataFrame:
+        parts = chunks.hash_embedding(todo, "chunk_id", dim=64).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+        return parts.select(F.col("key").alias("chunk_id"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+    store = _store(spark)
+    store.commit({"chunks": rows.drop("conv_id")}, {})
+    ingest.reembed(store, "first", "hash-64", embed)
+    store.commit({"chunks": tenth.drop("conv_id")}, {"chunks": tenth.select("document_id")})
+    for run, model in (("changed", "hash-64"), ("again", "hash-64"), ("model", "hash-64b")):
+        ingest.reembed(store, run, model, embed)
+    log = store.snapshot().log
+    runs = [(r, *(sum(v[c] for k, v in log.items() if k.startswith(f"{r}/") and c in v) for c in ("embedded", "kept"))) for r in ("first", "changed", "again", "model")]
+    return spark.createDataFrame(runs, "run string, embedded long, kept long")
+
+
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS collection, page_id::VARCHAR AS id, url FROM pages WHERE page_id % 28 >= 9")
+def paged_listing(spark, sf_dir):
+    """The pages of each host stored as linked responses of seven, read by cursors, those modified from a day on."""
+    paged.register(spark)
+    path = storage.fresh(spark, "responses")
+    host, day = F.regexp_extract("url", "://([^/?#]*)", 1), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    item = F.to_json(F.struct(F.col("page_id").alias("id"), F.concat(F.lit("2024-01-"), day, F.lit("T00:00:00Z")).alias("last_edited_time"), "url"))
+    order = F.row_number().over(W.partitionBy("collection").orderBy("page_id")) - 1
+    rows = _t(spark, sf_dir, "pages").select(host.alias("collection"), "page_id", item.alias("item")).where("collection <> ''").withColumn("ordinal", order)
+    paged.store_responses(rows.select("collection", "ordinal", "item"), path, size=7)
+    late = spark.read.format("spindrift_pages").load(path).where(F.col("modified_at") >= F.lit("2024-01-10").cast("timestamp"))
+    return late.select("collection", "id", F.get_json_object("item", "$.url").alias("url"))
+
+
+@query("""WITH RECURSIVE held AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent, n_name AS title FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority FROM orders),
+    walk AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 0 AS depth, '' AS title FROM region UNION ALL SELECT root, held.id, depth + 1, held.title FROM walk JOIN held ON parent = walk.id)
+    SELECT root, id AS external_id, title, depth FROM walk WHERE depth > 0""")
+def page_tree(spark, sf_dir):
+    """Nations as child pages of regions within a toggle, customers as child pages, orders as the rows of a child database of each; only half of
+    the customers are pages."""
+    id_ = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    child = lambda kind, title: F.to_json(F.struct(F.struct(title.alias("title")).alias(kind)))
+    nation, customer, orders = (_t(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    blocks = (
+        nation.select(id_("n", "n_nationkey").alias("block_id"), id_("t", "n_regionkey").alias("parent_id"), F.lit("child_page").alias("type"), child("child_page", F.col("n_name")).alias("block"))
+        .union(_t(spark, sf_dir, "region").select(id_("t", "r_regionkey"), id_("r", "r_regionkey"), F.lit("toggle"), F.lit("{}")))
+        .union(customer.where("c_custkey % 2 = 0").select(id_("c", "c_custkey"), id_("n", "c_nationkey"), F.lit("child_page"), child("child_page", F.col("c_name"))))
+        .union(customer.select(id_("d", "c_custkey"), id_("c", "c_custkey"), F.lit("child_database"), F.lit("{}")))
+    )
+    rows = orders.select(id_("d", "o_custkey").alias("database_id"), id_("o", "o_orderkey").alias("external_id"), F.col("o_orderpriority").alias("title"))
+    return remote.page_tree(_t(spark, sf_dir, "region").select(id_("r", "r_regionkey").alias("root")), blocks, rows)
