@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,32 +19,38 @@ def dense(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, SPACE, ""))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _places(text: Column, wanted: Column) -> Column:
-    """Places, from 0, of the terms in the text: as they are, else with white space left out of both."""
-    low, tight = F.lower(text), dense(text)
+    """Places, from 0, of the terms in the text: as they are, else with white space left out of the text."""
     # the place in the text of each character that isn't white space; worked out only where a term needs it
     solid = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(SPACE), i)), lambda i: i.isNotNull())
 
-    def place(term: Column) -> Column:
-        at = F.position(term, low)
-        within = F.position(dense(term), tight)
-        return F.when(at > 0, at - 1).when((dense(term) != "") & (within > 0), F.get(solid, F.least(within, F.size(solid)) - 1))
+    def found(x: Column) -> Column:
+        needed = F.exists(wanted, lambda t: ~F.contains(x["low"], t) & F.contains(x["tight"], t))
+        return _once(F.when(needed, solid), lambda s: F.transform(wanted, lambda t: place(x, s, t)))
+
+    def place(x: Column, s: Column, term: Column) -> Column:
+        at, within = F.position(term, x["low"]), F.position(term, x["tight"])
+        return F.when(at > 0, at - 1).when(within > 0, F.get(s, F.least(within, F.size(s)) - 1))
 
-    return F.filter(F.transform(wanted, place), lambda p: p.isNotNull())
+    return F.filter(_once(F.struct(F.lower(text).alias("low"), dense(text).alias("tight")), found), lambda p: p.isNotNull())
 
 
 def snippet(text: Column, wanted: Column) -> Column:
-    """The stretch with most terms, the earliest of equals, from LEAD characters before its term; white space squeezed."""
+    """The stretch with most of the terms, which hold no white space, the earliest of equals, from LEAD characters before its
+    term; white space squeezed."""
 
-    def held(start: Column) -> Column:
-        part = F.substr(text, start + 1, F.lit(LENGTH))
-        low, tight = F.lower(part), dense(part)
-        return F.size(F.filter(wanted, lambda t: F.contains(low, t) | ((dense(t) != "") & F.contains(tight, dense(t)))))
+    def held(part: Column) -> Column:
+        both = F.struct(F.lower(part).alias("low"), dense(part).alias("tight"))
+        return _once(both, lambda x: F.size(F.filter(wanted, lambda t: F.contains(x["low"], t) | F.contains(x["tight"], t))))
 
     starts = F.array_distinct(F.transform(_places(text, wanted), lambda p: F.greatest(p - LEAD, F.lit(0))))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(held(s).alias("n"), (-s).alias("before"))))
-    part = F.substr(text, F.coalesce(-best["before"], F.lit(0)) + 1, F.lit(LENGTH))
-    return F.trim(F.regexp_replace(part, SPACE + "+", " "))
+    best = F.array_max(F.transform(starts, lambda s: F.struct(held(F.substr(text, s + 1, F.lit(LENGTH))).alias("n"), (-s).alias("before"))))
+    return _once(best, lambda b: F.trim(F.regexp_replace(F.substr(text, F.coalesce(-b["before"], F.lit(0)) + 1, F.lit(LENGTH)), SPACE + "+", " ")))
 
 
 def with_snippets(rows: DataFrame) -> DataFrame:
