@@ -42,6 +42,11 @@ def endpoint_text():
     )
 
 
+def tagged_endpoint_text():
+    """endpoint_text() after its first tag: a variant that was tried for retrieval."""
+    return F.concat(F.when(F.size("tags") > 0, F.concat(F.lit("Tag: "), F.get("tags", F.lit(0)), F.lit("\n"))).otherwise(""), endpoint_text())
+
+
 def schema_text():
     return F.concat_ws("\n", F.concat(F.lit("Schema: "), F.col("name")), _line("", F.col("description")), _line("Properties: ", F.coalesce(_names(F.col("json_schema")), F.lit(""))))
 
@@ -101,15 +106,16 @@ def split_sections(sections: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
     return sections.select(*keep, F.posexplode(section_parts(text("title"), text("content"), limit)).alias("part", "text"))
 
 
-def build_chunks(endpoints: DataFrame, schemas: DataFrame, sections: DataFrame, limit: int | None = TOKEN_LIMIT) -> DataFrame:
+def build_chunks(endpoints: DataFrame, schemas: DataFrame, sections: DataFrame, limit: int | None = TOKEN_LIMIT, tagged: bool = False) -> DataFrame:
     """(document_id, chunk_id, chunk_type, ref_id, text): endpoints, then schemas, then sections (document_id, order_index,
-    title, content), numbered in this order within a document; sections split unless limit is None."""
+    title, content), numbered in this order within a document; sections split unless limit is None; endpoints after their first
+    tag if tagged."""
     from pyspark.sql import Window as W
 
     named = sections.withColumn("ref_id", F.concat(F.col("document_id").cast("string"), F.lit(":section:"), F.col("order_index").cast("string")))
     parts = split_sections(named, limit) if limit else named.select("document_id", "order_index", "ref_id", F.lit(0).alias("part"), section_text().alias("text"))
     rows = (
-        endpoints.select("document_id", F.lit(0).alias("kind"), F.col("idx").cast("int").alias("at"), F.lit(0).alias("part"), F.col("endpoint_id").alias("ref_id"), endpoint_text().alias("text"))
+        endpoints.select("document_id", F.lit(0).alias("kind"), F.col("idx").cast("int").alias("at"), F.lit(0).alias("part"), F.col("endpoint_id").alias("ref_id"), (tagged_endpoint_text() if tagged else endpoint_text()).alias("text"))
         .union(schemas.select("document_id", F.lit(1), F.col("idx").cast("int"), F.lit(0), F.col("schema_id"), schema_text()))
         .union(parts.select("document_id", F.lit(2), F.col("order_index").cast("int"), "part", "ref_id", "text"))
     )

@@ -19,7 +19,7 @@ from ..operators import catalog, chunks, evaluate, snippets, sync
 from ..operators import ranking as R
 from ..operators.indexes import KeywordIndex, TitleIndex, build_keyword_index, build_title_index
 from ..operators.vector_index import VectorIndex, build_vector_index, recall
-from ..sources import office, openapi, paged, remote, sections
+from ..sources import fetched, mapping, office, openapi, paged, remote, sections
 from ..sources.store import Store
 from . import ingest
 from .search import Scope, search_documents, search_endpoints, search_indexed
@@ -826,3 +826,40 @@ def page_tree(spark, sf_dir):
     )
     rows = orders.select(id_("d", "o_custkey").alias("database_id"), id_("o", "o_orderkey").alias("external_id"), F.col("o_orderpriority").alias("title"))
     return remote.page_tree(_t(spark, sf_dir, "region").select(id_("r", "r_regionkey").alias("root")), blocks, rows)
+
+
+@query("""WITH have AS (SELECT DISTINCT 'c' || c_custkey % 40 AS project, 'drive' AS source_type, 'f' AS location, NULL AS kind FROM customer WHERE c_custkey % 40 < 20),
+    fresh AS (SELECT 'c' || c_custkey % 40 AS project, CASE WHEN c_nationkey % 2 = 0 THEN 'drive' ELSE 'notion' END AS source_type, 'n' || c_nationkey AS location,
+              CASE WHEN c_nationkey % 2 = 0 THEN NULL WHEN c_nationkey % 3 = 0 THEN 'page' WHEN c_nationkey % 3 = 1 THEN 'database' END AS kind FROM customer),
+    one AS (SELECT * FROM fresh WHERE (project, source_type) NOT IN (SELECT project, source_type FROM have)
+            QUALIFY row_number() OVER (PARTITION BY project, source_type ORDER BY CASE kind WHEN 'page' THEN 1 WHEN 'database' THEN 2 ELSE 9 END, location) = 1)
+    SELECT project, source_type, location, CASE WHEN source_type = 'notion' THEN coalesce(kind, 'database') ELSE kind END AS kind FROM (SELECT * FROM have UNION ALL SELECT * FROM one)""")
+def source_mappings(spark, sf_dir):
+    """Mappings of projects made of customers, seeded with defaults where a project has none."""
+    customer = _t(spark, sf_dir, "customer")
+    project, n = F.concat(F.lit("c"), (F.col("c_custkey") % 40).cast("string")), F.col("c_nationkey")
+    have = customer.where("c_custkey % 40 < 20").select(project.alias("project"), F.lit("drive").alias("source_type"), F.lit("f").alias("location"), F.lit(None).cast("string").alias("kind")).distinct()
+    kind = F.when(n % 2 == 0, None).when(n % 3 == 0, "page").when(n % 3 == 1, "database")
+    fresh = customer.select(project.alias("project"), F.when(n % 2 == 0, "drive").otherwise("notion").alias("source_type"), F.concat(F.lit("n"), n.cast("string")).alias("location"), kind.alias("kind"))
+    tokens = spark.createDataFrame([("drive", "t"), ("notion", "t"), ("other", "")], "source_type string, token string")
+    return mapping.resolved(mapping.seeded(mapping.seeded(have, fresh), fresh), tokens)
+
+
+@query("""SELECT doc_id::VARCHAR AS external_id, CASE WHEN doc_id % 5 IN (3, 4) THEN NULL ELSE sha256(left(text, 1000)) END AS text_sha256, doc_id % 5 < 3 AND length(text) > 1000 AS truncated,
+    CASE doc_id % 5 WHEN 3 THEN 'unsupported native type for text export: application/vnd.google-apps.drawing' WHEN 4 THEN 'unsupported binary type: image/png' END AS message FROM documents""")
+def fetch_rules(spark, sf_dir):
+    """Every document as a file of one of five types, its text cut at 1,000 characters."""
+    docs = _t(spark, sf_dir, "documents")
+    types = ("text/plain", fetched.NATIVE + "document", "text/markdown", fetched.NATIVE + "drawing", "image/png")
+    mime = F.element_at(F.array(*map(F.lit, types)), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = docs.select(F.col("doc_id").cast("string").alias("external_id"), mime.alias("mime_type"), F.encode("text", "UTF-8").alias("content"))
+    return fetched.texts(files, max_chars=1000).select("external_id", F.sha2("text", 256).alias("text_sha256"), "truncated", "message")
+
+
+@query(f"""WITH {_OPS}, e AS (SELECT host, path, method, 'op_' || id AS operation_id, 't' || id % 4 AS tag, regexp_extract(path, '^/*([^/]+)', 1) AS part FROM opn),
+    r AS (SELECT a.host, a.operation_id, b.method || ' ' || b.path AS other, row_number() OVER (PARTITION BY a.host, a.operation_id ORDER BY b.path, b.method) AS n FROM e a JOIN e b ON a.host = b.host AND a.operation_id <> b.operation_id AND (a.tag = b.tag OR a.part = b.part))
+    SELECT host AS document_id, operation_id, coalesce(string_agg(other, ';' ORDER BY n) FILTER (n <= 5), '') AS related FROM e LEFT JOIN r USING (host, operation_id) GROUP BY ALL""")
+def endpoint_related(spark, sf_dir):
+    """Details of endpoints with those of the same document that share a tag or the first part of the path."""
+    rows = catalog.full_details(openapi.endpoints(_specs(spark, sf_dir)), related_limit=5)
+    return rows.select("document_id", "operation_id", F.array_join(F.transform("related_endpoints", lambda r: F.concat(r["method"], F.lit(" "), r["path"])), ";").alias("related"))
