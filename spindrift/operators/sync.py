@@ -62,10 +62,14 @@ def body_actions(bodies: DataFrame, documents: DataFrame, force: bool = False) -
 
 
 def resync_summary(actions: DataFrame) -> DataFrame:
-    return actions.agg(
-        F.count("*").alias("total"), F.count_if(F.col("action") == "index").alias("reindexed"), F.count_if(F.col("action") == "skip").alias("skipped"),
-        F.sort_array(F.collect_list(F.when(F.col("action") == "failed", F.col("document_id")))).alias("failed"),
-    )
+    """(total, reindexed, skipped, failed) of actions (document_id, action); failures() has which ones failed."""
+    counts = {"reindexed": "index", "skipped": "skip", "failed": "failed"}
+    return actions.agg(F.count("*").alias("total"), *[F.count_if(F.col("action") == x).alias(c) for c, x in counts.items()])
+
+
+def failures(actions: DataFrame) -> DataFrame:
+    """A row for every document that failed."""
+    return actions.where("action = 'failed'").select("document_id")
 
 
 def cascade(removed: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
@@ -79,6 +83,12 @@ def replaced(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def latest_history(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest rows of each document's history (document_id, created_at, ...), the newest first."""
+    order = W.partitionBy("document_id").orderBy(F.col("created_at").desc(), "content_hash")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
 def history(past: DataFrame, actions: DataFrame, now) -> DataFrame:
     """Sync history with a row for every action added."""
     return past.unionByName(actions.select("document_id", "action", "content_hash", now.alias("created_at")))

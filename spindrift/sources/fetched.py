@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.error import URLError
+from urllib.request import Request, urlopen
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +56,31 @@ def texts(files: DataFrame, max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYT
     rows = said.unionByName(read).unionByName(marked.where("message is not null").select("external_id", F.lit(None).cast("string").alias("text"), "message"))
     cut = F.when(F.col("message").isNull(), clean_text(F.substring("text", 1, max_chars)))
     return rows.select("external_id", cut.alias("text"), F.coalesce(F.col("message").isNull() & (F.length("text") > max_chars), F.lit(False)).alias("truncated"), F.when(F.col("message").isNull(), "ok").otherwise("failed").alias("status"), "message")
+
+
+def from_urls(rows: DataFrame, timeout: float = 10.0, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(document_id, source_url, text, status, code, message) of rows (document_id, source_url): each url is read once by the task
+    that holds it. What can't be read, or is too large, fails for its own row only."""
+
+    def read(url: str | None) -> tuple[str | None, str | None]:
+        try:
+            if not (url or "").startswith(("http://", "https://")):
+                return None, f"no http address: {url}"
+            with urlopen(Request(url), timeout=timeout) as answer:  # noqa: S310  the scheme is checked above
+                raw = answer.read(max_bytes + 1)
+                if len(raw) > max_bytes:
+                    return None, f"{url} exceeds download size limit"
+                return raw.decode(answer.headers.get_content_charset() or "utf-8", "replace"), None
+        except (URLError, OSError, ValueError, LookupError) as e:
+            return None, f"failed to fetch {url}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own = batch.slice(at, 1)
+                text, message = read(own.column(1)[0].as_py())
+                status, code = ("ok", None) if message is None else ("failed", "INTEGRATION_ERROR")
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array([x], pa.string()) for x in (text, status, code, message)]], names=["document_id", "source_url", "text", "status", "code", "message"])
+
+    kind = rows.schema["document_id"].dataType.simpleString()
+    return rows.select("document_id", "source_url").mapInArrow(run, f"document_id {kind}, source_url string, text string, status string, code string, message string")

@@ -71,6 +71,22 @@ def page_bodies(roots: DataFrame, blocks: DataFrame, depth: int = MAX_DEPTH, lin
     return found.where("type <> 'child_page'").groupBy("page_id").agg(clean_text(F.array_join(F.transform(text, lambda x: x.line), "\n")).alias("text"))
 
 
+def property_lines(properties: Column) -> Column:
+    """`name: value` lines of a page's properties that have a value, in their order."""
+    entries = F.map_entries(F.from_json(properties, "map<string,string>"))
+    lines = F.transform(entries, lambda e: F.when(property_text(e["value"]) != "", F.concat(e["key"], F.lit(": "), property_text(e["value"]))))
+    return F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+
+def page_texts(pages: DataFrame, blocks: DataFrame, max_chars: int = 200_000) -> DataFrame:
+    """(page_id, text, truncated) of pages (page_id, properties): the properties' lines, then the body's. Properties that can't be
+    read are left out; a text of exactly max_chars isn't cut."""
+    own = pages.select("page_id", F.array_join(property_lines(F.col("properties")), "\n").alias("head"))
+    rows = own.join(page_bodies(pages.select("page_id"), blocks).withColumnRenamed("text", "body"), "page_id", "left")
+    text = F.concat_ws("\n", F.nullif("head", F.lit("")), F.nullif("body", F.lit("")))
+    return rows.select("page_id", F.substring(clean_text(text), 1, max_chars).alias("text"), (F.length(text) > max_chars).alias("truncated"))
+
+
 def folder_files(roots: DataFrame, entries: DataFrame) -> DataFrame:
     """(root, external_id, title, url, modified_at) of files under folders (root), however deep: entries (id, parent,
     is_folder, name, url, modified). A folder is entered once for a root; a file that is reached twice counts once."""
