@@ -1,26 +1,52 @@
-"""Errors of the public functions, with codes that callers can rely on."""
+"""Errors of the public functions, with codes that callers can rely on. What concerns one row of a table is a row with the same code."""
 
 from __future__ import annotations
 
 
 class SearchError(Exception):
-    code = "ERROR"
+    #: Fixed values, here and below: the codes.
+    code = "domain_error"
 
 
 class ValidationError(SearchError):
-    code = "VALIDATION_ERROR"
+    code = "validation_error"
 
 
-class NotConfigured(SearchError):
-    code = "SOURCE_NOT_CONFIGURED"
+class DocumentNotFound(SearchError):
+    code = "document_not_found"
 
 
-class DocumentNotFound(SearchError):
-    code = "DOCUMENT_NOT_FOUND"
+class EndpointNotFound(SearchError):
+    code = "endpoint_not_found"
+
+
+class DuplicateDocument(SearchError):
+    code = "duplicate_document"
+
+
+class ParserError(SearchError):
+    code = "parser_error"
 
 
 class Conflict(SearchError):
-    code = "CONFLICT"
+    """Another writer was first."""
+
+    code = "refresh_in_progress"
+
+
+class IntegrationError(SearchError):
+    """A source that can't be read."""
+
+    code = "integration_error"
+
+
+class NotConfigured(IntegrationError):
+    """No source, or not this one, is mapped and has credentials."""
+
+
+def payload(error: Exception) -> dict:
+    """What a caller is shown of an error: that it is one, its code and message."""
+    return {"error": True, "code": getattr(error, "code", SearchError.code), "message": str(error)}
 
 
 def checked_top_k(top_k: int) -> int:

@@ -71,7 +71,7 @@ def outcome(raw: DataFrame, stored: DataFrame, owners: DataFrame, force: bool =
     rows = hashed.join(owners, "source_url", "left").join(owner, "source_url", "left").join(known, KEY, "left").join(rejected, KEY, "left")
     taken = F.col("source_url").isNotNull() & (F.coalesce("owner", "first") != F.col(KEY))
     message = F.when((F.col("project") == "") | (F.length("project") > 128), "project must have 1 to 128 characters").when(taken, "source_url is registered already").otherwise(F.col("message"))
-    code = F.when((F.col("project") == "") | (F.length("project") > 128), "VALIDATION_ERROR").when(taken, "DUPLICATE_DOCUMENT").otherwise(F.col("code"))
+    code = F.when((F.col("project") == "") | (F.length("project") > 128), "validation_error").when(taken, "duplicate_document").otherwise(F.col("code"))
     same = (F.col("known") == F.col("content_hash")) & F.lit(not force)
     status = F.when(code.isNotNull(), "failed").when(F.col("known").isNull(), "registered").when(same, "skipped").otherwise("reindexed")
     return rows.select(KEY, status.alias("status"), "content_hash", code.alias("code"), message.alias("message"))

@@ -48,7 +48,7 @@ def searchable(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.trim(F.coalesce("text", F.lit("")))
     message = F.when(text == "", "query must not be empty").when(F.size(T.terms("text")) == 0, "query must hold a letter or digit")
     marked = queries.withColumn("message", message)
-    return marked.where("message is null").drop("message"), marked.where("message is not null").select("query_id", F.lit("VALIDATION_ERROR").alias("code"), "message")
+    return marked.where("message is null").drop("message"), marked.where("message is not null").select("query_id", F.lit("validation_error").alias("code"), "message")
 
 
 def present(rows: DataFrame, meta: DataFrame, seen: Observation | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ def from_urls(rows: DataFrame, timeout: float = 10.0, max_bytes: int = MAX_BYTES
             for at in range(batch.num_rows):
                 own = batch.slice(at, 1)
                 text, message = read(own.column(1)[0].as_py())
-                status, code = ("ok", None) if message is None else ("failed", "INTEGRATION_ERROR")
+                status, code = ("ok", None) if message is None else ("failed", "integration_error")
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array([x], pa.string()) for x in (text, status, code, message)]], names=["document_id", "source_url", "text", "status", "code", "message"])
 
     kind = rows.schema["document_id"].dataType.simpleString()

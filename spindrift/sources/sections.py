@@ -88,7 +88,7 @@ def routed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("doc_type") == "openapi") & ~F.coalesce("paths", F.lit(False)), "document is missing `paths`")
     )
     marked = own.withColumn("message", message).drop("flavour", "paths")
-    return marked.where("message is null").drop("message"), marked.where("message is not null").select("document_id", F.lit("PARSER_ERROR").alias("code"), "message")
+    return marked.where("message is null").drop("message"), marked.where("message is not null").select("document_id", F.lit("parser_error").alias("code"), "message")
 
 
 def sections(docs: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def test_indexed_search_shows_what_callers_need(spark):
     titles, sections = indexes.build_title_index(pages.select("key", "title", "url")), indexes.build_keyword_index(chunks, "chunk", scope=("doc_type",))
     meta = pages.where("key <> 3").withColumn("project", F.lit("p")).withColumn("last_synced_at", F.lit("2024-05-01").cast("timestamp"))
     queries, rejected = search.searchable(spark.createDataFrame([(1, "pay"), (2, " "), (3, "%%")], "query_id int, text string"))
-    assert sorted((r.query_id, r.code) for r in rejected.collect()) == [(2, "VALIDATION_ERROR"), (3, "VALIDATION_ERROR")]
+    assert sorted((r.query_id, r.code) for r in rejected.collect()) == [(2, "validation_error"), (3, "validation_error")]
     seen = Observation()
     rows = search.search_indexed(queries, titles, meta, sections, chunks.select("chunk", "key", "text"), top_k=2, seen=seen).collect()
     rows.sort(key=lambda r: r["rank"])

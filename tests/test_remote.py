@@ -63,7 +63,7 @@ def test_urls(spark):
     got = {r.document_id: r for r in fetched.from_urls(rows, max_bytes=100).collect()}
     server.shutdown()
     assert got[1].text == "# A\n결제" and got[1].status == "ok"
-    assert {n for n, r in got.items() if r.code == "INTEGRATION_ERROR"} == {2, 3, 4, 5, 6}
+    assert {n for n, r in got.items() if r.code == "integration_error"} == {2, 3, 4, 5, 6}
 
 
 def test_summary_and_lookups(spark):

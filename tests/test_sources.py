@@ -21,7 +21,7 @@ def test_mappings(spark):
     assert plain.kind == "database"
     asked = spark.createDataFrame([(1, None, None), (2, "a", "drive"), (3, "a", "notion"), (4, "zz", None), (5, None, "notion")], "query_id int, project string, source string")
     good, refused = mapping.answerable(asked, mapping.resolved(seeded, tokens(("drive", "t"))))
-    assert sorted(r.query_id for r in good.collect()) == [1, 2] and sorted((r.query_id, r.code) for r in refused.collect()) == [(n, "SOURCE_NOT_CONFIGURED") for n in (3, 4, 5)]
+    assert sorted(r.query_id for r in good.collect()) == [1, 2] and sorted((r.query_id, r.code) for r in refused.collect()) == [(n, "integration_error") for n in (3, 4, 5)]
     none = mapping.resolved(have.where("false"), tokens(("drive", "t")))
     with pytest.raises(NotConfigured, match="no document source"):
         mapping.require(none, None, None)
@@ -54,4 +54,4 @@ def test_request_samples_and_related(spark):
     tagged = ends.select(chunks.tagged_endpoint_text().alias("t")).where("t like 'Tag: x%'")
     assert tagged.count() == 2
     raw = catalog.raw_texts(spark.createDataFrame([("d", API)], "document_id string, raw_text string"), spark.createDataFrame([("d",), ("z",)], "document_id string"))
-    assert {r.document_id: (r.raw_text, r.code) for r in raw.collect()} == {"d": (API, None), "z": (None, "DOCUMENT_NOT_FOUND")}
+    assert {r.document_id: (r.raw_text, r.code) for r in raw.collect()} == {"d": (API, None), "z": (None, "document_not_found")}

@@ -130,7 +130,7 @@ def test_ingest(spark, store):
     docs = spark.createDataFrame(raw, shape)
     assert ingest.ingest(store, docs, "1", NOW, batch_rows=5) == {"registered": 3, "failed": 5, "total": 8}
     now = store.snapshot()
-    assert {r.document_id: r.code for r in now.table("history").where("status = 'failed'").collect()} == {"d": "VALIDATION_ERROR", "e": "DUPLICATE_DOCUMENT", "f": "PARSER_ERROR", "g": "PARSER_ERROR", "h": "PARSER_ERROR"}
+    assert {r.document_id: r.code for r in now.table("history").where("status = 'failed'").collect()} == {"d": "validation_error", "e": "duplicate_document", "f": "parser_error", "g": "parser_error", "h": "parser_error"}
     assert {(r.document_id, r.title, r.version, r.doc_type) for r in now.table("documents").collect()} == {("a", "Shop", "2", "openapi"), ("b", "One", "", "markdown"), ("c", "Untitled Document", "", "csv")}
     assert sorted((r.document_id, r.chunk_type) for r in now.table("chunks").collect()) == [("a", "endpoint"), ("a", "schema"), ("b", "section"), ("b", "section"), ("c", "section")]
     changed = spark.createDataFrame([*raw[:1], ("b", "p", "http://b.md", "# Three\nz", None)], shape)
