@@ -57,7 +57,7 @@ def test_search(spark, library):
     best = {r.query_id: r for r in rows if r["rank"] == 1}
     assert (best["1"].method, best["1"].match_type) == ("POST", "both") and (best["2"].method, best["2"].match_type) == ("GET", "exact")
     both = library.search_endpoints(queries.where("query_id = 2"), top_k=3).collect()
-    assert [r.project for r in both if r.match_type == "exact"] == ["p"] and {r.project for r in both} == {"p", "q"}
+    assert [r.project for r in both if r.match_type == "exact"] == ["p"]
     words = spark.createDataFrame([(7, "refund payment")], "query_id int, text string")
     hit = library.search_documents(words, top_k=2).orderBy("rank").first()
     assert (hit.title, hit.version, hit.source) == ("Payment guide v3", "v3", "drive") and hit.snippet.startswith("# Refunds")
