@@ -11,8 +11,9 @@ frequent; the shifted postings are summed up per (item, document, shift) before
 alignment is a row, so no term, item or document gathers in one task.
 
 Results in odd cases: a null or empty text has no words: zeros and an empty list; items without words match
-nothing; items that repeat an item_id count once; a null item_id is skipped; null doc_ids get null results by
-their own row (n_words only); rows that repeat a doc_id are treated as one document with the words of each.
+nothing; a null item_id is skipped; an item_id with several texts is found where any of them is, and listed once. In report() and
+clean() every row is a document by itself, whatever its doc_id: rows are told apart by doc_id and text, and equal rows have equal
+results. The functions below them take doc_id as the key of a document.
 """
 
 from __future__ import annotations
@@ -117,10 +118,16 @@ def proximity(index: DataFrame, terms: list[str], slack: int) -> DataFrame:
     return near.groupBy("doc_id", F.col("pos").cast("long").alias("pos")).agg(F.min(F.col("high") - F.col("low")).cast("long").alias("span"))
 
 
+def _key(id_: str) -> Column:
+    """Tells rows apart that share an id."""
+    return F.struct(F.col(id_).alias("id"), F.xxhash64("text").alias("text"))
+
+
 def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items) for every document; items: sorted ids of those of which a window
+    """(doc_id, text_hash, n_words, n_hit, n_items, items) for every document; items: sorted ids of those of which a window
     occurs in it."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(_key("doc_id").alias("doc_id"), "text")
+    items = items.where("item_id is not null").select(_key("item_id").alias("item_id"), "text")
     terms = windows(items, window).select(F.explode("item_words").alias("term"))
     index = build_index(docs, terms)
     hits = stored(phrase_matches(docs, items, index, window), "hits")
@@ -129,15 +136,15 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     end = F.col("pos") + F.col("size")
     fresh = F.greatest(F.lit(0), end - F.greatest("pos", F.coalesce(F.max(end).over(before), F.col("pos"))))
     covered = spans.select("doc_id", fresh.alias("fresh")).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    found = hits.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    found = hits.select("doc_id", F.col("item_id.id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     hit = stored(covered.join(found, "doc_id"), "hit")
     lengths = index.where(F.col("term") == END).select("doc_id", F.col("pos").cast("long").alias("n_words"))
     all_ = joined_if_small(lengths, hit, "doc_id", "left", hit.count(), BROADCAST_ROWS // 10)
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return all_.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"))
+    return all_.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Docs without those in which a window of an item occurs."""
-    dropped = stored(report(docs, items, window).where("n_hit > 0").select("doc_id").distinct(), "dropped")
-    return joined_if_small(docs, dropped, "doc_id", "left_anti", dropped.count(), BROADCAST_ROWS)
+    dropped = stored(report(docs, items, window).where("n_hit > 0").select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("text")).alias("_row_key")).distinct(), "dropped")
+    return joined_if_small(docs.withColumn("_row_key", _key("doc_id")), dropped, "_row_key", "left_anti", dropped.count(), BROADCAST_ROWS).select(*docs.columns)

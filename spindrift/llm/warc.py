@@ -81,13 +81,15 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parsed(cut: DataFrame) -> DataFrame:
-    """Pieces with what their heads say. whole: the record ends where the piece does."""
+def parsed(cut: DataFrame, payloads: bool = False) -> DataFrame:
+    """Pieces with what their heads say. whole: the record ends where the piece does. payloads: with url and payload."""
     head = F.substring_index("piece", CLOSE, 1)
     rows = cut.withColumn("head", head).withColumn("bytes", F.octet_length("piece"))
     rows = rows.withColumn("length", _field(F.col("head"), "Content-Length").try_cast("long")).withColumn("head_bytes", F.octet_length("head") + 4)
     block = F.substring(F.col("piece").cast("binary"), F.col("head_bytes") + 1, F.col("length").cast("int"))
-    at = F.locate(CLOSE, F.decode(F.substring(block, 1, 8192), "ISO-8859-1"))  # of the HTTP head
+    # the HTTP head, however long; a character for each byte
+    http = F.substring_index(F.decode(block, "ISO-8859-1"), CLOSE, 1)
+    at = F.length(http) + 1
     payload = F.substring(block, at + 4, 2147483647)
     kind = F.lower(_field(F.col("head"), "WARC-Type"))
     span = F.col("head_bytes") + F.col("length") + 4
@@ -98,7 +100,8 @@ def parsed(cut: DataFrame) -> DataFrame:
         urn("WARC-Record-ID").alias("page_id"), urn("WARC-Refers-To").alias("refers_to"),
         F.regexp_extract(F.coalesce(_field(F.col("head"), "WARC-Payload-Digest"), F.lit("")), r"^sha1:(\w+)$", 1).alias("digest"),
         base32_sha1(payload).alias("own_digest"), F.octet_length(payload).cast("long").alias("own_bytes"),
-        F.regexp_extract(F.decode(F.substring(block, 1, 8192), "ISO-8859-1"), r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1).try_cast("long").alias("said_bytes"),
+        *([_field(F.col("head"), "WARC-Target-URI").alias("url"), payload.alias("payload")] if payloads else []),
+        F.regexp_extract(http, r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1).try_cast("long").alias("said_bytes"),
     )
 
 
@@ -138,17 +141,18 @@ def reachable(found: DataFrame) -> DataFrame:
     return chained.join(reached, ["file", "chain"]).where(F.col("at") >= F.col("entry")).select("file", "at", "next")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records of the archives in a folder."""
-    found = stored(placed(parsed(pieces(spark, path))), "pieces")
+def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records of the archives in a folder; with payloads also
+    (url, payload), the payload of a revisit being empty."""
+    found = stored(placed(parsed(pieces(spark, path), payloads)), "pieces")
     on_path = stored(reachable(found.where("at > 0")), "path")
     kept = found.join(on_path, ["file", "at"])
     whole = F.col("bytes") == F.col("span")
-    fields = ["page_id", "record_type", "refers_to", "digest", "own_digest", "own_bytes", "said_bytes"]
+    fields = ["page_id", "record_type", "refers_to", "digest", "own_digest", "own_bytes", "said_bytes", *(["url", "payload"] if payloads else [])]
     broken = stored(kept.where(~whole & F.col("span").isNotNull()).select("file", F.col("at").alias("begin"), "next"), "broken")
     rows = kept.where(whole).select(*fields)
     if n := broken.count():
-        rows = rows.union(_rejoined(spark, path, broken, n).select(*fields))
+        rows = rows.union(_rejoined(spark, path, broken, n, payloads).select(*fields))
     response = F.col("record_type") == "response"
     return rows.where(F.col("record_type").isin("response", "revisit")).select(
         "page_id",
@@ -156,10 +160,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.when(response, F.col("own_digest")).otherwise(F.col("digest")).alias("payload_digest"),
         "record_type",
         F.when(response, F.lit(None).cast("long")).otherwise(F.col("refers_to")).alias("refers_to"),
+        *(["url", "payload"] if payloads else []),
     )
 
 
-def _rejoined(spark: SparkSession, path: str, broken: DataFrame, n: int) -> DataFrame:
+def _rejoined(spark: SparkSession, path: str, broken: DataFrame, n: int, payloads: bool = False) -> DataFrame:
     """Records (file, begin, next) whose payloads hold version lines, parsed from their pieces put together."""
     cut = pieces(spark, path).withColumn("bytes", F.octet_length("piece"))
     places = placed(cut.select("file", "split", "row", "bytes")).select("file", "split", "row", "at")
@@ -168,7 +173,7 @@ def _rejoined(spark: SparkSession, path: str, broken: DataFrame, n: int) -> Data
     own = joined_if_small(cut.drop("bytes"), inside, ["file", "split", "row"], "inner", inside.count(), BROADCAST_ROWS)
     # as many pieces as a record has
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece), MAGIC)
-    return parsed(own.groupBy("file", F.col("begin").alias("row")).agg(text.alias("piece")).withColumn("split", F.lit(0).cast("long")))
+    return parsed(own.groupBy("file", F.col("begin").alias("row")).agg(text.alias("piece")).withColumn("split", F.lit(0).cast("long")), payloads)
 
 
 def roundtrip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns have defined results."""
 
+import base64
 import hashlib
 import zlib
 
@@ -37,7 +38,10 @@ def test_decontaminate(spark, docs, none):
     assert by[1] == by[2] == [(15, 10, ["1"])]
     assert by[3] == by[4] == [(0, 0, [])]
     assert by[9] == [(30, 20, ["1"])]
-    assert by[None] == [(15, 0, [])]
+    assert by[None] == [(15, 10, ["1"])] and sorted(by[7]) == [(0, 0, []), (2, 2, ["2"])]
+    same = docs.sparkSession.createDataFrame([(2, PASSAGE, "a"), (2, "quite clean", "b"), (None, PASSAGE, "c"), (None, "clean too", "d"), (3, PASSAGE, "e"), (3, PASSAGE, "f")], "doc_id long, text string, _key string")
+    assert sorted(r.k for r in decontaminate.clean(same.withColumnRenamed("_key", "k"), items).collect()) == ["b", "d"]
+    assert sorted((r.n_words, r.n_hit) for r in decontaminate.report(same, items).collect()) == [(2, 0), (2, 0), *[(15, 10)] * 4]
     assert decontaminate.report(none, items).count() == 0
     assert {r.n_hit for r in decontaminate.report(docs, items.where("false")).collect()} == {0}
     assert decontaminate.clean(docs, items).columns == docs.columns
@@ -62,6 +66,20 @@ def test_warc(spark):
     assert warc.roundtrip(pages.where("false")).count() == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    """A long HTTP head, a block without one, and what the records hold."""
+    def record(n, block):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Target-URI: http://h/{n}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    long = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-%d: %s\r\n" % (i, b"v" * 90) for i in range(300)) + b"\r\n"
+    (tmp_path / "a.warc").write_bytes(record(1, long + b"pay\r\n\r\nload") + record(2, b"no head at all") + record(3, b"HTTP/1.1 200 OK\r\n\r\n\xc3\xa9"))
+    got = {r.page_id: r for r in warc.read(spark, f"file://{tmp_path}", payloads=True).collect()}
+    assert (got[1].url, bytes(got[1].payload), got[1].payload_bytes) == ("http://h/1", b"pay\r\n\r\nload", 11)
+    assert (bytes(got[2].payload), got[2].payload_bytes) == (b"", 0) and bytes(got[3].payload) == b"\xc3\xa9"
+    for r in got.values():
+        assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
+
+
 def test_jaccard(docs, none):
     got = {}
     for r in jaccard_join.cluster(docs, 3, 90, 100).collect():
