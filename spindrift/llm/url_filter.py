@@ -16,13 +16,16 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, joined_if_small, stored
 
 #: Labelled urls the trees are fitted on at most; trees and their depth.
 TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 4
-#: Suffixes whose statistics are broadcast at most.
+#: Parts of the hosts; the statistics of one part's labelled urls come from the others.
+FOLDS = 5
+#: Suffixes, or path parts, by fold, whose statistics are broadcast at most.
 BROADCAST_ROWS = 100_000
 FEATURES = ["url_length", "host_length", "path_length", "host_depth", "path_depth", "digits", "entropy", "parameters", "hyphens", "fragment", "suffix_share", "suffix_blocked", "part_share", "part_blocked"]
 
@@ -85,13 +88,22 @@ def lexical(rows: DataFrame) -> DataFrame:
 
 
 def with_statistics(rows: DataFrame) -> DataFrame:
-    """Share of all urls, and share of blocked among the labelled, for a url's suffix and first path part."""
+    """Share of all urls, and share of blocked among the labelled, for a url's suffix and first path part. Hosts are dealt to FOLDS; a
+    labelled url's share of blocked is that of the other folds, so that no label, its own or its host's, is a feature of itself."""
     total = rows.count()
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
     for key in ("suffix", "part"):
-        blocked = F.count_if(F.col("given") == "block")
-        known = stored(rows.groupBy(key).agg((F.count("*") / F.lit(max(1, total))).alias(f"{key}_share"), ((blocked + 1) / (F.count("given") + 2)).alias(f"{key}_blocked")), "shares")
-        rows = joined_if_small(rows, known, key, "left", known.count(), BROADCAST_ROWS)
-    return rows
+        own = rows.groupBy(key, "fold").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count_if(F.col("given") == "block").alias("block"))
+        every = lambda c: F.sum(c).over(W.partitionBy(key))  # noqa: E731  FOLDS rows a key at most
+        smoothed = lambda block, labelled: (block + 1) / (labelled + 2)
+        known = own.select(
+            key, "fold", (every("n") / F.lit(max(1, total))).alias(f"{key}_share"), smoothed(every("block"), every("labelled")).alias("_all"),
+            smoothed(every("block") - F.col("block"), every("labelled") - F.col("labelled")).alias("_others"),
+        )
+        known = stored(known, "shares")
+        rows = joined_if_small(rows, known, [key, "fold"], "left", known.count(), BROADCAST_ROWS)
+        rows = rows.withColumn(f"{key}_blocked", F.when(F.col("given").isNotNull(), F.col("_others")).otherwise(F.col("_all"))).drop("_all", "_others")
+    return rows.drop("fold")
 
 
 def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> GBTClassificationModel | str:

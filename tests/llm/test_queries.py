@@ -76,6 +76,20 @@ def test_url_rules(spark):
         assert got[i].verdict in ({"allow", "block"} if rule is None else {URL_RULES[rule]})
 
 
+def test_urls_without_a_rule_are_judged_by_their_form(spark):
+    """Trees fitted on the labelled hosts tell the urls of hosts that no rule names."""
+    dice = random.Random(21)
+    bad = lambda host: f"http://{host}/p{dice.randint(10**6, 10**9)}-{dice.randint(1, 99)}?a={dice.randint(1, 9)}&b={dice.randint(10**4, 10**7)}&c=1"
+    good = lambda host: f"http://{host}/{dice.choice(['about', 'team', 'news', 'help'])}/{dice.choice(['us', 'all', 'archive', 'index'])}"
+    name = lambda: "".join(dice.choices("abcdefgh", k=dice.randint(3, 9)))
+    rows = [(bad(f"{name()}.bad.net"), None) for _ in range(150)] + [(good(f"{name()}.good.net"), None) for _ in range(150)]
+    rows += [(bad(f"{name()}.net"), "block") for _ in range(100)] + [(good(f"{name()}.net"), "allow") for _ in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, {"bad.net/": "block", "good.net/": "allow"}).collect()}
+    held_out = [(got[i], want) for i, (_, want) in enumerate(rows) if want]
+    assert sum(a == b for a, b in held_out) >= 0.95 * len(held_out)
+
+
 def test_long_words_are_merged_as_the_library_does(spark):
     dice = random.Random(1)
     long = ["".join(dice.choices("abcdefghinorstä", k=n)) for n in (sentencepiece_bpe.LONG - 1, sentencepiece_bpe.LONG + 1, 3 * sentencepiece_bpe.LONG)]
