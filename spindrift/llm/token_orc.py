@@ -1,6 +1,6 @@
 """Token ids in ORC files: encode, write in document order, read back.
 
-Files hold rows (part, place, doc_id, ids) in ascending doc_id order. ORC stores the integers run-length
+Files hold rows (part, place, doc_id, n, ids) in ascending doc_id order, n being the number of ids. ORC stores the integers run-length
 encoded, in stripes with a row index and a Bloom filter on doc_id, so that readers take stripes in parallel
 and a lookup by doc_id reads only the stripes and row groups that can hold it. `place` is the number of ids
 before the row in its file; with the files' totals it gives every document's place in the whole corpus.
@@ -42,11 +42,11 @@ AS_IS = "\ud800"
 _printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _others = [b for b in range(256) if b not in _printing]
 BYTES = "".join(chr(b if b in _printing or b == 10 else 256 + _others.index(b)) for b in range(256))
-SCHEMA = "part int, place long, doc_id long, ids array<int>"
+SCHEMA = "part int, place long, doc_id long, n int, ids array<int>"
 
 
 @cache
-def _tokenizer(path: str, plain: bool = False):
+def _tokenizer(path: str, plain: bool):
     """plain: the names of special tokens within a text are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
@@ -59,7 +59,7 @@ def _tokenizer(path: str, plain: bool = False):
 @cache
 def _special(path: str) -> re.Pattern:
     """The names of special tokens: within a text they are those tokens, as the library has it."""
-    names = [re.escape(x.content) for x in _tokenizer(path).get_added_tokens_decoder().values()]
+    names = [re.escape(x.content) for x in _tokenizer(path, False).get_added_tokens_decoder().values()]
     return re.compile("|".join(names) or r"(?!)")
 
 
@@ -104,7 +104,7 @@ def _encoder(path: str) -> SegmentIds:
 
 
 def encode_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, files: int) -> DataFrame:
-    """(part, place, doc_id, ids) with the rows of each partition in doc_id order."""
+    """Rows of SCHEMA, those of each partition in doc_id order."""
     schema = T._parse_datatype_string(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +117,8 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, files: int)
                 ends = np.cumsum(lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(own.num_rows, part, np.int32)), pa.array(place + ends - lengths), own.column(0), lists],
-                    names=["part", "place", "doc_id", "ids"],
+                    [pa.array(np.full(own.num_rows, part, np.int32)), pa.array(place + ends - lengths), own.column(0), pa.array(lengths.astype(np.int32)), lists],
+                    names=["part", "place", "doc_id", "n", "ids"],
                 )
                 place += int(ends[-1])
 
@@ -152,7 +152,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): start is the number of ids of all documents before."""
     rows = read_orc(spark, path)
-    total = rows.groupBy("part").agg(F.max(F.col("place") + F.size("ids")).alias("total"))
+    total = rows.groupBy("part").agg(F.max(F.col("place") + F.col("n")).alias("total"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     # one row for each file
     base = total.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
