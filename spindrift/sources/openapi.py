@@ -95,16 +95,17 @@ def _first_media(content: Column) -> Column:
 def endpoints(docs: DataFrame) -> DataFrame:
     """(document_id, endpoint_id, idx, method, path, operation_id, summary, description, tags, parameters, request_body,
     responses), in the documents' order."""
-    head = headers(docs)
-    paths = head.select("document_id", "flavour", F.col("text"), F.posexplode(as_map(member(F.col("text"), "paths"))).alias("at", "path", "item"))
+    # what is read of the whole text is read once a document: a row a path or verb doesn't carry the text
+    media_type = lambda name: F.coalesce(F.get(as_items(member(F.col("text"), name)), F.lit(0)), F.lit("application/json")).alias(name)
+    head = headers(docs).select("document_id", "flavour", media_type("consumes"), media_type("produces"), member(F.col("text"), "paths").alias("paths"))
+    paths = head.select("document_id", "flavour", "consumes", "produces", F.posexplode(as_map(F.col("paths"))).alias("at", "path", "item")).repartition("document_id", "at")
     shared = F.when(F.col("flavour") == "openapi3", as_items(member(F.col("item"), "parameters"))).otherwise(F.array().cast(_ITEMS))
-    verbs = paths.select("document_id", "flavour", "text", "at", "path", shared.alias("shared"), F.posexplode(as_map(F.col("item"))).alias("verb_at", "verb", "op"))
+    verbs = paths.select("document_id", "flavour", "consumes", "produces", "at", "path", shared.alias("shared"), F.posexplode(as_map(F.col("item"))).alias("verb_at", "verb", "op"))
     verbs = verbs.where(F.lower("verb").isin(VERBS) & F.col("op").startswith("{"))
     old = F.col("flavour") == "swagger2"
     listed = F.concat("shared", as_items(member(F.col("op"), "parameters")))
     in_body = F.get(F.filter(listed, lambda p: member(p, "in") == "body"), F.lit(0))
-    consumes = F.coalesce(F.get(as_items(member(F.col("text"), "consumes")), F.lit(0)), F.lit("application/json"))
-    produces = F.coalesce(F.get(as_items(member(F.col("text"), "produces")), F.lit(0)), F.lit("application/json"))
+    consumes, produces = F.col("consumes"), F.col("produces")
     body = lambda kind, schema, required, example: F.struct(kind.alias("content_type"), F.coalesce(schema, F.lit("{}")).alias("schema"), F.coalesce(required == "true", F.lit(False)).alias("required"), example.alias("example"), _reference(schema).alias("schema_ref"))
     media = _first_media(member(F.col("op"), "requestBody", "content"))
     some = F.get(F.map_values(as_map(member(media["value"], "examples"))), F.lit(0))

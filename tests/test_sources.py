@@ -55,3 +55,30 @@ def test_request_samples_and_related(spark):
     assert tagged.count() == 2
     raw = catalog.raw_texts(spark.createDataFrame([("d", API)], "document_id string, raw_text string"), spark.createDataFrame([("d",), ("z",)], "document_id string"))
     assert {r.document_id: (r.raw_text, r.code) for r in raw.collect()} == {"d": (API, None), "z": (None, "document_not_found")}
+
+
+def test_endpoints_do_not_carry_the_text_of_their_document(spark):
+    # a row a path that carried its document's text took as many bytes as paths times text
+    docs = spark.createDataFrame([("d", '{"swagger":"2.0","consumes":["a/b"],"produces":["c/d"],"paths":{"/x":{"post":{"parameters":[{"name":"b","in":"body"}],"responses":{"200":{}}}}}}')], "document_id string, text string")
+    rows = openapi.endpoints(docs)
+    row = rows.first()
+    assert (row.request_body.content_type, row.responses[0].content_type) == ("a/b", "c/d")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text#" not in line.partition("Generate posexplode")[2] for line in plan.split("\n"))
+
+
+def test_related_endpoints_are_the_first_of_all_they_meet(spark):
+    # met by tag and by part of the path at once, among more rows of a key than are asked for
+    ends = [(n, "GET", f"/{n % 3}/{(n * 7) % 40:02}", [f"t{n % 2}"]) for n in range(40)]
+    rows = spark.createDataFrame(ends, "key int, method string, path string, tags array<string>")
+    want = {}
+    for a in ends:
+        near = sorted((b[2], b[1], b[0]) for b in ends if a[0] != b[0] and (set(a[3]) & set(b[3]) or a[2].split("/")[1] == b[2].split("/")[1]))
+        want[a[0]] = [k for *_, k in near[:4]]
+    found = catalog.related(rows, rows, 4)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.asked, []).append(r.key)
+    assert got == want
+    # no key gives more rows to the join than can be answers
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
