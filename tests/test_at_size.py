@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
 from spindrift.operators import ranking
+from spindrift.operators.indexes import build_keyword_index
 from spindrift.plans import catalogue
 
 
@@ -53,3 +54,30 @@ def test_length_is_computed_once_a_vector(spark):
     assert [r.u for r in rows.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("SQRT") == 1
+
+
+@pytest.mark.parametrize("seeds", [3, 12])
+def test_pruned_keyword_arm_is_the_whole_one(spark, monkeypatch, seeds):
+    rng = random.Random(7)
+    monkeypatch.setattr(ranking, "SEEDS", seeds)
+    monkeypatch.setattr(ranking, "IMPACTS", 4)
+    words = [f"w{n}" for n in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (x + 1) for x in range(40)], k=n))
+    docs = spark.createDataFrame([(n, f"p{n % 3}", text(rng.choice([0, 2, 5, 20, 80]))) for n in range(150)], "doc_id int, project string, text string")
+    queries = spark.createDataFrame([(n, text(n % 9), [text(3)]) for n in range(25)] + [(90, "none such", ["w0"])], "query_id int, text string, variants array<string>")
+    index = build_keyword_index(docs, "doc_id", scope=("project",))
+    for own in (index, index.scoped(F.col("project") != "p1")):
+        for asked in (queries, queries.drop("variants")):
+            rows = lambda found: sorted((r.query_id, r.key, r["rank"], round(r.score, 6)) for r in found.collect())
+            assert rows(own.topk(asked, 4)) == rows(ranking.keyword_topk(own.rows, asked, 4, own.slices))
+    # a document is looked at for some of the terms only
+    hits = ranking.pruned_hits(index.rows, queries, 4, index.slices, index.terms, index.docs).count()
+    assert seeds < 4 or hits < ranking.keyword_hits(index.rows, queries, index.slices).count() / 2
+
+
+def test_keys_of_several_scopes_are_not_pruned(spark):
+    docs = spark.createDataFrame([(1, "p", "a b"), (1, "q", "a a"), (2, "p", "a")], "doc_id int, project string, text string")
+    index = build_keyword_index(docs, "doc_id", scope=("project",))
+    assert index.docs is None
+    asked = spark.createDataFrame([(1, "a b")], "query_id int, text string")
+    assert [(r.key, r["rank"]) for r in index.topk(asked, 1).collect()] == [(1, 1)]
