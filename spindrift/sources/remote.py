@@ -60,11 +60,12 @@ def block_text(block: Column, kind: Column) -> Column:
 def page_bodies(roots: DataFrame, blocks: DataFrame, depth: int = MAX_DEPTH, lines: int = MAX_LINES) -> DataFrame:
     """(page_id, text) of pages (page_id) from blocks (block_id, parent_id, ordinal, type, block): depth first, to a bounded
     depth, not into child pages, the first `lines` lines."""
-    own = blocks.select("block_id", "parent_id", "ordinal", "type", block_text(F.col("block"), F.col("type")).alias("line"))
+    # every level reads the blocks and the level above: both are worked out once
+    own = kept(blocks.select("block_id", "parent_id", "ordinal", "type", block_text(F.col("block"), F.col("type")).alias("line")), "blocks")
     level = roots.select("page_id", F.col("page_id").alias("at"), F.array().cast("array<int>").alias("way"))
     found = None
     for _ in range(depth):
-        here = level.join(own, F.col("at") == F.col("parent_id")).select("page_id", F.col("block_id").alias("at"), F.concat("way", F.array("ordinal")).alias("way"), "type", "line")
+        here = kept(level.join(own, F.col("at") == F.col("parent_id")).select("page_id", F.col("block_id").alias("at"), F.concat("way", F.array("ordinal")).alias("way"), "type", "line"), "blocks")
         found = here if found is None else found.union(here)
         level = here.where("type <> 'child_page'").select("page_id", "at", "way")
     text = F.slice(F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("way", "line")))), 1, lines)

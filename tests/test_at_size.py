@@ -10,6 +10,7 @@ from spindrift.functions import vectors as V
 from spindrift.operators import ranking
 from spindrift.operators.indexes import build_keyword_index
 from spindrift.plans import catalogue
+from spindrift.sources import remote
 
 
 def test_hash_embed_rounds_as_sql_and_leaves_out_texts_without_terms(spark, tmp_path):
@@ -81,3 +82,11 @@ def test_keys_of_several_scopes_are_not_pruned(spark):
     assert index.docs is None
     asked = spark.createDataFrame([(1, "a b")], "query_id int, text string")
     assert [(r.key, r["rank"]) for r in index.topk(asked, 1).collect()] == [(1, 1)]
+
+
+def test_blocks_are_read_once_for_all_levels(spark):
+    # their texts were worked out anew for each level and all levels above it, ten times for four
+    blocks = spark.createDataFrame([(f"b{n}", "p" if n == 0 else f"b{n - 1}", n, "paragraph", f'{{"paragraph":{{"rich_text":[{{"plain_text":"x{n}"}}]}}}}') for n in range(6)], "block_id string, parent_id string, ordinal int, type string, block string")
+    found = remote.page_bodies(spark.createDataFrame([("p",)], "page_id string"), blocks)
+    assert [tuple(r) for r in found.collect()] == [("p", "x0\nx1\nx2\nx3")]
+    assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
