@@ -47,14 +47,18 @@ def property_text(prop: Column, nested: bool = True) -> Column:
 def block_text(block: Column, kind: Column) -> Column:
     """A block, whose content is the member named like its type, with its Markdown prefix; the cells of a table row that
     aren't empty are joined by ` | `."""
-    content = F.call_function("get_json_object", block, F.concat(F.lit("$['"), kind, F.lit("']")))
-    said = [F.trim(plain(member(content, x))) for x in ("rich_text", "caption")] + [F.trim(F.coalesce(member(content, x), F.lit(""))) for x in ("title", "url", "expression")]
-    cells = F.array_join(F.filter(F.transform(as_items(member(content, "cells")), lambda x: F.trim(plain(x))), lambda x: x != ""), " | ")
-    text = F.concat_ws(" ", F.nullif(said[0], F.lit("")), F.nullif(cells, F.lit("")), *[F.nullif(x, F.lit("")) for x in said[1:]])
     marks = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])
-    done = F.when(member(content, "checked") == "true", "- [x] ").otherwise("- [ ] ")
-    prefix = F.when(kind == "to_do", done).otherwise(F.coalesce(F.try_element_at(marks, kind), F.lit("")))
-    return F.when(text == "", "").otherwise(F.concat(prefix, text))
+
+    def said(content: Column) -> Column:
+        cells = F.array_join(F.filter(F.transform(as_items(member(content, "cells")), lambda x: F.trim(plain(x))), lambda x: x != ""), " | ")
+        parts = [F.trim(plain(member(content, "rich_text"))), cells, F.trim(plain(member(content, "caption")))] + [F.trim(F.coalesce(member(content, x), F.lit(""))) for x in ("title", "url", "expression")]
+        done = F.when(member(content, "checked") == "true", "- [x] ").otherwise("- [ ] ")
+        prefix = F.when(kind == "to_do", done).otherwise(F.coalesce(F.try_element_at(marks, kind), F.lit("")))
+        return once(F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " "), lambda text: F.when(text == "", "").otherwise(F.concat(prefix, text)))
+
+    # what is used several times is an item of an array, else it is worked out each time
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return once(F.call_function("get_json_object", block, F.concat(F.lit("$['"), kind, F.lit("']"))), said)
 
 
 def page_bodies(roots: DataFrame, blocks: DataFrame, depth: int = MAX_DEPTH, lines: int = MAX_LINES) -> DataFrame:
