@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from spindrift.functions import vectors as V
 from spindrift.operators import ranking
 from spindrift.operators.indexes import build_keyword_index
 from spindrift.plans import catalogue
-from spindrift.sources import remote
+from spindrift.sources import office, remote
 
 
 def test_hash_embed_rounds_as_sql_and_leaves_out_texts_without_terms(spark, tmp_path):
@@ -90,3 +91,10 @@ def test_blocks_are_read_once_for_all_levels(spark):
     found = remote.page_bodies(spark.createDataFrame([("p",)], "page_id string"), blocks)
     assert [tuple(r) for r in found.collect()] == [("p", "x0\nx1\nx2\nx3")]
     assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_office_files_are_read_a_few_at_a_time():
+    # all contents of an Arrow batch, 10,000 rows, were Python objects at once
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{n}.docx" for n in range(1000)])], names=["path"])
+    parts = list(office._few(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 64 and [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
