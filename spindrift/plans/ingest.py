@@ -21,6 +21,8 @@ from ..sources.store import KEY, Snapshot, Store
 
 #: Documents of a batch, about.
 BATCH_ROWS = 100_000
+#: Files that the rows of a batch are dealt to.
+DEALT = 16
 #: Tables whose rows belong to a document.
 OWNED = ("documents", "endpoints", "schemas", "sections", "chunks")
 DOCUMENTS = "document_id string, project string, source_url string, title string, version string, doc_type string, content_hash string, raw_text string, indexed_at timestamp"
@@ -30,6 +32,27 @@ def _part(batches: int, n: int) -> Column:
     return F.pmod(F.xxhash64(F.col(KEY).cast("string")), F.lit(batches)) == n
 
 
+def _dealt(rows: DataFrame, label: str) -> Callable[[int, int], DataFrame]:
+    """The rows of each batch, given the number of batches and its own. Rows of several batches are written once, in a folder for each batch:
+    if every batch looked for its own in all rows, the work would grow with their square."""
+    paths: dict[int, str] = {}
+
+    def part(batches: int, n: int) -> DataFrame:
+        if batches == 1:
+            return rows
+        if batches not in paths:
+            paths[batches] = storage.fresh(rows.sparkSession, label)
+            # rows of a batch come together in DEALT places, so that a folder has few files
+            own = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(KEY).cast("string")), F.lit(batches)))
+            own.repartition("_part", F.pmod(F.xxhash64(F.col(KEY).cast("string"), F.lit(1)), F.lit(DEALT))).write.option("compression", "zstd").partitionBy("_part").parquet(paths[batches])
+        path = f"{paths[batches]}/_part={n}"
+        if not storage.exists(rows.sparkSession, path):
+            return rows.sparkSession.createDataFrame([], rows.schema)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    return part
+
+
 def _batched(store: Store, run: str, rows: int, work: Callable[[Snapshot, int, int], tuple[dict, dict, dict]], batch_rows: int) -> dict:
     """Does the batches of a run that aren't done yet, and adds up what all of its batches counted."""
     known = store.snapshot().log.get(f"{run}/plan")
@@ -83,9 +106,10 @@ def ingest(store: Store, raw: DataFrame, run: str, now: datetime, force: bool =
     count for each status."""
 
     owners = raw.where("source_url is not null").groupBy("source_url").agg(F.min(KEY).alias("first"))
+    dealt = _dealt(raw, "raw")
 
     def work(base: Snapshot, batches: int, n: int) -> tuple[dict, dict, dict]:
-        own = raw.where(_part(batches, n))
+        own = dealt(batches, n)
         stored = _stored(base, "documents", DOCUMENTS)
         result = storage.kept(outcome(own, stored, owners, force), "outcome")
         changed = own.join(result.where("status in ('registered', 'reindexed')").select(KEY), KEY, "left_semi")
@@ -180,10 +204,14 @@ def reembed(store: Store, run: str, model: str, embed: Callable[[DataFrame], Dat
     """Embeds the chunks whose text or model has changed, and drops the vectors of chunks that are gone. embed: of
     (chunk_id, text), (chunk_id, embedding); a chunk it leaves out has a null vector. Returns embedded and kept."""
     schema = "document_id string, chunk_id string, text_hash string, model string, embedding array<double>"
+    start = store.snapshot()
+    # a batch changes vectors of its own documents only, so those of the others are as they were at the start
+    dealt = _dealt(start.table("chunks").select(KEY, "chunk_id", "text"), "chunks")
+    before = _dealt(_stored(start, "embeddings", schema), "embeddings")
 
     def work(base: Snapshot, batches: int, n: int) -> tuple[dict, dict, dict]:
-        texts = base.table("chunks").where(_part(batches, n)).select(KEY, "chunk_id", "text")
-        old = _stored(base, "embeddings", schema).where(_part(batches, n))
+        texts = dealt(batches, n)
+        old = before(batches, n)
         todo = storage.kept(pending_embeddings(texts, old, model), "pending")
         done = todo.join(embed(todo.select("chunk_id", "text")), "chunk_id", "left").select(KEY, "chunk_id", "text_hash", F.lit(model).alias("model"), F.col("embedding").cast("array<double>").alias("embedding"))
         hashed = texts.select("chunk_id", T.content_hash("text").alias("text_hash"))
@@ -193,4 +221,4 @@ def reembed(store: Store, run: str, model: str, embed: Callable[[DataFrame], Dat
         counted = {"embedded": todo.count(), "kept": kept.count()}
         return {"embeddings": done.unionByName(kept.join(stale, KEY, "left_semi"))}, {"embeddings": stale}, counted
 
-    return _batched(store, run, store.snapshot().table("chunks").count(), work, batch_rows)
+    return _batched(store, run, start.table("chunks").count(), work, batch_rows)

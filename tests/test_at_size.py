@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import pyarrow as pa
 import pytest
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from spindrift.functions import vectors as V
 from spindrift.operators import ranking
 from spindrift.operators.indexes import build_keyword_index
-from spindrift.plans import catalogue
+from spindrift.plans import catalogue, ingest
 from spindrift.sources import office, remote
+from spindrift.sources.store import Store
 
 
 def test_hash_embed_rounds_as_sql_and_leaves_out_texts_without_terms(spark, tmp_path):
@@ -98,3 +100,30 @@ def test_office_files_are_read_a_few_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array([f"{n}.docx" for n in range(1000)])], names=["path"])
     parts = list(office._few(iter([batch])))
     assert max(p.num_rows for p in parts) <= 64 and [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_batches_read_their_own_rows(spark, tmp_path, monkeypatch):
+    # each batch looked for its rows in those of all
+    calls = []
+    deal = ingest._dealt
+
+    def dealt(rows, label):
+        part = deal(rows, label)
+
+        def own(batches, n):
+            found = part(batches, n)
+            calls.append((label, {f.split("/")[-2] for f in found.inputFiles()}, found.count()))
+            return found
+
+        return own
+
+    monkeypatch.setattr(ingest, "_dealt", dealt)
+    raw = spark.createDataFrame([(str(n), "p", None, f"# T{n}\ntext {n}", "markdown") for n in range(90)], "document_id string, project string, source_url string, text string, doc_type string")
+    store = Store(spark, str(tmp_path))
+    assert ingest.ingest(store, raw, "first", datetime(2024, 1, 1), batch_rows=30) == {"registered": 90, "total": 90}
+    embed = lambda todo: todo.select("chunk_id", F.array(F.lit(1.0)).alias("embedding"))
+    assert ingest.reembed(store, "e", "m", embed, batch_rows=30) == {"embedded": 90, "kept": 0}
+    assert ingest.reembed(store, "again", "m", embed, batch_rows=30) == {"embedded": 0, "kept": 90}
+    for label in ("raw", "chunks"):
+        own = [c for c in calls if c[0] == label]
+        assert len(own) == 3 * (1 + (label == "chunks")) and all(len(c[1]) == 1 and c[1] == {f"_part={n % 3}"} for n, c in enumerate(own)) and sum(c[2] for c in own[:3]) == 90
