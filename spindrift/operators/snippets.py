@@ -27,7 +27,9 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 def _places(text: Column, wanted: Column) -> Column:
     """Places, from 0, of the terms in the text: as they are, else with white space left out of the text."""
     # the place in the text of each character that isn't white space; worked out only where a term needs it
-    solid = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(SPACE), i)), lambda i: i.isNotNull())
+    # printable ASCII is told from white space without a pattern
+    shown = lambda c: ((c > " ") & (c <= "~")) | ~c.rlike(SPACE)
+    solid = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(shown(c), i)), lambda i: i.isNotNull())
 
     def found(x: Column) -> Column:
         needed = F.exists(wanted, lambda t: ~F.contains(x["low"], t) & F.contains(x["tight"], t))
@@ -54,7 +56,9 @@ def snippet(text: Column, wanted: Column) -> Column:
 
 
 def with_snippets(rows: DataFrame) -> DataFrame:
-    """Rows (query, title, text, ...) with the column snippet; an empty text gets a note that names query and title."""
+    """Rows (query, title, text, ...) with the column snippet; an empty text gets a note that names query and title. Rows are dealt out
+    by query and text first: the long texts that most queries find would else be searched for all of them in the task that read them."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query", F.xxhash64("text"))
     note = F.concat(F.lit("No passage for '"), F.col("query"), F.lit("' found in the text. Only the title matches: "), F.col("title"))
     own = rows.withColumn("_wanted", F.array_distinct(T.terms("query")))
     return own.withColumn("snippet", F.when(F.coalesce("text", F.lit("")) != "", snippet(F.col("text"), F.col("_wanted"))).otherwise(note)).drop("_wanted")

@@ -124,3 +124,12 @@ def test_streamed_refresh(spark, tmp_path):
 def test_event_counts_keep_a_watermark(spark):
     rows = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("x").alias("event_type"))
     assert refresh.event_counts(rows).isStreaming
+
+
+def test_snippets_of_one_text_are_dealt_to_several_tasks(spark):
+    # one text that all queries find; its rows came from the one task that read it
+    text = "pay for an order here\x1c\u00a0or\u2003t h ere é~ " * 50
+    rows = spark.createDataFrame([(i, f"order {i}", "T", text) for i in range(60)], "id int, query string, title string, text string").coalesce(1)
+    got = snippets.with_snippets(rows).select("id", "query", "snippet", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in got}) > 1 and {r.id for r in got} == set(range(60))
+    assert all(r.snippet == plain_snippet(text, ["order", str(r.id)]) for r in got)
