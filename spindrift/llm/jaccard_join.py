@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, packets
-from .common import joined_if_small, stored
+from .common import freed, joined_if_small, stored
 from .linking import link
 
 #: Ratio of the largest sizes of neighbouring bands.
@@ -186,14 +186,16 @@ def _clustered(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     # any row of a class has its keys; only the one of the smallest id gives them
     first = signed.where("size(keys) > 0").join(classes.select("v", "doc_id"), ["v", "doc_id"])
     members = first.select("v", F.explode("keys").alias("key")).distinct()
-    def with_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """pairs with n_a, n_b, and added: what the set of a has beyond that of b, and gone: the reverse."""
+
+    def with_sets(pairs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+        """pairs with n_a, n_b, and added: what the set of a has beyond that of b, and gone: the reverse; the sets, to be freed after that."""
         wanted = stored(pairs.select(F.explode(F.array(a, b)).alias("v")).distinct().join(classes.select("v", "doc_id"), "v"), "wanted")
         texts = joined_if_small(docs, wanted, "doc_id", "inner", wanted.count(), BROADCAST_IDS)
         sets = stored(_sets(texts, shingle).dropDuplicates(["v"]), "sets")
+        freed(wanted)
         own = [sets.select(F.col("v").alias(c), F.col("shingles").alias(f"set_{s}")) for c, s in ((a, "a"), (b, "b"))]
         both = pairs.join(own[0], a).join(own[1], b)
-        return both.select(a, b, F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.array_except("set_a", "set_b").alias("added"), F.array_except("set_b", "set_a").alias("gone"))
+        return both.select(a, b, F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.array_except("set_a", "set_b").alias("added"), F.array_except("set_b", "set_a").alias("gone")), sets
 
     bounds = classes.select("v", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)])
 
@@ -205,10 +207,13 @@ def _clustered(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
 
     def check(pairs: DataFrame) -> DataFrame:
         shared = F.col("n_a") - F.size("added")
-        return with_sets(pairs, "a", "b").where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
+        both, sets = with_sets(pairs, "a", "b")
+        linked = stored(both.where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b"), "links")
+        freed(sets)
+        return linked
 
     def narrow(pairs: DataFrame) -> DataFrame:
-        both = with_sets(pairs, "v", "p")
+        both, sets = with_sets(pairs, "v", "p")
         shared = F.col("n_a") - F.size("added")
         linked = shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p
         #: by how much, times p + q, the difference from the pivot is more than that of a linked set
@@ -216,6 +221,7 @@ def _clustered(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
         reach = F.floor(F.col("n_a") * F.lit(q - p) / F.lit(p)).cast("int") + 1
         both = both.select("v", "p", linked.alias("linked"), excess.alias("excess"), (F.col("n_b") - F.col("n_a")).alias("less"), F.slice(F.array_sort("added"), 1, reach).alias("added"), F.slice(F.array_sort("gone"), 1, F.greatest(reach - F.size("added"), F.lit(0))).alias("gone"))
         both = stored(both, "differences")
+        freed(sets)
         small = (F.col("less") > 0) | (~F.col("linked") & (F.col("excess") <= 2 * p * F.col("most")))
         keys = F.when(small, F.concat("added", "gone")).otherwise(F.col("added"))
         return both.join(both.groupBy("p").agg(F.max("less").alias("most")), "p").select("v", "p", keys.alias("keys"))
@@ -225,12 +231,15 @@ def _clustered(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = grouped.join(least, "label").select("v", "component_id")
     whole = signed.select("doc_id", "own", "n_shingles", "v").join(component, "v", "left")
-    return whole.select("doc_id", "own", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = stored(whole.select("doc_id", "own", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    freed(signed, classes, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     """Without the documents that are linked, directly or through others, with one of a smaller id."""
-    dropped = _clustered(docs, shingle, p, q).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).distinct()
-    dropped = stored(dropped, "dropped")
+    clustered = _clustered(docs, shingle, p, q)
+    dropped = stored(clustered.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).distinct(), "dropped")
+    freed(clustered)
     same = (docs.doc_id == dropped["_id"]) & (F.xxhash64(docs.text) == dropped["_own"])
     return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, same, "left_anti")
