@@ -27,6 +27,7 @@ or keeps each by its own text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ BAND_RATIO = 1.5
 SKETCH_BITS = 1024
 #: Ids of candidates that are broadcast at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Pairs whose sets are compared at once at least; of many sets, one for every four.
+PAIRS = 5000
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -208,9 +211,12 @@ def _clustered(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     def check(pairs: DataFrame) -> DataFrame:
         shared = F.col("n_a") - F.size("added")
         both, sets = with_sets(pairs, "a", "b")
-        linked = stored(both.where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b"), "links")
+        # two sets travel with every pair; by parts, their disk is bounded by that of the sets
+        parts = max(1, -(-pairs.count() // max(PAIRS, sets.count() // 4)))
+        linked = both.where(shared * q >= (F.col("n_a") + F.col("n_b") - shared) * p).select("a", "b")
+        linked = [stored(linked.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part), "links") for part in range(parts)]
         freed(sets)
-        return linked
+        return reduce(DataFrame.union, linked)
 
     def narrow(pairs: DataFrame) -> DataFrame:
         both, sets = with_sets(pairs, "v", "p")
