@@ -49,16 +49,17 @@ def needs_body(changes: DataFrame, stored: DataFrame) -> DataFrame:
 
 def body_actions(bodies: DataFrame, documents: DataFrame, force: bool = False) -> DataFrame:
     """(document_id, content_hash, action) of read bodies (document_id, text, status): index, skip (same content), clear (empty), or failed. A
-    failure concerns its own row only."""
-    hashed = bodies.select("document_id", "text", "status", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
-    known = documents.select("document_id", F.col("content_hash").alias("known"))
+    failure concerns its own row only; every body is one row, also where an id is stored or read more than once."""
+    text = F.coalesce("text", F.lit(""))
+    hashed = bodies.select("document_id", (~text.rlike(r"(?U)\S")).alias("empty"), "status", F.sha2(text, 256).alias("content_hash"))
+    known = documents.select("document_id", "content_hash").distinct().withColumn("known", F.lit(True))
     action = (
         F.when(F.col("status") != "ok", "failed")
-        .when(F.trim(F.coalesce("text", F.lit(""))) == "", "clear")
-        .when((F.col("known") == F.col("content_hash")) & F.lit(not force), "skip")
+        .when(F.col("empty"), "clear")
+        .when(F.coalesce("known", F.lit(False)) & F.lit(not force), "skip")
         .otherwise("index")
     )
-    return hashed.join(known, "document_id", "left").select("document_id", "content_hash", action.alias("action"))
+    return hashed.join(known, ["document_id", "content_hash"], "left").select("document_id", "content_hash", action.alias("action"))
 
 
 def resync_summary(actions: DataFrame) -> DataFrame:
