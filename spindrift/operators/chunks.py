@@ -57,7 +57,8 @@ def section_text():
 
 def word_count(text: Column) -> Column:
     """The default count of tokens."""
-    return F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""))
+    # split() would compile its pattern anew for every sentence
+    return F.regexp_count(text, F.lit(SPACE.replace("[", "[^", 1) + "++"))
 
 
 def _packed(parts: Column, glue: str, budget: Column, finer: Callable[[Column], Column]) -> Column:
@@ -93,10 +94,16 @@ def section_parts(title: Column, content: Column, limit: int) -> Column:
     """Texts of a section that hold up to `limit` words; each begins with the title. Paragraphs are put together, of a
     longer paragraph sentences, and a longer sentence is cut between words."""
     head = F.when(title != "", F.concat(F.lit("# "), title, F.lit("\n"))).otherwise("")
-    budget = F.greatest(F.lit(1), F.lit(limit) - word_count(head))
-    sentences = lambda p: _packed(F.filter(F.split(p, BOUNDARY), lambda x: x != ""), " ", budget, lambda x: _cut(x, budget))
-    parts = _packed(F.split(content, "\n\n"), "\n\n", budget, sentences)
-    return F.when(word_count(head) + word_count(content) <= limit, F.array(F.concat(head, content))).otherwise(F.transform(parts, lambda x: F.concat(head, x)))
+
+    def parts(own: Column) -> Column:
+        budget = own["budget"]
+        sentences = lambda p: _packed(F.filter(F.split(p, BOUNDARY), lambda x: x != ""), " ", budget, lambda x: _cut(x, budget))
+        made = _packed(F.split(own["content"], "\n\n"), "\n\n", budget, sentences)
+        return F.when(own["n"] <= limit, F.array(F.concat(own["head"], own["content"]))).otherwise(F.transform(made, lambda x: F.concat(own["head"], x)))
+
+    # within one array, so that the title's words are counted once a section, not once a sentence
+    own = F.struct(head.alias("head"), content.alias("content"), F.greatest(F.lit(1), F.lit(limit) - word_count(head)).alias("budget"), (word_count(head) + word_count(content)).alias("n"))
+    return F.get(F.transform(F.array(own), parts), F.lit(0))
 
 
 def split_sections(sections: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:

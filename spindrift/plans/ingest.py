@@ -21,6 +21,8 @@ from ..sources.store import KEY, Snapshot, Store
 
 #: Documents of a batch, about.
 BATCH_ROWS = 100_000
+#: Ids that are broadcast at most, beside the texts they belong to.
+BROADCAST_ROWS = 500_000
 #: Files that the rows of a batch are dealt to.
 DEALT = 16
 #: Tables whose rows belong to a document.
@@ -79,7 +81,8 @@ def _stored(base: Snapshot, name: str, schema: str) -> DataFrame:
 def parsed(docs: DataFrame, limit: int | None = chunks.TOKEN_LIMIT) -> dict[str, DataFrame]:
     """endpoints, schemas, sections and chunks of routed docs (document_id, text, source_url, doc_type)."""
     specs = docs.where("doc_type = 'openapi'")
-    own = {"endpoints": openapi.endpoints(specs), "schemas": openapi.schemas(specs), "sections": sections.sections(docs)}
+    # sections are a table of their own and become chunks: they are made once
+    own = {"endpoints": openapi.endpoints(specs), "schemas": openapi.schemas(specs), "sections": storage.kept(sections.sections(docs), "sections")}
     return {**own, "chunks": chunks.build_chunks(own["endpoints"], own["schemas"], own["sections"], limit)}
 
 
@@ -87,15 +90,14 @@ def outcome(raw: DataFrame, stored: DataFrame, owners: DataFrame, force: bool =
     """(document_id, status, content_hash, code, message) for raw documents (document_id, project, source_url, text[, doc_type]): registered,
     reindexed, skipped (the same content, unless forced), or failed, which concerns that document only. owners: (source_url, first), the document
     of raw that a url falls to; one that is stored goes before."""
-    _, rejected = sections.routed(raw)
-    hashed = raw.select(KEY, F.trim(F.coalesce("project", F.lit(""))).alias("project"), "source_url", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    known = stored.select(KEY, F.col("content_hash").alias("known"))
+    hashed = sections.marked(raw).select(KEY, F.trim(F.coalesce("project", F.lit(""))).alias("project"), "source_url", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), "message")
+    known = stored.groupBy(KEY).agg(F.collect_set("content_hash").alias("known"))
     owner = stored.where("source_url is not null").select("source_url", F.col(KEY).alias("owner"))
-    rows = hashed.join(owners, "source_url", "left").join(owner, "source_url", "left").join(known, KEY, "left").join(rejected, KEY, "left")
+    rows = hashed.join(owners, "source_url", "left").join(owner, "source_url", "left").join(known, KEY, "left")
     taken = F.col("source_url").isNotNull() & (F.coalesce("owner", "first") != F.col(KEY))
     message = F.when((F.col("project") == "") | (F.length("project") > 128), "project must have 1 to 128 characters").when(taken, "source_url is registered already").otherwise(F.col("message"))
-    code = F.when((F.col("project") == "") | (F.length("project") > 128), "validation_error").when(taken, "duplicate_document").otherwise(F.col("code"))
-    same = (F.col("known") == F.col("content_hash")) & F.lit(not force)
+    code = F.when((F.col("project") == "") | (F.length("project") > 128), "validation_error").when(taken, "duplicate_document").when(F.col("message").isNotNull(), "parser_error")
+    same = F.array_contains("known", F.col("content_hash")) & F.lit(not force)
     status = F.when(code.isNotNull(), "failed").when(F.col("known").isNull(), "registered").when(same, "skipped").otherwise("reindexed")
     return rows.select(KEY, status.alias("status"), "content_hash", code.alias("code"), message.alias("message"))
 
@@ -107,23 +109,32 @@ def ingest(store: Store, raw: DataFrame, run: str, now: datetime, force: bool =
 
     owners = raw.where("source_url is not null").groupBy("source_url").agg(F.min(KEY).alias("first"))
     dealt = _dealt(raw, "raw")
+    passing: list[DataFrame] = []
 
     def work(base: Snapshot, batches: int, n: int) -> tuple[dict, dict, dict]:
+        storage.freed(*passing)  # of the batch before
         own = dealt(batches, n)
         stored = _stored(base, "documents", DOCUMENTS)
         result = storage.kept(outcome(own, stored, owners, force), "outcome")
-        changed = own.join(result.where("status in ('registered', 'reindexed')").select(KEY), KEY, "left_semi")
-        good = storage.kept(sections.routed(changed)[0], "routed")
+        counted = {r.status: r.n for r in result.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        wanted = result.where("status in ('registered', 'reindexed')").select(KEY)
+        # ids are few bytes beside the texts, which then aren't shuffled
+        wanted = F.broadcast(wanted) if counted.get("registered", 0) + counted.get("reindexed", 0) <= BROADCAST_ROWS else wanted
+        good = storage.kept(sections.routed(own.join(wanted, KEY, "left_semi"))[0], "routed")
         rows = parsed(good)
-        titles = sections.markdown_titles(good.withColumn("title_hint", F.lit(""))).union(openapi.headers(good.where("doc_type = 'openapi'")).select(KEY, "title"))
+        specs, texts = good.where("doc_type = 'openapi'"), good.where("doc_type <> 'openapi'")
+        titles = sections.markdown_titles(specs.withColumn("title_hint", F.lit(""))).union(openapi.headers(specs).select(KEY, "title"))
         named = titles.groupBy(KEY).agg(F.max_by("title", F.when(F.col("title") == "Untitled Document", 0).otherwise(1)).alias("title"))
-        versions = openapi.headers(good.where("doc_type = 'openapi'")).select(KEY, "version")
-        documents = good.join(named, KEY, "left").join(versions, KEY, "left").select(KEY, "project", "source_url", "title", F.coalesce("version", F.lit("")).alias("version"), "doc_type", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.col("text").alias("raw_text"), F.lit(now).alias("indexed_at"))
+        versions = openapi.headers(specs).select(KEY, "version")
+        titled = specs.join(named, KEY, "left").join(versions, KEY, "left").unionByName(texts.withColumns({"title": sections.first_heading(F.col("text")), "version": F.lit("")}))
+        documents = titled.select(KEY, "project", "source_url", "title", F.coalesce("version", F.lit("")).alias("version"), "doc_type", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.col("text").alias("raw_text"), F.lit(now).alias("indexed_at"))
         history = result.select(KEY, "status", "content_hash", "code", "message", F.lit(now).alias("created_at"), F.lit(run).alias("run"))
-        counted = {r.status: r.n for r in result.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        passing[:] = [result, good, rows["sections"]]
         return {"documents": documents, **rows, "history": history}, {t: good for t in OWNED}, {**counted, "total": sum(counted.values())}
 
-    return _batched(store, run, raw.count(), work, batch_rows)
+    total = _batched(store, run, raw.count(), work, batch_rows)
+    storage.freed(*passing)
+    return total
 
 
 def delete(store: Store, ids: DataFrame, run: str) -> dict:

@@ -40,8 +40,13 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 
 def markdown_titles(docs: DataFrame) -> DataFrame:
     """(document_id, title): the hint, else the first heading, else a default."""
-    first = F.regexp_extract("text", r"(?m)^#{1,6}(?U:\s+)(.*)$", 1)
-    return docs.select("document_id", F.coalesce(F.nullif("title_hint", F.lit("")), F.nullif(_trim(first), F.lit("")), F.lit("Untitled Document")).alias("title"))
+    return docs.select("document_id", F.coalesce(F.nullif("title_hint", F.lit("")), first_heading(F.col("text"))).alias("title"))
+
+
+def first_heading(text):
+    """The first heading of a text, else a default."""
+    first = F.regexp_extract(text, r"(?m)^#{1,6}(?U:\s+)(.*)$", 1)
+    return F.coalesce(F.nullif(_trim(first), F.lit("")), F.lit("Untitled Document"))
 
 
 def csv_sections(docs: DataFrame) -> DataFrame:
@@ -74,6 +79,12 @@ TYPES = ("openapi", "markdown", "csv")
 def routed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) of docs (document_id, text, source_url[, doc_type]): those a parser takes, with doc_type, given or found
     by the text; and (document_id, code, message) of the others."""
+    rows = marked(docs)
+    return rows.where("message is null").drop("message"), rows.where("message is not null").select("document_id", F.lit("parser_error").alias("code"), "message")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs (document_id, text, source_url[, doc_type]) with doc_type, and why no parser takes a document, or null, as message."""
     given = F.col("doc_type") if "doc_type" in docs.columns else F.lit(None).cast("string")
     typed = docs.withColumn("doc_type", F.coalesce(F.nullif(given, F.lit("")), doc_type(F.col("text"), F.col("source_url"))))
     text = F.coalesce("text", F.lit(""))
@@ -87,8 +98,7 @@ def routed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("doc_type") == "openapi") & F.col("flavour").isNull(), "unsupported OpenAPI/Swagger version")
         .when((F.col("doc_type") == "openapi") & ~F.coalesce("paths", F.lit(False)), "document is missing `paths`")
     )
-    marked = own.withColumn("message", message).drop("flavour", "paths")
-    return marked.where("message is null").drop("message"), marked.where("message is not null").select("document_id", F.lit("parser_error").alias("code"), "message")
+    return own.withColumn("message", message).drop("flavour", "paths")
 
 
 def sections(docs: DataFrame) -> DataFrame:
