@@ -23,8 +23,8 @@ from ..sources.store import KEY, Snapshot, Store
 BATCH_ROWS = 100_000
 #: Ids that are broadcast at most, beside the texts they belong to.
 BROADCAST_ROWS = 500_000
-#: Files that the rows of a batch are dealt to.
-DEALT = 16
+#: Files that the rows of a batch are dealt to; rows of a file of whole texts at most, where it is read again.
+DEALT, FILE_ROWS = 16, 4000
 #: Tables whose rows belong to a document.
 OWNED = ("documents", "endpoints", "schemas", "sections", "chunks")
 DOCUMENTS = "document_id string, project string, source_url string, title string, version string, doc_type string, content_hash string, raw_text string, indexed_at timestamp"
@@ -82,19 +82,21 @@ def parsed(docs: DataFrame, limit: int | None = chunks.TOKEN_LIMIT) -> dict[str,
     """endpoints, schemas, sections and chunks of routed docs (document_id, text, source_url, doc_type)."""
     specs = docs.where("doc_type = 'openapi'")
     # sections are a table of their own and become chunks: they are made once
-    own = {"endpoints": openapi.endpoints(specs), "schemas": openapi.schemas(specs), "sections": storage.kept(sections.sections(docs), "sections")}
+    own = {"endpoints": openapi.endpoints(specs), "schemas": openapi.schemas(specs), "sections": storage.kept(sections.sections(docs), "sections", FILE_ROWS)}
     return {**own, "chunks": chunks.build_chunks(own["endpoints"], own["schemas"], own["sections"], limit)}
 
 
-def outcome(raw: DataFrame, stored: DataFrame, owners: DataFrame, force: bool = False) -> DataFrame:
+def outcome(raw: DataFrame, known: DataFrame, owners: DataFrame | None, stored: DataFrame, force: bool = False) -> DataFrame:
     """(document_id, status, content_hash, code, message) for raw documents (document_id, project, source_url, text[, doc_type]): registered,
-    reindexed, skipped (the same content, unless forced), or failed, which concerns that document only. owners: (source_url, first), the document
-    of raw that a url falls to; one that is stored goes before."""
+    reindexed, skipped (the same content, unless forced), or failed, which concerns that document only. known: (document_id, content_hash) of those of
+    raw that are stored. owners: (source_url, first), the document of raw that a url falls to, None if raw has no url; one that is stored goes before."""
     hashed = sections.marked(raw).select(KEY, F.trim(F.coalesce("project", F.lit(""))).alias("project"), "source_url", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), "message")
-    known = stored.groupBy(KEY).agg(F.collect_set("content_hash").alias("known"))
-    owner = stored.where("source_url is not null").select("source_url", F.col(KEY).alias("owner"))
-    rows = hashed.join(owners, "source_url", "left").join(owner, "source_url", "left").join(known, KEY, "left")
-    taken = F.col("source_url").isNotNull() & (F.coalesce("owner", "first") != F.col(KEY))
+    rows = hashed.join(known.groupBy(KEY).agg(F.collect_set("content_hash").alias("known")), KEY, "left")
+    taken = F.lit(False)
+    if owners is not None:
+        owner = stored.where("source_url is not null").select("source_url", F.col(KEY).alias("owner"))
+        rows = rows.join(owners, "source_url", "left").join(owner, "source_url", "left")
+        taken = F.col("source_url").isNotNull() & (F.coalesce("owner", "first") != F.col(KEY))
     message = F.when((F.col("project") == "") | (F.length("project") > 128), "project must have 1 to 128 characters").when(taken, "source_url is registered already").otherwise(F.col("message"))
     code = F.when((F.col("project") == "") | (F.length("project") > 128), "validation_error").when(taken, "duplicate_document").when(F.col("message").isNotNull(), "parser_error")
     same = F.array_contains("known", F.col("content_hash")) & F.lit(not force)
@@ -107,20 +109,22 @@ def ingest(store: Store, raw: DataFrame, run: str, now: datetime, force: bool =
     sections and chunks, and a row of history for every document, come with the same commit. Returns total and a
     count for each status."""
 
-    owners = raw.where("source_url is not null").groupBy("source_url").agg(F.min(KEY).alias("first"))
+    with_url = raw.where("source_url is not null")
+    owners = None if with_url.isEmpty() else with_url.groupBy("source_url").agg(F.min(KEY).alias("first"))
     dealt = _dealt(raw, "raw")
+    # a batch changes its own documents only: what is stored of the others' contents it needn't look through
+    before = _dealt(_stored(store.snapshot(), "documents", DOCUMENTS).select(KEY, "content_hash"), "known")
     passing: list[DataFrame] = []
 
     def work(base: Snapshot, batches: int, n: int) -> tuple[dict, dict, dict]:
         storage.freed(*passing)  # of the batch before
         own = dealt(batches, n)
-        stored = _stored(base, "documents", DOCUMENTS)
-        result = storage.kept(outcome(own, stored, owners, force), "outcome")
+        result = storage.kept(outcome(own, before(batches, n), owners, _stored(base, "documents", DOCUMENTS), force), "outcome")
         counted = {r.status: r.n for r in result.groupBy("status").agg(F.count("*").alias("n")).collect()}
         wanted = result.where("status in ('registered', 'reindexed')").select(KEY)
         # ids are few bytes beside the texts, which then aren't shuffled
         wanted = F.broadcast(wanted) if counted.get("registered", 0) + counted.get("reindexed", 0) <= BROADCAST_ROWS else wanted
-        good = storage.kept(sections.routed(own.join(wanted, KEY, "left_semi"))[0], "routed")
+        good = storage.kept(sections.routed(own.join(wanted, KEY, "left_semi"))[0], "routed", FILE_ROWS)
         rows = parsed(good)
         specs, texts = good.where("doc_type = 'openapi'"), good.where("doc_type <> 'openapi'")
         titles = sections.markdown_titles(specs.withColumn("title_hint", F.lit(""))).union(openapi.headers(specs).select(KEY, "title"))

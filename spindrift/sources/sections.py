@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_type
@@ -27,15 +26,23 @@ def _trim(text):
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
     """(document_id, order_index, title, content): the lines under each heading; sections without content are left out."""
-    lines = docs.select("document_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), _LINE)).alias("pos", "line"))
-    heading = F.col("line").rlike(_HEADING)
-    head = F.last(F.when(heading, F.struct("pos", F.regexp_extract("line", _HEADING, 2).alias("title"))), True)
-    under = head.over(W.partitionBy("document_id").orderBy("pos"))
-    placed = lines.withColumn("head", under).where(~heading)
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
-    grouped = placed.groupBy("document_id", F.coalesce(F.col("head.pos"), F.lit(-1)).alias("at")).agg(F.first("head.title").alias("own"), _trim(content).alias("content")).where("content <> ''")
-    order = F.row_number().over(W.partitionBy("document_id").orderBy("at")) - 1
-    return grouped.select("document_id", order.alias("order_index"), F.when(F.col("at") < 0, PREAMBLE).otherwise(_trim(F.col("own"))).alias("title"), "content")
+
+    def once(value, use):
+        """What a lambda reads for every element is worked out once, as its own element."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def made(lines, heads):
+        def section(at, end):
+            title = F.when(at < 0, PREAMBLE).otherwise(_trim(F.regexp_extract(F.get(lines, at), _HEADING, 2)))
+            return F.struct(title.alias("title"), _trim(F.array_join(F.slice(lines, at + 2, end - at - 1), "\n")).alias("content"))
+
+        cut = F.zip_with(F.concat(F.array(F.lit(-1)), heads), F.concat(heads, F.array(F.size(lines))), section)
+        return F.filter(cut, lambda s: s["content"] != "")
+
+    # a document's lines stay in its row: none is shuffled
+    heads = lambda lines: F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(_HEADING), i)))
+    cut = once(F.split(F.coalesce("text", F.lit("")), _LINE), lambda lines: once(heads(lines), lambda at: made(lines, at)))
+    return docs.select("document_id", F.posexplode(cut).alias("order_index", "s")).select("document_id", "order_index", "s.title", "s.content")
 
 
 def markdown_titles(docs: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def marked(docs: DataFrame) -> DataFrame:
     given = F.col("doc_type") if "doc_type" in docs.columns else F.lit(None).cast("string")
     typed = docs.withColumn("doc_type", F.coalesce(F.nullif(given, F.lit("")), doc_type(F.col("text"), F.col("source_url"))))
     text = F.coalesce("text", F.lit(""))
-    empty = _trim(text) == ""
+    empty = ~text.rlike(r"(?U)\S")
     own = typed.withColumn("flavour", openapi.flavour(text)).withColumn("paths", openapi.member(text, "paths").startswith("{"))
     message = (
         F.when(~F.col("doc_type").isin(*TYPES), F.concat(F.lit("unsupported doc_type: "), "doc_type"))

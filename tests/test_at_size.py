@@ -12,7 +12,7 @@ from spindrift.functions import vectors as V
 from spindrift.operators import ranking
 from spindrift.operators.indexes import build_keyword_index
 from spindrift.plans import catalogue, ingest
-from spindrift.sources import office, remote
+from spindrift.sources import office, remote, sections
 from spindrift.sources.store import Store
 
 
@@ -127,3 +127,24 @@ def test_batches_read_their_own_rows(spark, tmp_path, monkeypatch):
     for label in ("raw", "chunks"):
         own = [c for c in calls if c[0] == label]
         assert len(own) == 3 * (1 + (label == "chunks")) and all(len(c[1]) == 1 and c[1] == {f"_part={n % 3}"} for n, c in enumerate(own)) and sum(c[2] for c in own[:3]) == 90
+
+
+def test_sections_are_cut_within_a_document(spark):
+    # lines were shuffled and sorted to find the heading above them, once for the sections and once for their chunks
+    text = "pre\n# A \r\nx\n\n y\n## B\n\n#\tC\x85z \n#D\n"
+    found = sections.markdown_sections(spark.createDataFrame([("a", text), ("b", None), ("c", "# only"), ("d", "\n "), ("a", "one")], "document_id string, text string"))
+    own = lambda *rows: [("a", n, *r) for n, r in enumerate(rows)]
+    assert [tuple(r) for r in found.collect()] == own((sections.PREAMBLE, "pre"), ("A", "x\n\n y"), ("C", "z\n\n#D")) + own((sections.PREAMBLE, "one"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_look_through_their_own_stored_hashes(spark, tmp_path, monkeypatch):
+    # each batch read the hashes of all documents that are stored
+    seen = []
+    judge = ingest.outcome
+    monkeypatch.setattr(ingest, "outcome", lambda raw, known, *rest: seen.append(known.count()) or judge(raw, known, *rest))
+    raw = spark.createDataFrame([(str(n), "p", None, f"# T{n}\ntext {n}", "markdown") for n in range(60)], "document_id string, project string, source_url string, text string, doc_type string")
+    store = Store(spark, str(tmp_path))
+    ingest.ingest(store, raw, "first", datetime(2024, 1, 1), batch_rows=30)
+    assert ingest.ingest(store, raw, "second", datetime(2024, 1, 1), batch_rows=30) == {"skipped": 60, "total": 60}
+    assert seen[:2] == [0, 0] and sum(seen[2:]) == 60 and len(seen) == 4
