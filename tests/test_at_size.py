@@ -148,3 +148,21 @@ def test_batches_look_through_their_own_stored_hashes(spark, tmp_path, monkeypat
     ingest.ingest(store, raw, "first", datetime(2024, 1, 1), batch_rows=30)
     assert ingest.ingest(store, raw, "second", datetime(2024, 1, 1), batch_rows=30) == {"skipped": 60, "total": 60}
     assert seen[:2] == [0, 0] and sum(seen[2:]) == 60 and len(seen) == 4
+
+
+@pytest.mark.parametrize("scope", [(), ("project",)])
+def test_queries_that_ask_the_same_are_answered_once(spark, monkeypatch, scope):
+    # the verb and path of every page was met with all titles that hold `en`, so the work grew with the square of the pages
+    docs = spark.createDataFrame([(n, f"p{m}", f"en {'de ' * (n % 5)}w{n}") for n in range(40) for m in range(2)], "doc_id int, project string, text string")
+    texts = [f"get en x{n}" for n in range(60)] + ["get de en", "en", "en get", "w1 EN y", "none", "", None, "en de post", "de de en delete"]
+    queries = spark.createDataFrame([(n, t, ["w2"] if n % 7 == 0 else []) for n, t in enumerate(texts)], "query_id int, text string, variants array<string>")
+    monkeypatch.setattr(ranking, "ALIKE", 7)
+    index = build_keyword_index(docs, "doc_id", scope=scope)
+    assert (index.docs is None) == bool(scope)
+    rows = lambda found: sorted((r.query_id, r.key, r["rank"], r.score) for r in found.collect())
+    asked = []
+    for name in ("pruned_hits", "keyword_hits"):
+        monkeypatch.setattr(ranking, name, lambda rows, queries, *rest, f=getattr(ranking, name): asked.append(queries.count()) or f(rows, queries, *rest))
+    found = rows(index.topk(queries, 5))
+    assert asked == [6]
+    assert found == rows(ranking.keyword_topk(index.rows, queries, 5, index.slices))
