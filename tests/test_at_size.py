@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift import storage
 from spindrift.functions import vectors as V
 from spindrift.operators import ranking
 from spindrift.operators.indexes import build_keyword_index
@@ -166,3 +167,16 @@ def test_queries_that_ask_the_same_are_answered_once(spark, monkeypatch, scope):
     found = rows(index.topk(queries, 5))
     assert asked == [6]
     assert found == rows(ranking.keyword_topk(index.rows, queries, 5, index.slices))
+
+
+def test_building_an_index_leaves_no_shuffles(spark, tmp_path):
+    # they stayed until the driver collected its garbage, those by document beside those by term
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    shuffles = lambda: {f for f in (files().apply(n).getName() for n in range(files().size())) if f.startswith("shuffle_")}
+    docs = spark.createDataFrame([(n % 90, f"a{n % 7} b b") for n in range(100)], "doc_id int, text string")
+    before = shuffles()
+    index = build_keyword_index(docs, "doc_id", path=str(tmp_path / "index"))
+    assert not {f for f in shuffles() - before if f.endswith(".data")}
+    assert index.rows.where("key = 1 and term = 'b'").first().tf == 4
+    folder = storage.shared_folder(spark)
+    assert not [n for n in storage.names(spark, folder) if n.startswith("postings-")]
